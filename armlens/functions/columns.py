@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,30 +18,36 @@ def above_zero(column: Column) -> Column:
     return F.when(column > 0, column)
 
 
-def packed_gram(features: Sequence[str], prefix: str = "") -> Column:
+def quoted(name: str) -> str:
+    """A column name as a SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def expressions(items: Mapping[str, str]) -> list[Column]:
+    """SQL text per output name as columns; one call each, which matters for wide tables."""
+    return [F.expr(f"{text} AS {quoted(name)}") for name, text in items.items()]
+
+
+def packed_gram(features: Sequence[str]) -> Column:
     """Upper triangle of [1, f]'[1, f], row by row, from flat cell columns."""
-    first = [F.col(f"{prefix}n").cast("double")] + [F.col(f"{prefix}sum_{f}") for f in features]
-    rest = [
-        F.col(f"{prefix}sum_{a}_{b}")
-        for i, a in enumerate(features)
-        for b in features[i:]
-    ]
-    return F.array(*first, *rest)
+    names = [f"sum_{f}" for f in features]
+    names += [f"sum_{a}_{b}" for i, a in enumerate(features) for b in features[i:]]
+    return F.expr(f"array(CAST(n AS DOUBLE), {', '.join(map(quoted, names))})")
 
 
-def packed_rhs(features: Sequence[str], prefix: str = "") -> Column:
+def packed_rhs(features: Sequence[str]) -> Column:
     """[1, f]'y from flat cell columns."""
-    return F.array(
-        F.col(f"{prefix}sum_y"), *[F.col(f"{prefix}sum_{f}_y") for f in features]
-    )
+    names = ["sum_y"] + [f"sum_{f}_y" for f in features]
+    return F.expr(f"array({', '.join(map(quoted, names))})")
+
 
+def linear_score(coef: str, features: Sequence[str]) -> Column:
+    """intercept + sum(coef[i] * feature[i]) as plain arithmetic, so it stays in codegen.
 
-def linear_score(coef: Column, features: Sequence[Column]) -> Column:
-    """intercept + sum(coef[i] * feature[i]) as plain arithmetic, so it stays in codegen."""
-    score = F.get(coef, F.lit(0))
-    for i, feature in enumerate(features, start=1):
-        score = score + F.get(coef, F.lit(i)) * feature
-    return score
+    ``features`` are SQL texts; ``coef`` names an array column, intercept first.
+    """
+    terms = [f"get({quoted(coef)}, {i}) * {text}" for i, text in enumerate(features, start=1)]
+    return F.expr(" + ".join([f"get({quoted(coef)}, 0)", *terms]))
 
 
 def stack_rows(frame: DataFrame, keep: Sequence[str], rows: Sequence[Column]) -> DataFrame:

@@ -70,6 +70,26 @@ def _scaled_pinv(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return inverse, scale, rank
 
 
+def _solve_centred(cross: np.ndarray, cross_y: np.ndarray, total: np.ndarray):
+    """Slopes, residual sum of squares, R-squared and rank of centred normal equations."""
+    inverse, scale, rank = _scaled_pinv(cross)
+    slope = scale * np.einsum("bij,bj->bi", inverse, scale * cross_y)
+    # Explained sum of squares written as a quadratic form in the fitted slope.
+    explained = np.einsum("bi,bij,bj->b", slope, cross, slope)
+    residual = np.maximum(total - explained, 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r2 = np.where(total > 0, 1.0 - residual / total, 0.0)
+    return slope, residual, r2, rank
+
+
+def _fit_frame(coef, ssr, r2, rank) -> pd.DataFrame:
+    return pd.DataFrame({"coef": list(coef), "ssr": ssr, "r2": r2, "rank": rank})
+
+
+def _no_fit() -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series(dtype=object) for c in ("coef", "ssr", "r2", "rank")})
+
+
 def fit_gram(gram: np.ndarray, rhs: np.ndarray, yty: np.ndarray):
     """Least squares with intercept for a stack of normal equations.
 
@@ -80,17 +100,9 @@ def fit_gram(gram: np.ndarray, rhs: np.ndarray, yty: np.ndarray):
     n, mean, cross = _centred(gram)
     y_mean = rhs[:, 0] / n
     cross_y = rhs[:, 1:] - n[:, None] * mean * y_mean[:, None]
-    inverse, scale, rank = _scaled_pinv(cross)
-    slope = scale * np.einsum("bij,bj->bi", inverse, scale * cross_y)
+    slope, residual, r2, rank = _solve_centred(cross, cross_y, yty - n * y_mean**2)
     intercept = y_mean - np.einsum("bi,bi->b", slope, mean)
-    total = yty - n * y_mean**2
-    # Explained sum of squares written as a quadratic form in the fitted slope.
-    explained = np.einsum("bi,bij,bj->b", slope, cross, slope)
-    residual = np.maximum(total - explained, 0.0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r2 = np.where(total > 0, 1.0 - residual / total, 0.0)
-    coefficients = np.concatenate([intercept[:, None], slope], axis=1)
-    return coefficients, residual, r2, rank
+    return np.concatenate([intercept[:, None], slope], axis=1), residual, r2, rank
 
 
 FIT_SCHEMA = StructType([
@@ -107,14 +119,32 @@ DISTANCE_SCHEMA = StructType([StructField("t2", DoubleType()), StructField("rank
 def least_squares(gram: pd.Series, rhs: pd.Series, yty: pd.Series) -> pd.DataFrame:
     """OLS of y on [1, features] from X'X (packed), X'y and y'y."""
     keep = _complete(gram, rhs, yty)
-    empty = pd.DataFrame({c: pd.Series(dtype=object) for c in ("coef", "ssr", "r2", "rank")})
     if not keep.any():
-        return _scatter(len(keep), keep, empty)
-    coef, ssr, r2, rank = fit_gram(
-        _unpack(_stack(gram, keep)), _stack(rhs, keep), yty[keep].to_numpy(dtype=float)
-    )
-    out = pd.DataFrame({"coef": list(coef), "ssr": ssr, "r2": r2, "rank": rank})
-    return _scatter(len(keep), keep, out)
+        return _scatter(len(keep), keep, _no_fit())
+    fit = fit_gram(_unpack(_stack(gram, keep)), _stack(rhs, keep), yty[keep].to_numpy(dtype=float))
+    return _scatter(len(keep), keep, _fit_frame(*fit))
+
+
+@F.pandas_udf(FIT_SCHEMA)
+def least_squares_within(
+    gram_t: pd.Series, rhs_t: pd.Series, yty_t: pd.Series,
+    gram_c: pd.Series, rhs_c: pd.Series, yty_c: pd.Series,
+) -> pd.DataFrame:
+    """One slope vector fitted to two arms that are each centred on their own means."""
+    keep = _complete(gram_t, rhs_t, yty_t, gram_c, rhs_c, yty_c)
+    if not keep.any():
+        return _scatter(len(keep), keep, _no_fit())
+    cross, cross_y, total = 0.0, 0.0, 0.0
+    for gram, rhs, yty in ((gram_t, rhs_t, yty_t), (gram_c, rhs_c, yty_c)):
+        b = _stack(rhs, keep)
+        n, mean, own = _centred(_unpack(_stack(gram, keep)))
+        y_mean = b[:, 0] / n
+        cross = cross + own
+        cross_y = cross_y + b[:, 1:] - n[:, None] * mean * y_mean[:, None]
+        total = total + yty[keep].to_numpy(dtype=float) - n * y_mean**2
+    slope, residual, r2, rank = _solve_centred(cross, cross_y, total)
+    coef = np.concatenate([np.zeros((len(slope), 1)), slope], axis=1)
+    return _scatter(len(keep), keep, _fit_frame(coef, residual, r2, rank))
 
 
 @F.pandas_udf(SCORE_SCHEMA)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import packed_gram, packed_rhs, ratio, stack_rows
-from ..functions.linalg import least_squares
+from ..functions.linalg import least_squares, least_squares_within
 from ..spec import ExperimentSpec
 from .effects import infer
 from .suffstats import arm_pairs
@@ -29,22 +29,6 @@ def _plus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
-def _within(gram: Column, rhs: Column, yty: Column, p: int) -> tuple[Column, Column, Column]:
-    """One arm's normal equations with every column centred on the arm mean."""
-    n, sum_y = F.get(gram, F.lit(0)), F.get(rhs, F.lit(0))
-    packed = [n] + [F.lit(0.0)] * p
-    position = p + 1
-    for i in range(p):
-        for j in range(i, p):
-            product = F.get(gram, F.lit(1 + i)) * F.get(gram, F.lit(1 + j))
-            packed.append(F.get(gram, F.lit(position)) - ratio(product, n))
-            position += 1
-    centred_rhs = [F.lit(0.0)] + [
-        F.get(rhs, F.lit(1 + i)) - ratio(F.get(gram, F.lit(1 + i)) * sum_y, n) for i in range(p)
-    ]
-    return F.array(*packed), F.array(*centred_rhs), yty - ratio(sum_y * sum_y, n)
-
-
 def _normal_equations(cells: DataFrame, spec: ExperimentSpec) -> DataFrame:
     packed = cells.select(
         *spec.keys, spec.arm,
@@ -82,11 +66,8 @@ def ancova(
         }
     )
     if "within" in slopes:
-        t = _within(F.col("t_gram"), F.col("t_rhs"), F.col("t_yty"), p)
-        c = _within(F.col("c_gram"), F.col("c_rhs"), F.col("c_yty"), p)
-        frame = frame.withColumns(
-            {"w_gram": _plus(t[0], c[0]), "w_rhs": _plus(t[1], c[1]), "w_yty": t[2] + c[2]}
-        ).withColumn("w_fit", fit("w"))
+        sides = [F.col(f"{a}_{part}") for a in ("t", "c") for part in ("gram", "rhs", "yty")]
+        frame = frame.withColumn("w_fit", least_squares_within(*sides))
     frame = frame.withColumns({"t_fit": fit("t"), "c_fit": fit("c"), "p_fit": fit("p")})
     frame = frame.withColumns(
         {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import linear_score, packed_gram, packed_rhs
+from ..functions.columns import expressions, linear_score, packed_gram, packed_rhs, quoted
 from ..functions.linalg import least_squares, linear_score_sums
 from ..sources.session import durable
 from ..spec import ExperimentSpec
@@ -80,12 +80,11 @@ def index_cells(
         F.col("_s.sum_yx").alias("sum_yxs"),
     )
     # A fold without a model leaves the key's index undefined rather than partial.
-    covered = F.count("sum_xs") == F.count(F.lit(1))
-    sums = [
-        (F.when(covered, F.sum(c)) if c in INDEX_SUMS else F.sum(c)).alias(c)
+    sums = {
+        c: f"if(count(sum_xs) = count(1), sum({c}), NULL)" if c in INDEX_SUMS else f"sum({quoted(c)})"
         for c in sum_columns(filled)
-    ]
-    return filled.groupBy(*spec.keys, spec.arm).agg(*sums)
+    }
+    return filled.groupBy(*spec.keys, spec.arm).agg(*expressions(sums))
 
 
 def uplift_models(per_fold: DataFrame, spec: ExperimentSpec) -> DataFrame:
@@ -123,5 +122,5 @@ def score_rows(df: DataFrame, models: DataFrame, spec: ExperimentSpec, out: str)
     if not spec.keys:
         table = F.broadcast(table)
     joined = folded.join(table, [*spec.keys, FOLD], "left")
-    features = [spec.feature_column(f) for f in spec.features]
-    return joined.withColumn(out, linear_score(F.col("_coef"), features)).drop("_coef")
+    features = [spec.feature_text(f) for f in spec.features]
+    return joined.withColumn(out, linear_score("_coef", features)).drop("_coef")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import above_zero, ratio
+from ..functions.columns import above_zero, quoted, ratio
 from ..spec import ExperimentSpec
 from .suffstats import arm_pairs, complete_cases
 
@@ -102,39 +102,31 @@ def paired_moments(cells: DataFrame, spec: ExperimentSpec, tag: str | None = "xs
     return frame.withColumn("corr_yx", _correlation("p_")) if tag else frame
 
 
-def _cell_covariance(i: str, j: str) -> Column:
-    n = F.col("n").cast("double")
-    cross = F.col(f"sum_{i}_{j}") - ratio(F.col(f"sum_{i}") * F.col(f"sum_{j}"), n)
-    return ratio(cross, F.greatest(n - 1.0, F.lit(0.0)))
+def _covariance_text(i: str, j: str) -> str:
+    """Sample covariance of two features in one cell; 0/0 and one-row cells give NULL."""
+    cross, sum_i, sum_j = (quoted(c) for c in (f"sum_{i}_{j}", f"sum_{i}", f"sum_{j}"))
+    return f"try_divide({cross} - try_divide({sum_i} * {sum_j}, n), greatest(n - 1, 0))"
+
+
+def _explode_text(frame: DataFrame, keep: list[str], rows: list[str]) -> DataFrame:
+    return frame.select(*keep, F.expr(f"inline(array({', '.join(rows)}))"))
 
 
 def feature_covariance(cells: DataFrame, spec: ExperimentSpec) -> DataFrame:
     """Upper triangle of each arm's feature covariance, long: (keys, arm, feature_i, feature_j)."""
     rows = [
-        F.struct(
-            F.lit(a).alias("feature_i"),
-            F.lit(b).alias("feature_j"),
-            _cell_covariance(a, b).alias("covariance"),
-        )
+        f"struct('{a}' AS feature_i, '{b}' AS feature_j, {_covariance_text(a, b)} AS covariance)"
         for k, a in enumerate(spec.features)
         for b in spec.features[k:]
     ]
-    return cells.select(
-        *spec.keys, spec.arm, F.explode(F.array(*rows)).alias("_row")
-    ).select(*spec.keys, spec.arm, "_row.*")
+    return _explode_text(cells, [*spec.keys, spec.arm], rows)
 
 
 def feature_moments(cells: DataFrame, spec: ExperimentSpec) -> DataFrame:
     """Mean and sample variance per (keys, arm, feature), long."""
-    n = F.col("n").cast("double")
     rows = [
-        F.struct(
-            F.lit(f).alias("feature"),
-            (ratio(F.col(f"sum_{f}"), n) + F.lit(spec.shift_of(f))).alias("mean"),
-            _cell_covariance(f, f).alias("variance"),
-        )
+        f"struct('{f}' AS feature, try_divide({quoted(f'sum_{f}')}, n)"
+        f" + CAST('{spec.shift_of(f)!r}' AS DOUBLE) AS mean, {_covariance_text(f, f)} AS variance)"
         for f in spec.features
     ]
-    return cells.select(
-        *spec.keys, spec.arm, n.alias("n"), F.explode(F.array(*rows)).alias("_row")
-    ).select(*spec.keys, spec.arm, "n", "_row.*")
+    return _explode_text(cells, [*spec.keys, spec.arm, "n"], rows)

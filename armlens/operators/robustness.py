@@ -22,7 +22,7 @@ from .guardrails import balance_features, balance_summary, srm_check
 from .models import covariate_models, index_cells
 from .moments import paired_moments
 from .quality import MULTIPLICITY
-from .suffstats import arm_pairs, sufficient_stats, sum_columns
+from .suffstats import added_up, arm_pairs, sufficient_stats
 
 SPEC = "spec"
 SPECS = ("all", "dedup", "singleton")
@@ -65,9 +65,7 @@ def spec_cells(collapsed: DataFrame, spec: ExperimentSpec, by: Sequence[str] = (
         F.col("_part") == "once", F.array(*[F.lit(s) for s in SPECS])
     ).when(F.col("_part") == "first", F.array(F.lit("dedup"))).otherwise(F.array(F.lit("all")))
     placed = sums.withColumn(SPEC, F.explode(membership))
-    return placed.groupBy(*spec.keys, SPEC, *by, spec.arm).agg(
-        *[F.sum(c).alias(c) for c in sum_columns(sums)]
-    )
+    return placed.groupBy(*spec.keys, SPEC, *by, spec.arm).agg(*added_up(sums))
 
 
 def per_spec(spec: ExperimentSpec) -> ExperimentSpec:

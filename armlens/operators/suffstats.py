@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio
+from ..functions.columns import expressions, quoted, ratio
 from ..spec import ExperimentSpec
 
 
@@ -25,13 +25,10 @@ def analysis_columns(spec: ExperimentSpec) -> list[str]:
 
 def _is_complete(spec: ExperimentSpec) -> Column:
     numeric = [spec.arm, spec.metric, spec.covariate, spec.post_covariate, spec.exposure]
-    present = [c for c in numeric if c] + list(spec.features)
-    condition = F.lit(True)
-    for name in dict.fromkeys(present):
-        condition = condition & F.col(name).isNotNull()
-    for name in spec.features:
-        condition = condition & ~F.isnan(F.col(name).cast("double"))
-    return condition
+    present = dict.fromkeys([c for c in numeric if c] + list(spec.features))
+    tests = [f"{quoted(c)} IS NOT NULL" for c in present]
+    tests += [f"NOT isnan(CAST({quoted(f)} AS DOUBLE))" for f in spec.features]
+    return F.expr(" AND ".join(tests))
 
 
 def complete_cases(df: DataFrame, spec: ExperimentSpec) -> DataFrame:
@@ -64,41 +61,30 @@ def feature_shifts(df: DataFrame, spec: ExperimentSpec) -> tuple[tuple[str, floa
     return tuple((f, float(means[f] or 0.0)) for f in spec.features)
 
 
-def _outcome_sums(spec: ExperimentSpec, w) -> list[Column]:
-    y = F.col(spec.metric).cast("double")
-    sums = [
-        (F.count(F.lit(1)) if w is None else F.sum(w)).alias("n"),
-        _total(y, w).alias("sum_y"),
-        _total(y * y, w).alias("sum_yy"),
-    ]
+def _outcome_values(spec: ExperimentSpec) -> dict[str, str]:
+    """Output name -> SQL text of what is summed, for the outcome and the flags."""
+    y = f"CAST({quoted(spec.metric)} AS DOUBLE)"
+    values = {"sum_y": y, "sum_yy": f"{y} * {y}"}
     for name, tag in ((spec.post_covariate, "xn"), (spec.covariate, "xs")):
         if name:
-            x = F.col(name).cast("double")
-            sums += [
-                _total(x, w).alias(f"sum_{tag}"),
-                _total(x * x, w).alias(f"sum_{tag}{tag}"),
-                _total(y * x, w).alias(f"sum_y{tag}"),
-            ]
+            x = f"CAST({quoted(name)} AS DOUBLE)"
+            values |= {f"sum_{tag}": x, f"sum_{tag}{tag}": f"{x} * {x}", f"sum_y{tag}": f"{y} * {x}"}
     if spec.exposure:
-        sums.append(_total(F.col(spec.exposure).cast("double"), w).alias("sum_exposure"))
-    return sums
+        values["sum_exposure"] = f"CAST({quoted(spec.exposure)} AS DOUBLE)"
+    return values
 
 
-def _total(value: Column, w: Column | None) -> Column:
-    return F.sum(value if w is None else w * value)
-
-
-def _feature_sums(spec: ExperimentSpec, w, cross_products: bool) -> list[Column]:
-    y = F.col(spec.metric).cast("double")
-    x = {f: spec.feature_column(f) for f in spec.features}
-    sums = []
+def _feature_values(spec: ExperimentSpec, cross_products: bool) -> dict[str, str]:
+    y = f"CAST({quoted(spec.metric)} AS DOUBLE)"
+    x = {f: spec.feature_text(f) for f in spec.features}
+    values = {}
     for f in spec.features:
-        sums += [_total(x[f], w).alias(f"sum_{f}"), _total(x[f] * y, w).alias(f"sum_{f}_y")]
+        values |= {f"sum_{f}": x[f], f"sum_{f}_y": f"{x[f]} * {y}"}
     if cross_products:
         # Upper triangle only: the matrix is symmetric.
         for i, a in enumerate(spec.features):
-            sums += [_total(x[a] * x[b], w).alias(f"sum_{a}_{b}") for b in spec.features[i:]]
-    return sums
+            values |= {f"sum_{a}_{b}": f"{x[a]} * {x[b]}" for b in spec.features[i:]}
+    return values
 
 
 def sufficient_stats(
@@ -115,12 +101,13 @@ def sufficient_stats(
     codegen setting that keeps an aggregate this wide compiled.
     """
     rows = complete_cases(df, spec)
-    w = None
     if weight is not None:
-        w = F.col(weight).cast("double")
-        rows = rows.filter(w > 0)
-    sums = _outcome_sums(spec, w) + _feature_sums(spec, w, cross_products)
-    return rows.groupBy(*spec.keys, *by, spec.arm).agg(*sums)
+        rows = rows.filter(F.col(weight) > 0)
+    w = f"CAST({quoted(weight)} AS DOUBLE) * " if weight is not None else ""
+    count = "count(1)" if weight is None else f"sum(CAST({quoted(weight)} AS DOUBLE))"
+    values = _outcome_values(spec) | _feature_values(spec, cross_products)
+    sums = {"n": count} | {name: f"sum({w}{value})" for name, value in values.items()}
+    return rows.groupBy(*spec.keys, *by, spec.arm).agg(*expressions(sums))
 
 
 def sum_columns(cells: DataFrame) -> list[str]:
@@ -128,16 +115,19 @@ def sum_columns(cells: DataFrame) -> list[str]:
     return [c for c in cells.columns if c == "n" or c.startswith("sum_")]
 
 
+def added_up(cells: DataFrame) -> list[Column]:
+    """Aggregates that add every additive column up under its own name."""
+    return expressions({c: f"sum({quoted(c)})" for c in sum_columns(cells)})
+
+
 def merge_cells(cells: DataFrame, spec: ExperimentSpec) -> DataFrame:
     """Add cells up to one row per (keys, arm): drops folds, looks or days."""
-    return cells.groupBy(*spec.keys, spec.arm).agg(
-        *[F.sum(c).alias(c) for c in sum_columns(cells)]
-    )
+    return cells.groupBy(*spec.keys, spec.arm).agg(*added_up(cells))
 
 
 def pooled_cells(cells: DataFrame, spec: ExperimentSpec) -> DataFrame:
     """Both arms added together, keeping the between-arm part of the variance."""
-    return cells.groupBy(*spec.keys).agg(*[F.sum(c).alias(c) for c in sum_columns(cells)])
+    return cells.groupBy(*spec.keys).agg(*added_up(cells))
 
 
 def fold_complement(fold_cells: DataFrame, spec: ExperimentSpec, fold: str = "_fold") -> DataFrame:
@@ -152,7 +142,7 @@ def fold_complement(fold_cells: DataFrame, spec: ExperimentSpec, fold: str = "_f
         F.col("_target") != F.col(fold)
     )
     return handed.groupBy(*spec.keys, F.col("_target").alias(fold), spec.arm).agg(
-        *[F.sum(c).alias(c) for c in sum_columns(fold_cells)]
+        *added_up(fold_cells)
     )
 
 
@@ -162,11 +152,11 @@ def arm_pairs(cells: DataFrame, spec: ExperimentSpec, columns: Sequence[str] | N
     A conditional aggregate rather than a self-join; an absent arm leaves NULLs.
     """
     columns = list(columns or sum_columns(cells))
-    picks = []
+    picks = {}
     for prefix, value in (("t_", 1), ("c_", 0)):
-        is_arm = F.col(spec.arm) == value
-        picks += [F.any_value(F.when(is_arm, F.col(c)), True).alias(prefix + c) for c in columns]
-    return cells.groupBy(*spec.keys).agg(*picks)
+        test = f"{quoted(spec.arm)} = {value}"
+        picks |= {prefix + c: f"any_value(if({test}, {quoted(c)}, NULL), true)" for c in columns}
+    return cells.groupBy(*spec.keys).agg(*expressions(picks))
 
 
 def arm_counts(df: DataFrame, spec: ExperimentSpec) -> DataFrame:

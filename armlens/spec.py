@@ -81,8 +81,12 @@ class ExperimentSpec:
     def shift_of(self, feature: str) -> float:
         return dict(self.shift).get(feature, 0.0)
 
-    def feature_column(self, feature: str) -> Column:
-        """The feature as a double, moved by its shift constant when one is set."""
-        column = F.col(feature).cast("double")
+    def feature_text(self, feature: str) -> str:
+        """The feature as a double in SQL, moved by its shift constant when one is set."""
+        name = "`" + feature.replace("`", "``") + "`"
         shift = self.shift_of(feature)
-        return column - F.lit(shift) if shift else column
+        cast = f"CAST({name} AS DOUBLE)"
+        return f"({cast} - CAST('{shift!r}' AS DOUBLE))" if shift else cast
+
+    def feature_column(self, feature: str) -> Column:
+        return F.expr(self.feature_text(feature))
