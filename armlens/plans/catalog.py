@@ -643,9 +643,10 @@ def look_crossings(spark, sf_dir):
 
 
 def _integer_assignment(unit, replicate):
-    """Integer arithmetic both engines evaluate alike."""
-    mixed = F.pmod(unit * 40503 + (replicate + 1) * 99991 * (unit % 1009 + 1), F.lit(RANDOM_PRIME))
-    return F.pmod(F.floor(mixed / 7), F.lit(2)).cast("int")
+    """Quadratic hash in integer arithmetic, which both engines evaluate alike."""
+    p = F.lit(RANDOM_PRIME)
+    mixed = (unit * RANDOM_FACTOR + (replicate.cast("long") + 1) * 69621) % p
+    return F.floor((mixed * mixed) % p / 65536).cast("int") % 2
 
 
 def aa_false_positive_rate(spark, sf_dir):

@@ -191,11 +191,11 @@ def cuped_diagnostics(x: str, safe: bool) -> str:
         if safe else "'invalid_post_assignment'"
     )
     return f"""WITH {log()}, {arms('log', (), x)}, q AS (
-  SELECT *, {THETA} AS theta, {vt} AS at, {vc} AS ac, vy_t / n_t AS nt_, vy_c / n_c AS nc_,
+  SELECT *, {THETA} AS theta, {vt} AS adj_t, {vc} AS adj_c, vy_t / n_t AS nt_, vy_c / n_c AS nc_,
     my_t - my_c AS d, ({mt}) - ({mc}) AS da, mx_t - mx_c AS gap, sqrt(vx_t / n_t + vx_c / n_c) AS gse,
     cyx_p / sqrt(vy_p * vx_p) AS rho FROM p
-), q2 AS (SELECT *, 1 - at / vy_t AS rt, 1 - ac / vy_c AS rc, nc_ / (nt_ + nc_) AS sc,
-    (at / n_t + ac / n_c) / (nt_ + nc_) AS kept, gap / gse AS iz, da - d AS shift,
+), q2 AS (SELECT *, 1 - adj_t / vy_t AS rt, 1 - adj_c / vy_c AS rc, nc_ / (nt_ + nc_) AS sc,
+    (adj_t / n_t + adj_c / n_c) / (nt_ + nc_) AS kept, gap / gse AS iz, da - d AS shift,
     abs(theta) * gse AS chance FROM q)
 SELECT {r('theta', 'theta')}, {r('rho', 'corr_pooled')},
   {r('rho * rho', 'theoretical_variance_reduction')},
@@ -641,15 +641,15 @@ def _spec_curve() -> tuple[str, str]:
         "w AS (SELECT spec, avg(f0) AS mx_p, var_samp(f0) AS vx_p, covar_samp(conversion, f0) AS cyx_p "
         "FROM rows GROUP BY spec), "
         f"s AS (SELECT spec, {picks} FROM a GROUP BY spec), "
-        f"p AS (SELECT *, n_t + n_c AS nn, {mt} AS at, {vt} AS avt, {mc} AS ac, {vc} AS avc "
+        f"p AS (SELECT *, n_t + n_c AS nn, {mt} AS am_t, {vt} AS av_t, {mc} AS am_c, {vc} AS av_c "
         "FROM s JOIN w USING (spec)), "
         f"v AS (SELECT *, (n_t - nn * 0.85::DOUBLE) / sqrt(nn * 0.85::DOUBLE * 0.15::DOUBLE) AS sz, "
         f"greatest({smd('f0')}, {smd('f2')}, {smd('f3')}) AS worst, "
         f"CASE WHEN {smd('f0')} >= {smd('f2')} AND {smd('f0')} >= {smd('f3')} THEN 'f0' "
         f"WHEN {smd('f2')} >= {smd('f3')} THEN 'f2' ELSE 'f3' END AS worst_f, "
         f"my_t / my_c - 1 AS lu, {katz('-', 'my_t', 'vy_t', 'my_c', 'vy_c')} AS lul, "
-        f"{katz('+', 'my_t', 'vy_t', 'my_c', 'vy_c')} AS luh, at / ac - 1 AS lc, "
-        f"{katz('-', 'at', 'avt', 'ac', 'avc')} AS lcl, {katz('+', 'at', 'avt', 'ac', 'avc')} AS lch FROM p)"
+        f"{katz('+', 'my_t', 'vy_t', 'my_c', 'vy_c')} AS luh, am_t / am_c - 1 AS lc, "
+        f"{katz('-', 'am_t', 'av_t', 'am_c', 'av_c')} AS lcl, {katz('+', 'am_t', 'av_t', 'am_c', 'av_c')} AS lch FROM p)"
     )
     select = ", ".join([
         "spec", "n_t::BIGINT AS n_treatment", "n_c::BIGINT AS n_control", "nn::BIGINT AS n_total",
@@ -736,7 +736,7 @@ def _uplift() -> dict[str, str]:
     )
     area = (
         f"{curve}, ar AS (SELECT *, lag(ps, 1, 0) OVER (ORDER BY rk) AS p0, lag(gi, 1, 0) OVER (ORDER BY rk) AS g_0 FROM cv), "
-        "at AS (SELECT sum((ps - p0) * (gi + g_0) / 2) AS area, sum((ps - p0) * tot * (ps + p0) / 2) AS rnd, "
+        "tl AS (SELECT sum((ps - p0) * (gi + g_0) / 2) AS area, sum((ps - p0) * tot * (ps + p0) / 2) AS rnd, "
         "count(*) AS k, max(tot) AS tot, sum(yt) / sum(nt) - sum(yc) / sum(nc) AS ate, "
         "sum(up / (se * se)) / sum(1 / (se * se)) AS ctr FROM ar)"
     )
@@ -756,9 +756,9 @@ def _uplift() -> dict[str, str]:
         ),
         "qini_coefficient": (
             f"WITH {area} SELECT max(k)::BIGINT AS n_bins, {r('max(ate)', 'ate_absolute')}, "
-            f"{r('max(at.tot)', 'total_incremental', 5)}, {r('max((area - rnd) / abs(rnd))', 'qini_ratio')}, "
+            f"{r('max(tl.tot)', 'total_incremental', 5)}, {r('max((area - rnd) / abs(rnd))', 'qini_ratio')}, "
             f"{r('sum(((up - ate) / se) ** 2)', 'chi2', 6)}, {r('sum(((up - ctr) / se) ** 2)', 'chi2_weighted', 6)}, "
-            "(max(k) - 1)::INT AS heterogeneity_df FROM ar, at"
+            "(max(k) - 1)::INT AS heterogeneity_df FROM ar, tl"
         ),
         "uplift_concentration": (
             f"WITH {curve} SELECT {r('min_by(up, rk)', 'top_bin_uplift')}, {r('max_by(up, rk)', 'bottom_bin_uplift')}, "
@@ -861,9 +861,10 @@ def _looks() -> dict[str, str]:
         )
 
     crossed = f"coalesce(abs(z) > {Z}, false)"
+    mixed = f"((event_id * {RANDOM_FACTOR} + (r + 1) * 69621) % {RANDOM_PRIME})"
     assigned = (
-        f"aa AS (SELECT event_id, conversion, look, r AS replicate, ((((event_id * 40503 + (r + 1) * 99991 "
-        f"* (event_id % 1009 + 1)) % {RANDOM_PRIME}) // 7) % 2)::INT AS treatment "
+        f"aa AS (SELECT event_id, conversion, look, r AS replicate, "
+        f"((({mixed} * {mixed}) % {RANDOM_PRIME}) // 65536 % 2)::INT AS treatment "
         f"FROM ev, (SELECT unnest(range(0, {AA_REPLICATES})) AS r))"
     )
     return {
