@@ -1,6 +1,6 @@
 """Experiment analysis on Spark: every analysis is a DataFrame -> DataFrame operator."""
 
-from .plans.experiment import ExperimentReport, analyse_experiment
+from .plans.experiment import ExperimentReport
 from .spec import ExperimentSpec
 
-__all__ = ["ExperimentReport", "ExperimentSpec", "analyse_experiment"]
+__all__ = ["ExperimentReport", "ExperimentSpec"]

@@ -129,7 +129,7 @@ def rank_cuts(df: DataFrame, column: str, n_bins: int) -> list[float]:
     One distributed sort of that column; ``percentile`` would build every
     distinct value into a single buffer.
     """
-    keys = ordered_keys(df.filter(F.col(column).isNotNull() & ~F.isnan(column)), [column])
+    keys = ordered_keys(df.filter(F.col(column).isNotNull()), [column])
     starts = _block_starts(keys, n_bins)
     # Rank r is position r - 1, so the wanted row is the one before each block start.
     return [r[0] for r in _values_before(keys, column, starts)]

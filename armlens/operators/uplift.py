@@ -25,7 +25,9 @@ def uplift_scores(
     rows = complete_cases(df, spec)
     if models is None:
         models = pin_models(uplift_models(durable(fold_cells(rows, spec)), spec), spec)
-    return score_rows(rows, models, spec, SCORE)
+    # NULL stands for "no score" from here on: no model for the key, or not a number.
+    scored = score_rows(rows, models, spec, SCORE)
+    return scored.withColumn(SCORE, F.nanvl(SCORE, F.lit(None).cast("double")))
 
 
 def score_edges(
@@ -36,8 +38,7 @@ def score_edges(
     Ties collapse: equal cut points are kept once, so there can be fewer bins.
     """
     points = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
-    usable = scored.filter(F.col(SCORE).isNotNull() & ~F.isnan(SCORE))
-    edges = usable.groupBy(*spec.keys).agg(
+    edges = scored.groupBy(*spec.keys).agg(
         F.percentile_approx(SCORE, points, accuracy).alias("_edges")
     )
     return edges.withColumn("edges", F.array_distinct("_edges")).drop("_edges")
@@ -52,43 +53,51 @@ def exact_edges(scored: DataFrame, n_bins: int = N_BINS) -> DataFrame:
 def assign_bins(
     scored: DataFrame, edges: DataFrame, spec: ExperimentSpec, n_bins: int = N_BINS
 ) -> DataFrame:
-    """Bin = number of cut points strictly below the score. Rows without a score drop out."""
+    """Bin = number of cut points strictly below the score; NULL for a row without a score."""
     if spec.keys:
         joined = scored.join(edges, list(spec.keys))
     else:
         joined = scored.withColumn("edges", edges.select("edges").scalar())
-    usable = joined.filter(F.col(SCORE).isNotNull() & ~F.isnan(SCORE))
     bin_number = F.lit(0)
     for i in range(n_bins - 1):
-        above = F.col(SCORE) > F.get(F.col("edges"), F.lit(i))
-        bin_number = bin_number + F.coalesce(above.cast("int"), F.lit(0))
-    return usable.withColumn("bin", bin_number).drop("edges")
+        edge = F.coalesce(F.get(F.col("edges"), F.lit(i)), F.lit(float("inf")))
+        bin_number = bin_number + (F.col(SCORE) > edge).cast("int")
+    return joined.withColumn("bin", bin_number).drop("edges")
 
 
 def unscored(scored: DataFrame, spec: ExperimentSpec) -> DataFrame:
-    """Rows left out of the bins because their score is NULL or NaN."""
-    missing = F.col(SCORE).isNull() | F.isnan(SCORE)
+    """Rows left out of the bins because they have no score."""
+    missing = F.col(SCORE).isNull()
     return scored.groupBy(*spec.keys).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(missing).alias("n_unscored")
     )
 
 
 def bin_stats(binned: DataFrame, spec: ExperimentSpec) -> DataFrame:
-    """n, conversions and mean score per (keys, bin, arm)."""
-    return binned.groupBy(*spec.keys, "bin", spec.arm).agg(
-        F.count(F.lit(1)).alias("n"),
+    """n, conversions and mean score per (keys, bin, arm); rows without a score drop out.
+
+    They are dropped after counting: a filter on the score would be pushed down
+    and compute every score twice.
+    """
+    counted = binned.groupBy(*spec.keys, "bin", spec.arm).agg(
+        F.count(SCORE).alias("n"),
         F.sum(F.col(spec.metric).cast("double")).alias("conversions"),
         F.avg(SCORE).alias("mean_score"),
     )
+    return counted.filter(F.col("n") > 0)
 
 
 def uplift_bins(
-    df: DataFrame, spec: ExperimentSpec, n_bins: int = N_BINS, exact: bool = False
+    df: DataFrame,
+    spec: ExperimentSpec,
+    n_bins: int = N_BINS,
+    exact: bool = False,
+    fitted: DataFrame | None = None,
 ) -> DataFrame:
-    """Fit, score, cut and count: the per-(bin, arm) table behind the uplift reports."""
-    scored = uplift_scores(df, spec).select(*spec.keys, spec.arm, spec.metric, SCORE)
+    """Fit (unless ``fitted`` models are given), score, cut and count per (bin, arm)."""
     if exact and spec.keys:
         raise ValueError("exact cut points are for the whole log; use the sketch per key")
+    scored = uplift_scores(df, spec, fitted).select(*spec.keys, spec.arm, spec.metric, SCORE)
     edges = exact_edges(scored, n_bins) if exact else score_edges(scored, spec, n_bins)
     return bin_stats(assign_bins(scored, edges, spec, n_bins), spec)
 

@@ -22,7 +22,7 @@ from ..sources import logs, samples
 from ..sources.session import durable
 from ..spec import ExperimentSpec
 from . import sql_forms
-from .experiment import analyse_experiment
+from .experiment import ExperimentReport
 from .views import FEATURES, LOG_COLUMNS, explog, explog_coarse, explog_looks, explog_ordered
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,7 +175,9 @@ def position_summary_assembled(spark, sf_dir):
 
 
 def position_stored_order(spark, sf_dir):
-    return rounded(position.share_by_block(explog(spark, sf_dir, ("treatment",)), PLAIN))
+    return rounded(position.share_by_block(
+        explog(spark, sf_dir, ("treatment",), stored_order=True), PLAIN
+    ))
 
 
 # -- samples ---------------------------------------------------------------------------------
@@ -683,13 +685,13 @@ def ship_decision(spark, sf_dir):
 def experiment_summary(spark, sf_dir):
     """The whole analysis with all twelve features; its last table."""
     spec = replace(FULL, fold=None)
-    return analyse_experiment(explog(spark, sf_dir, LOG_COLUMNS), spec)["summary"]
+    return ExperimentReport(explog(spark, sf_dir, LOG_COLUMNS), spec).summary
 
 
 def experiment_summary_by_segment(spark, sf_dir):
     """The same per market: one pass for all of them."""
     spec = replace(FEW, fold=None, keys=("market",), exposure="exposure", post_covariate="visit")
-    return analyse_experiment(_log(spark, sf_dir, spec), spec)["summary"]
+    return ExperimentReport(_log(spark, sf_dir, spec), spec).summary
 
 
 def result_documents(spark, sf_dir):

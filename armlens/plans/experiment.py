@@ -1,127 +1,235 @@
-"""The whole analysis of a log as one set of lazy result tables.
-
-Two passes over the log: one that sums (keys, fold, arm) cells, from which every
-test, model and adjusted estimate follows by algebra, and one for the uplift
-bins, which need a score per row. The specification curve adds the collapse to
-distinct rows.
-"""
+"""The whole analysis of a log, table by table."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import ancova as _ancova
+from ..operators import ancova as anc
 from ..operators import decision, effects, guardrails, models, power, quality, robustness
 from ..operators import sequential, suffstats, uplift
 from ..operators.folds import FOLD, with_fold
 from ..operators.moments import paired_moments
-from ..sources.logs import write_result
+from ..sources.logs import write_cells, write_result
 from ..sources.session import durable
 from ..spec import ExperimentSpec
 
 
-@dataclass
 class ExperimentReport:
-    """Result tables by name; each is a lazy DataFrame keyed by the spec's keys."""
+    """Every result table of one analysis, built when first asked for.
+
+    The log is read twice: once for the sums per (choice, fold, arm), from which
+    all tests, models and adjusted estimates follow by algebra, and for the
+    uplift bins, which need a score per row (a sketch pass and a count pass).
+    The sums are kept in the checkpoint folder, so every table after the first
+    starts from a handful of rows.
+
+    ``choices=False`` leaves out the row-handling choices and with them the
+    collapse to distinct rows, the one shuffle that grows with the log.
+    """
+
+    TABLES = (
+        "quality", "completeness", "arms", "srm", "srm_sensitivity", "balance_features", "balance",
+        "power", "power_grid", "effects", "cuped", "lin", "cuped_post", "cuped_post_diagnostics",
+        "complier", "ancova", "index_gain", "sequential", "spec_curve", "spec_curve_summary",
+        "uplift_bins", "uplift", "qini_curve", "uplift_summary", "decision", "summary",
+    )
 
-    spec: ExperimentSpec
-    cells: DataFrame
-    tables: Mapping[str, DataFrame] = field(default_factory=dict)
+    def __init__(self, log: DataFrame, spec: ExperimentSpec, choices: bool = True):
+        self.spec = spec
+        self.choices = choices
+        self.log = log.select(*suffstats.analysis_columns(spec))
+
+    @property
+    def tables(self) -> tuple[str, ...]:
+        """Names of the tables that this spec has the columns for."""
+        absent = set()
+        if not self.choices:
+            absent |= {"spec_curve", "spec_curve_summary"}
+        if not self.spec.post_covariate:
+            absent |= {"cuped_post", "cuped_post_diagnostics"}
+        if not self.spec.exposure:
+            absent.add("complier")
+        return tuple(t for t in self.TABLES if t not in absent)
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.tables[name]
+        if name not in self.tables:
+            raise KeyError(name)
+        return getattr(self, name)
 
     def write(self, folder: str) -> None:
         """Cells as Parquet, every table as JSON lines."""
-        self.cells.write.mode("overwrite").parquet(f"{folder}/cells")
-        for name, table in self.tables.items():
-            write_result(table, f"{folder}/{name}")
-
-
-def analyse_experiment(
-    log: DataFrame, spec: ExperimentSpec, with_robustness: bool = True, with_uplift: bool = True
-) -> ExperimentReport:
-    """Guardrails, effects, adjustments, robustness, uplift and the decision, per key."""
-    log = log.select(*suffstats.analysis_columns(spec))
-    flags = [c for c in (spec.arm, spec.metric, spec.post_covariate, spec.exposure) if c]
-    tables: dict[str, DataFrame] = {}
-    tables["quality"] = quality.flag_quality(log, flags, keys=spec.keys)
-    tables["completeness"] = suffstats.completeness(log, spec)
-
-    if with_robustness:
-        columns = log.columns
-        per_choice_folds = _choice_cells(log, spec, columns)
-        per_fold = per_choice_folds.filter("spec = 'all'").drop("spec")
-    else:
-        per_fold = durable(models.fold_cells(log, spec))
-    index_models = durable(models.covariate_models(per_fold, spec))
-    cells = durable(models.index_cells(per_fold, index_models, spec))
-
-    pairs = paired_moments(cells, spec, "xs")
-    counts = suffstats.arm_pairs(cells, spec, ("n",)).selectExpr(
-        *spec.keys, "cast(coalesce(t_n, 0) as long) n_treatment",
-        "cast(coalesce(c_n, 0) as long) n_control",
-    )
-    tables["arms"] = suffstats.arm_summary(cells, spec)
-    tables["srm"] = guardrails.srm_check(counts, spec)
-    tables["srm_sensitivity"] = guardrails.srm_sensitivity(counts, spec)
-    tables["balance_features"] = guardrails.balance_features(cells, spec)
-    tables["balance"] = guardrails.balance_check(cells, spec)
-    tables["power"] = power.power_summary(cells, spec)
-    tables["power_grid"] = power.power_grid(cells, spec)
-    tables["effects"] = guardrails.gate(effects.estimates(pairs, spec), tables["srm"], spec)
-    tables["cuped"] = effects.cuped_diagnostics(pairs, spec)
-    tables["lin"] = effects.lin_diagnostics(pairs, spec)
-    if spec.post_covariate:
-        post = paired_moments(cells, spec, "xn")
-        tables["cuped_post"] = effects.estimates(
-            post, spec, ("cuped",), suffix=f"[{spec.post_covariate}]"
+        write_cells(self.cells, f"{folder}/cells")
+        for name in self.tables:
+            write_result(self[name], f"{folder}/{name}")
+
+    # -- sums, kept ----------------------------------------------------------------------
+
+    @cached_property
+    def choice_folds(self) -> DataFrame:
+        """Sums per (keys, choice, fold, arm), from the log collapsed to distinct rows."""
+        collapsed = quality.collapse(self.log, self.log.columns)
+        return durable(
+            robustness.spec_cells(with_fold(collapsed, self.spec), self.spec, by=(FOLD,))
         )
-        tables["cuped_post_diagnostics"] = effects.cuped_diagnostics(post, spec, False)
-    if spec.exposure:
-        tables["complier"] = effects.complier_effects(pairs, spec)
-    tables["ancova"] = _ancova.ancova(cells, spec, ("pooled", "within", "lin"))
-    tables["index_gain"] = _ancova.index_gain(
-        tables["ancova"], models.mean_index_r2(index_models, spec), spec
-    )
-    tables["sequential"] = sequential.always_valid(pairs, spec)
 
-    summary = None
-    if with_robustness:
-        keyed = robustness.per_spec(spec)
-        choice_cells = durable(
-            models.index_cells(per_choice_folds, index_models, keyed, model_keys=spec.keys)
+    @cached_property
+    def fold_cells(self) -> DataFrame:
+        if self.choices:
+            return self.choice_folds.filter(F.col(robustness.SPEC) == "all").drop(robustness.SPEC)
+        return durable(models.fold_cells(self.log, self.spec))
+
+    @cached_property
+    def index_models(self) -> DataFrame:
+        return models.covariate_models(self.fold_cells, self.spec)
+
+    @cached_property
+    def choice_cells(self) -> DataFrame:
+        """Cells per (keys, choice, arm) with the sums of the cross-fitted index."""
+        keyed = robustness.per_spec(self.spec)
+        return durable(models.index_cells(
+            self.choice_folds, self.index_models, keyed, model_keys=self.spec.keys
+        ))
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """Cells per (keys, arm) with the sums of the cross-fitted index."""
+        if self.choices:
+            return self.choice_cells.filter(F.col(robustness.SPEC) == "all").drop(robustness.SPEC)
+        return durable(models.index_cells(self.fold_cells, self.index_models, self.spec))
+
+    @cached_property
+    def uplift_bins(self) -> DataFrame:
+        fitted = models.pin_models(models.uplift_models(self.fold_cells, self.spec), self.spec)
+        return durable(uplift.uplift_bins(self.log, self.spec, fitted=fitted))
+
+    # -- quality and guardrails ----------------------------------------------------------
+
+    @cached_property
+    def quality(self) -> DataFrame:
+        s = self.spec
+        flags = [c for c in (s.arm, s.metric, s.post_covariate, s.exposure) if c]
+        return quality.flag_quality(self.log, flags, keys=s.keys)
+
+    @cached_property
+    def completeness(self) -> DataFrame:
+        return suffstats.completeness(self.log, self.spec)
+
+    @cached_property
+    def arms(self) -> DataFrame:
+        return suffstats.arm_summary(self.cells, self.spec)
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        pairs = suffstats.arm_pairs(self.cells, self.spec, ("n",))
+        return pairs.select(
+            *self.spec.keys,
+            F.coalesce("t_n", F.lit(0)).cast("long").alias("n_treatment"),
+            F.coalesce("c_n", F.lit(0)).cast("long").alias("n_control"),
+        )
+
+    @cached_property
+    def srm(self) -> DataFrame:
+        return guardrails.srm_check(self.counts, self.spec)
+
+    @cached_property
+    def srm_sensitivity(self) -> DataFrame:
+        return guardrails.srm_sensitivity(self.counts, self.spec)
+
+    @cached_property
+    def balance_features(self) -> DataFrame:
+        return guardrails.balance_features(self.cells, self.spec)
+
+    @cached_property
+    def balance(self) -> DataFrame:
+        return guardrails.balance_check(self.cells, self.spec)
+
+    # -- power and effects -----------------------------------------------------------------
+
+    @cached_property
+    def power(self) -> DataFrame:
+        return power.power_summary(self.cells, self.spec)
+
+    @cached_property
+    def power_grid(self) -> DataFrame:
+        return power.power_grid(self.cells, self.spec)
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return paired_moments(self.cells, self.spec, "xs")
+
+    @cached_property
+    def effects(self) -> DataFrame:
+        """Estimates of the keys whose sample ratio holds; the others are withheld."""
+        return guardrails.gate(effects.estimates(self.pairs, self.spec), self.srm, self.spec)
+
+    @cached_property
+    def cuped(self) -> DataFrame:
+        return effects.cuped_diagnostics(self.pairs, self.spec)
+
+    @cached_property
+    def lin(self) -> DataFrame:
+        return effects.lin_diagnostics(self.pairs, self.spec)
+
+    @cached_property
+    def cuped_post(self) -> DataFrame:
+        """The tempting but wrong adjustment, on a covariate the treatment moves."""
+        post = paired_moments(self.cells, self.spec, "xn")
+        return effects.estimates(post, self.spec, ("cuped",), suffix=f"[{self.spec.post_covariate}]")
+
+    @cached_property
+    def cuped_post_diagnostics(self) -> DataFrame:
+        post = paired_moments(self.cells, self.spec, "xn")
+        return effects.cuped_diagnostics(post, self.spec, pre_assignment=False)
+
+    @cached_property
+    def complier(self) -> DataFrame:
+        return effects.complier_effects(self.pairs, self.spec)
+
+    @cached_property
+    def ancova(self) -> DataFrame:
+        return anc.ancova(self.cells, self.spec, ("pooled", "within", "lin"))
+
+    @cached_property
+    def index_gain(self) -> DataFrame:
+        r2 = models.mean_index_r2(self.index_models, self.spec)
+        return anc.index_gain(self.ancova, r2, self.spec)
+
+    @cached_property
+    def sequential(self) -> DataFrame:
+        return sequential.always_valid(self.pairs, self.spec)
+
+    # -- robustness, uplift, decision -----------------------------------------------------
+
+    @cached_property
+    def spec_curve(self) -> DataFrame:
+        return robustness.spec_curve(self.choice_cells, self.spec)
+
+    @cached_property
+    def spec_curve_summary(self) -> DataFrame:
+        return robustness.spec_curve_summary(self.spec_curve, self.spec)
+
+    @cached_property
+    def uplift(self) -> DataFrame:
+        return uplift.uplift_table(self.uplift_bins, self.spec)
+
+    @cached_property
+    def qini_curve(self) -> DataFrame:
+        return uplift.qini_curve(self.uplift, self.spec)
+
+    @cached_property
+    def uplift_summary(self) -> DataFrame:
+        return uplift.uplift_summary(self.uplift, self.spec)
+
+    @cached_property
+    def decision(self) -> DataFrame:
+        curve = self.spec_curve_summary if self.choices else None
+        return decision.ship_decision(self.effects, self.spec, curve, self.balance)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return decision.experiment_summary(
+            self.decision, self.spec, power=self.power, uplift=self.uplift_summary
         )
-        tables["spec_curve"] = durable(robustness.spec_curve(choice_cells, spec))
-        summary = robustness.spec_curve_summary(tables["spec_curve"], spec)
-        tables["spec_curve_summary"] = summary
-    tables["decision"] = decision.ship_decision(
-        tables["effects"], spec, summary, tables["balance"]
-    )
-    parts = {"power": tables["power"]}
-    if with_uplift:
-        tables["uplift_bins"] = _uplift_bins(log, per_fold, spec)
-        tables["uplift"] = uplift.uplift_table(tables["uplift_bins"], spec)
-        tables["qini_curve"] = uplift.qini_curve(tables["uplift"], spec)
-        tables["uplift_summary"] = uplift.uplift_summary(tables["uplift"], spec)
-        parts["uplift"] = tables["uplift_summary"]
-    tables["summary"] = decision.experiment_summary(tables["decision"], spec, **parts)
-    return ExperimentReport(spec, cells, tables)
-
-
-def _choice_cells(log: DataFrame, spec: ExperimentSpec, columns: list[str]) -> DataFrame:
-    """Cells per row-handling choice, fold and arm, from the collapsed log."""
-    collapsed = quality.collapse(log, columns)
-    return durable(robustness.spec_cells(with_fold(collapsed, spec), spec, by=(FOLD,)))
-
-
-def _uplift_bins(log: DataFrame, per_fold: DataFrame, spec: ExperimentSpec) -> DataFrame:
-    fitted = models.pin_models(models.uplift_models(per_fold, spec), spec)
-    scored = uplift.uplift_scores(log, spec, fitted).select(
-        *spec.keys, spec.arm, spec.metric, uplift.SCORE
-    )
-    edges = uplift.score_edges(scored, spec)
-    return durable(uplift.bin_stats(uplift.assign_bins(scored, edges, spec), spec))

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.logs import spread
+
 FEATURES = tuple(f"f{i}" for i in range(12))
 LOG_COLUMNS = (*FEATURES, "treatment", "conversion", "visit", "exposure")
 
@@ -52,8 +54,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def explog(spark: SparkSession, sf_dir: str, columns: Sequence[str] = LOG_COLUMNS) -> DataFrame:
-    """One row per order line: twelve features, arm, outcome flags, fold and segments."""
+def explog(
+    spark: SparkSession, sf_dir: str, columns: Sequence[str] = LOG_COLUMNS, stored_order: bool = False
+) -> DataFrame:
+    """One row per order line: twelve features, arm, outcome flags, fold and segments.
+
+    ``stored_order`` keeps the rows in the partitions they are read in.
+    """
     definitions = _definitions()
     needed = {t for name in columns for t in definitions[name][1]}
     joins = {
@@ -61,6 +68,8 @@ def explog(spark: SparkSession, sf_dir: str, columns: Sequence[str] = LOG_COLUMN
         "part": ("l_partkey", "p_partkey"), "supplier": ("l_suppkey", "s_suppkey"),
     }
     log = _table(spark, sf_dir, "lineitem")
+    if not stored_order:
+        log = spread(log, "l_orderkey", "l_linenumber")
     for name, (left, right) in joins.items():
         if name in needed:
             log = log.join(_table(spark, sf_dir, name), F.col(left) == F.col(right))

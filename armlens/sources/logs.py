@@ -25,6 +25,19 @@ def log_schema(
     )
 
 
+def spread(df: DataFrame, *columns: str, partitions: int | None = None) -> DataFrame:
+    """Spread rows that would be read by fewer tasks than there are cores.
+
+    A gzip file or a Parquet file of one row group is a single task, however
+    long. Inputs that already fill the cluster are returned as they are, so a
+    large log is never shuffled by this.
+    """
+    wanted = partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted, *columns)
+
+
 def read_csv_log(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -47,9 +60,7 @@ def read_csv_log(
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             continue
-        if path.endswith(".gz"):
-            df = df.repartition(gzip_partitions or spark.sparkContext.defaultParallelism)
-        return df
+        return spread(df, partitions=gzip_partitions) if path.endswith(".gz") else df
     raise FileNotFoundError(f"no experiment log at {', '.join(candidates)}")
 
 

@@ -6,10 +6,18 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# The sums of 12 features are more than 100 output fields, the point at which
-# Spark stops compiling a stage by default.
-RECOMMENDED_CONF = {
+# Settings that can also be changed on a running session.
+SESSION_CONF = {
+    # The sums of 12 features are more than 100 output fields, the point at which
+    # Spark stops compiling a stage by default.
     "spark.sql.codegen.maxFields": "400",
+    # The JVM never compiles a method over 8000 bytes, so a wider generated stage
+    # is interpreted for good; below the limit Spark uses its smaller, compiled parts.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+RECOMMENDED_CONF = {
+    **SESSION_CONF,
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.compression.codec": "snappy",
@@ -27,6 +35,13 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the recommended runtime settings to a session made elsewhere."""
+    for key, value in SESSION_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and cut its lineage.
 
