@@ -17,6 +17,13 @@ def _not_binary(name: str) -> Column:
     return ~F.coalesce(F.col(name).isin(0, 1), F.lit(False))
 
 
+def flag_counts(flags: Sequence[str]) -> list[Column]:
+    """Row count and out-of-domain count per flag, to be combined with other aggregates."""
+    return [F.count(F.lit(1)).alias("n_rows")] + [
+        F.count_if(_not_binary(f)).alias(f"bad_{f}") for f in flags
+    ]
+
+
 def flag_quality(
     df: DataFrame,
     flags: Sequence[str],
@@ -30,8 +37,7 @@ def flag_quality(
     ``implications`` maps an output name to (consequence-less cause, required
     flag): rows with the first at 1 and the second at 0.
     """
-    counts = [F.count(F.lit(1)).alias("n_rows")]
-    counts += [F.count_if(_not_binary(f)).alias(f"bad_{f}") for f in flags]
+    counts = flag_counts(flags)
     counts += [F.count_if(F.col(f) == 1).alias(o) for o, f in (set_flags or {}).items()]
     counts += [
         F.count_if((F.col(a) == 1) & (F.col(b) == 0)).alias(o)

@@ -40,14 +40,16 @@ def complete_cases(df: DataFrame, spec: ExperimentSpec) -> DataFrame:
     return df.filter(_is_complete(spec))
 
 
+def completeness_counts(spec: ExperimentSpec) -> list[Column]:
+    """Kept and dropped row counts, to be combined with other aggregates."""
+    complete = _is_complete(spec)
+    return [F.count_if(complete).alias("n_complete"), F.count_if(~complete).alias("n_dropped")]
+
+
 def completeness(df: DataFrame, spec: ExperimentSpec) -> DataFrame:
     """How many rows ``complete_cases`` keeps and drops."""
-    complete = _is_complete(spec)
-    return df.groupBy(*spec.keys).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(complete).alias("n_complete"),
-        F.count_if(~complete).alias("n_dropped"),
-    )
+    rows = F.count(F.lit(1)).alias("n_rows")
+    return df.groupBy(*spec.keys).agg(rows, *completeness_counts(spec))
 
 
 def feature_shifts(df: DataFrame, spec: ExperimentSpec) -> tuple[tuple[str, float], ...]:

@@ -95,9 +95,16 @@ def uplift_bins(
     fitted: DataFrame | None = None,
 ) -> DataFrame:
     """Fit (unless ``fitted`` models are given), score, cut and count per (bin, arm)."""
+    scored = uplift_scores(df, spec, fitted).select(*spec.keys, spec.arm, spec.metric, SCORE)
+    return binned_counts(scored, spec, n_bins, exact)
+
+
+def binned_counts(
+    scored: DataFrame, spec: ExperimentSpec, n_bins: int = N_BINS, exact: bool = False
+) -> DataFrame:
+    """Cut already scored rows into bins and count them. Reads ``scored`` twice."""
     if exact and spec.keys:
         raise ValueError("exact cut points are for the whole log; use the sketch per key")
-    scored = uplift_scores(df, spec, fitted).select(*spec.keys, spec.arm, spec.metric, SCORE)
     edges = exact_edges(scored, n_bins) if exact else score_edges(scored, spec, n_bins)
     return bin_stats(assign_bins(scored, edges, spec, n_bins), spec)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,20 +103,33 @@ class ExperimentReport:
 
     @cached_property
     def uplift_bins(self) -> DataFrame:
-        fitted = models.pin_models(models.uplift_models(self.fold_cells, self.spec), self.spec)
-        return durable(uplift.uplift_bins(self.log, self.spec, fitted=fitted))
+        s = self.spec
+        fitted = models.pin_models(models.uplift_models(self.fold_cells, s), s)
+        # Cut points and counts both need the scores; only arm, outcome and score are held.
+        scored = uplift.uplift_scores(self.log, s, fitted).select(
+            *s.keys, s.arm, s.metric, uplift.SCORE
+        ).persist(StorageLevel.MEMORY_AND_DISK)
+        bins = durable(uplift.binned_counts(scored, s))
+        scored.unpersist()
+        return bins
 
     # -- quality and guardrails ----------------------------------------------------------
 
     @cached_property
-    def quality(self) -> DataFrame:
+    def _checks(self) -> DataFrame:
+        """Flag quality and completeness from one pass."""
         s = self.spec
         flags = [c for c in (s.arm, s.metric, s.post_covariate, s.exposure) if c]
-        return quality.flag_quality(self.log, flags, keys=s.keys)
+        counts = quality.flag_counts(flags) + suffstats.completeness_counts(s)
+        return durable(self.log.groupBy(*s.keys).agg(*counts))
+
+    @cached_property
+    def quality(self) -> DataFrame:
+        return self._checks.drop("n_complete", "n_dropped")
 
     @cached_property
     def completeness(self) -> DataFrame:
-        return suffstats.completeness(self.log, self.spec)
+        return self._checks.select(*self.spec.keys, "n_rows", "n_complete", "n_dropped")
 
     @cached_property
     def arms(self) -> DataFrame:
