@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import expressions, linear_score, packed_gram, packed_rhs, quoted
 from ..functions.linalg import least_squares, linear_score_sums
-from ..sources.session import durable
+from ..sources.session import broadcast_within, durable
 from ..spec import ExperimentSpec
 from .folds import FOLD, with_fold
 from .suffstats import fold_complement, sufficient_stats, sum_columns
@@ -113,14 +113,13 @@ def pin_models(models: DataFrame, spec: ExperimentSpec) -> DataFrame:
 def score_rows(df: DataFrame, models: DataFrame, spec: ExperimentSpec, out: str) -> DataFrame:
     """Give each row the score of its own fold's model, as arithmetic inside codegen.
 
-    Without keys the models are ``n_folds`` rows and are broadcast. With keys
-    their number is not known, so the join strategy is left to Spark: it
-    broadcasts below its size threshold and otherwise shuffles with skew splits.
+    ``models`` come from ``pin_models``. Without keys they are ``n_folds`` rows
+    and are broadcast; with keys they are broadcast only if few, and otherwise
+    joined by shuffle.
     """
     folded = df if FOLD in df.columns else with_fold(df, spec)
     table = models.select(*spec.keys, FOLD, F.col("coef").alias("_coef"))
-    if not spec.keys:
-        table = F.broadcast(table)
+    table = broadcast_within(table) if spec.keys else F.broadcast(table)
     joined = folded.join(table, [*spec.keys, FOLD], "left")
     features = [spec.feature_text(f) for f in spec.features]
     return joined.withColumn(out, linear_score("_coef", features)).drop("_coef")

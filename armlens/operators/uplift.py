@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import above_zero, ratio
 from ..functions.distributions import chi2_sf
-from ..sources.session import durable
+from ..sources.session import broadcast_within, durable
 from ..spec import ExperimentSpec
 from .models import fold_cells, pin_models, score_rows, uplift_models
 from .position import rank_cuts
@@ -106,6 +106,8 @@ def binned_counts(
     if exact and spec.keys:
         raise ValueError("exact cut points are for the whole log; use the sketch per key")
     edges = exact_edges(scored, n_bins) if exact else score_edges(scored, spec, n_bins)
+    if spec.keys:
+        edges = broadcast_within(durable(edges))
     return bin_stats(assign_bins(scored, edges, spec, n_bins), spec)
 
 
