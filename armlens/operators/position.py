@@ -83,7 +83,7 @@ def with_block(
     """Adds the number of the equal-size block each row falls in.
 
     Without ``order_by`` the position is the one in the stored log as Spark
-    reads it. With it, rows are placed by their order key, which should be
+    reads it, so ``df`` should be a scan with nothing shuffled before it. With it, rows are placed by their order key, which should be
     unique; only the keys are sorted, the rows stay where they are.
     """
     if order_by is None:

@@ -244,6 +244,22 @@ class ExperimentReport:
 
     @cached_property
     def summary(self) -> DataFrame:
+        """One row per key: the decision and the headline figures behind it."""
+        keys = self.spec.keys
+        treated = self.arms.filter(F.col(self.spec.arm) == 1)
         return decision.experiment_summary(
-            self.decision, self.spec, power=self.power, uplift=self.uplift_summary
+            self.decision, self.spec,
+            split=treated.select(*keys, F.col("split_label").alias("label")),
+            srm=self.srm.select(*keys, "status", "z_score", "p_value", "underdispersed"),
+            cuped=self.cuped.select(
+                *keys, "observed_variance_reduction", "observed_ci_width_reduction", "covariate_status"
+            ),
+            power=self.power.select(
+                *keys, "baseline_rate", "mde_relative", "n_control_required", "powered",
+                "achieved_power", "smallest_detectable_lift",
+            ),
+            sequential=self.sequential.select(*keys, "always_valid_ci_low", "always_valid_ci_high", "width_penalty"),
+            uplift=self.uplift_summary.select(
+                *keys, "qini_ratio", "heterogeneity_p", "share_of_effect_in_top_share"
+            ),
         )

@@ -64,6 +64,11 @@ def read_csv_log(
     raise FileNotFoundError(f"no experiment log at {', '.join(candidates)}")
 
 
+def write_csv_log(log: DataFrame, path: str) -> None:
+    """Store a log or a sample of one as CSV with a header, replacing an earlier one."""
+    log.write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_cells(cells: DataFrame, path: str) -> None:
     """Store a result-sized table of sums, replacing an earlier one."""
     cells.write.mode("overwrite").parquet(path)

@@ -25,6 +25,8 @@ RECOMMENDED_CONF = {
     **SESSION_CONF,
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Checkpoint files go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.parquet.compression.codec": "snappy",
     "spark.sql.session.timeZone": "UTC",
     # Call-site capture on every column operation triples the time to build wide plans.

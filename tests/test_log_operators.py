@@ -83,7 +83,7 @@ def test_ordered_blocks_on_shuffled_rows_and_on_one_hot_key(spark):
     assert cuts == [ranked[-(-i * n // 10) - 1] for i in range(1, 10)]
 
 
-def test_fixed_size_sample_is_exact_and_holds_both_arms(spark):
+def test_fixed_size_sample_is_exact_and_holds_both_arms(spark, tmp_path):
     df = spark.range(0, 50_000, 1, 12).select("id", (F.col("id") < 20_000).cast("int").alias("treatment"))
     sample = samples.fixed_size_sample(df, 3_000, seed=5).cache()
     assert sample.count() == 3_000 and sample.select("id").distinct().count() == 3_000
@@ -91,6 +91,8 @@ def test_fixed_size_sample_is_exact_and_holds_both_arms(spark):
     assert cover[0]["covered"] and cover[1]["covered"]
     head = by(samples.arm_coverage(df.filter("treatment = 1"), SPEC), "treatment")
     assert head[0]["n"] == 0 and not head[0]["covered"]
+    logs.write_csv_log(sample, str(tmp_path / "sample"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "sample")).count() == 3_000
     assert samples.fixed_size_sample(df.limit(10), 3_000, seed=5).count() == 10
     assert samples.arm_sample(df, SPEC, {0: 0.0, 1: 1.0}, 1).count() == 20_000
     assert samples.fraction_sample(df, 0.5, 1).count() == pytest.approx(25_000, rel=0.05)
