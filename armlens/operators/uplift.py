@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,9 +95,17 @@ def uplift_bins(
     exact: bool = False,
     fitted: DataFrame | None = None,
 ) -> DataFrame:
-    """Fit (unless ``fitted`` models are given), score, cut and count per (bin, arm)."""
+    """Fit (unless ``fitted`` models are given), score, cut and count per (bin, arm).
+
+    Cut points and counts both read the scores, so arm, outcome and score are
+    held (in memory or on disk) until the counts are stored.
+    """
     scored = uplift_scores(df, spec, fitted).select(*spec.keys, spec.arm, spec.metric, SCORE)
-    return binned_counts(scored, spec, n_bins, exact)
+    held = scored.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return durable(binned_counts(held, spec, n_bins, exact))
+    finally:
+        held.unpersist()
 
 
 def binned_counts(

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions.columns import quoted
 from ..operators import ancova as anc
 from ..operators import decision, effects, guardrails, models, moments, position, power
 from ..operators import quality, robustness, sequential, suffstats, uplift
@@ -66,13 +67,12 @@ def rounded(
 ) -> DataFrame:
     """Round every double column; adding zero turns -0.0 into 0.0."""
     pick = digits if callable(digits) else lambda name: (digits or {}).get(name, DIGITS)
-    return df.select(
-        *[
-            (F.round(F.col(f.name), pick(f.name)) + 0.0).alias(f.name)
-            if isinstance(f.dataType, DoubleType) else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    texts = [
+        f"round({quoted(f.name)}, {pick(f.name)}) + 0D AS {quoted(f.name)}"
+        if isinstance(f.dataType, DoubleType) else quoted(f.name)
+        for f in df.schema.fields
+    ]
+    return df.selectExpr(*texts)
 
 
 def _log(spark: SparkSession, sf_dir: str, spec: ExperimentSpec, *extra: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,15 +102,8 @@ class ExperimentReport:
 
     @cached_property
     def uplift_bins(self) -> DataFrame:
-        s = self.spec
-        fitted = models.pin_models(models.uplift_models(self.fold_cells, s), s)
-        # Cut points and counts both need the scores; only arm, outcome and score are held.
-        scored = uplift.uplift_scores(self.log, s, fitted).select(
-            *s.keys, s.arm, s.metric, uplift.SCORE
-        ).persist(StorageLevel.MEMORY_AND_DISK)
-        bins = durable(uplift.binned_counts(scored, s))
-        scored.unpersist()
-        return bins
+        fitted = models.pin_models(models.uplift_models(self.fold_cells, self.spec), self.spec)
+        return uplift.uplift_bins(self.log, self.spec, fitted=fitted)
 
     # -- quality and guardrails ----------------------------------------------------------
 
