@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,22 +49,50 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that all executors can reach.
+
+    It is the one named in ``spark.checkpoint.dir``. A local session without
+    that setting (tests, a notebook) uses a folder below its warehouse; on a
+    cluster the setting is required, because a machine-local folder would not
+    be seen by the other executors.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and cut its lineage.
+    """Write ``df`` to the shared folder and cut its lineage.
 
     Used for small but expensive tables (per-arm sums, model coefficients) and
     for order keys, so a lost executor costs a read and not another pass over
-    the log. The folder is the one named in ``spark.checkpoint.dir``; one is
-    made only where none is set, as in tests.
+    the log.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="armlens-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    Unlike ``durable`` the result is columnar, compressed and of known size, so
+    Spark prunes its columns and chooses joins by its bytes. The files go when
+    the session ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/armlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def broadcast_within(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Mark an already stored per-key table for broadcast if its row count allows it.
 
