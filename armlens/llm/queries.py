@@ -3,11 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+import public_tokenizers
+
+from . import exact_dedup, html_text, packing, simhash, topk, toxicity, warc
 from .common import table, tuned
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(tuned(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "sequences_bound")
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(tuned(spark), sf_dir, "pages"))
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(tuned(spark), sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5, "vec_id", "embedding", 256)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(tuned(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(tuned(spark), sf_dir, "documents"))
 
@@ -16,7 +37,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(tuned(spark), sf_dir, "documents"), shingle=4, distance=4)
 
 
-QUERIES = (op6_exact_dedup, op9_simhash)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, records = warc.archive_pages(table(tuned(spark), sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = (op1_best_fit_packing, op2_html_extraction, op3_exact_top_k, op5_toxicity, op6_exact_dedup, op9_simhash, op10_warc)
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
@@ -28,4 +54,39 @@ ORACLE_SQL = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op3_exact_top_k": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(max(list_inner_product(q.v, c.v)) AS BIGINT) AS score
+            FROM v q, v c
+            WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+            GROUP BY ALL
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+        FROM scored
+        QUALIFY rank <= 5
+    """,
+    "op10_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages
+        ),
+        letters AS (
+            SELECT page_id, html, [
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       (CAST('0x' || substr(sha, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) % 32 + 1, 1)
+                FOR i IN range(32)] AS l
+            FROM p
+        ),
+        kept AS (
+            SELECT page_id, html, l, max(page_id) OVER (PARTITION BY html) AS first FROM letters
+        )
+        SELECT page_id, strlen(html) AS payload_bytes, array_to_string(l, '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM kept
+    """,
 }
