@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import exact_dedup, html_text, packing, simhash, topk, toxicity, warc
+from . import exact_dedup, html_text, packing, pii, simhash, topk, toxicity, warc
 from .common import table, tuned
 
 
@@ -25,6 +25,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5, "vec_id", "embedding", 256)
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(tuned(spark), sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(tuned(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,7 +46,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = (op1_best_fit_packing, op2_html_extraction, op3_exact_top_k, op5_toxicity, op6_exact_dedup, op9_simhash, op10_warc)
+QUERIES = (
+    op1_best_fit_packing, op2_html_extraction, op3_exact_top_k, op4_personal_data, op5_toxicity, op6_exact_dedup,
+    op9_simhash, op10_warc)
 
 ORACLE_SQL = {
     "op6_exact_dedup": """

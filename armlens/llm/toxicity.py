@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +40,30 @@ SECOND_PERSON = frozenset(
     "tú ti tuyo usted ustedes vosotros vuestro".split())
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-# Letters with digits or signs among them, as in disguised spellings.
-DISGUISED = re.compile(r"[^\W\d_]+[\d@$!*#|]+[^\W\d_]+")
-STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
+# Signs that stand in for letters in disguised spellings.
+STAND_INS = "@$!*#|"
 
 FEATURES = (
     "lexicon_density", "lexicon_weight", "lexicon_max", "lexicon_distinct", "lexicon_hits", "prefix_density",
-    "prefix_weight", "prefix_max", "prefix_hits", "second_person", "aimed", "capitals", "capital_words",
+    "prefix_weight", "prefix_max", "prefix_hits", "second_person", "aimed", "capitals", "capital_runs",
     "exclamations", "questions", "other_marks", "digits", "disguised", "stretched", "word_length", "log_words")
 
 
+# Classes of characters, looked up by code point; rarer scripts count as letters.
+LETTER, UPPER, DIGIT, MARK, SPACE = range(5)
+TABLE_SIZE = 0x3000
+
+
+@lru_cache(maxsize=1)
+def character_classes() -> np.ndarray:
+    kinds = np.zeros(TABLE_SIZE + 1, dtype=np.uint8)
+    for code in range(TABLE_SIZE):
+        c = chr(code)
+        kinds[code] = (SPACE if c.isspace() else UPPER if c.isupper() else DIGIT if c.isdigit()
+                       else LETTER if c.isalpha() else MARK)
+    return kinds
+
+
 def terms_of(word: str) -> list[str]:
     """Lexicon entries that a lower-case word can match: itself and its beginnings."""
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
@@ -82,17 +97,23 @@ def features(text: str, lexicon: dict[str, float], cache: dict[str, tuple[float,
         before = np.array(hits) - at[np.maximum(place - 1, 0)]
         after = at[np.minimum(place, len(at) - 1)] - np.array(hits)
         aimed = int(((np.abs(before) <= NEAR) | (np.abs(after) <= NEAR)).sum())
-    letters = max(1, sum(map(len, words)))
-    capitals = sum(map(str.isupper, text)) if not text.islower() else 0
-    marks = Counter(c for c in text if not c.isalnum() and not c.isspace()) if not text.isalnum() else {}
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kinds = character_classes()[np.minimum(codes, TABLE_SIZE)]
+    count = np.bincount(kinds, minlength=5)
+    letters = max(1, int(count[LETTER] + count[UPPER]))
+    letter = kinds <= UPPER
+    stand_in = (kinds == DIGIT) | np.isin(codes, np.array([ord(c) for c in STAND_INS], dtype=np.uint32)) \
+        if count[DIGIT] + count[MARK] else np.zeros(len(codes), dtype=bool)
+    upper = kinds == UPPER
+    same = letter[1:] & (codes[1:] == codes[:-1])
     return [
         len(whole) / n, sum(w for _, w in whole) / n, max((w for _, w in whole), default=0.0),
         float(len({w for w, _ in whole})), float(len(whole)), len(prefix) / n, sum(prefix) / n,
-        max(prefix, default=0.0), float(len(prefix)), len(persons) / n, aimed / n, capitals / letters,
-        sum(1 for w in text.split() if len(w) > 2 and w.isupper()) / n if capitals > 3 else 0.0,
-        marks.get("!", 0) / n, marks.get("?", 0) / n,
-        sum(marks.values()) / length, sum(map(str.isdigit, text)) / length,
-        len(DISGUISED.findall(text)) / n, len(STRETCHED.findall(text)) / n, letters / n, math.log1p(len(words)),
+        max(prefix, default=0.0), float(len(prefix)), len(persons) / n, aimed / n, int(count[UPPER]) / letters,
+        int((upper[1:] & upper[:-1]).sum()) / letters, text.count("!") / n, text.count("?") / n,
+        int(count[MARK]) / length, int(count[DIGIT]) / length,
+        int((stand_in[1:-1] & letter[:-2] & letter[2:]).sum()) / n, int((same[1:] & same[:-1]).sum()) / n,
+        letters / n, math.log1p(len(words)),
     ]
 
 
