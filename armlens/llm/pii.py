@@ -117,13 +117,14 @@ SPANS = "array<struct<start: long, kind: int, `end`: long>>"
 NEAR = "array<struct<entity: string, term: string, start: long, `end`: long, first: boolean>>"
 
 
-def scan(docs: DataFrame, text_column: str = "text") -> DataFrame:
+def scan(docs: DataFrame, text_column: str, carried: list[str], only_found: bool) -> DataFrame:
     """One pass over the texts, stored: rows with their spans and nearby terms, and counts of terms.
 
-    Rows have a ``row_id``; the others have ``term`` and ``holding``, a number of
-    documents that hold it, added up over one task.
+    Rows have a ``row_id`` and the ``carried`` columns in ``doc``; with
+    ``only_found`` they are left out if they have no span. The others have
+    ``term`` and ``holding``, a number of documents that hold it, added up over one task.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), whole_text(text_column).alias("t"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("doc"), whole_text(text_column).alias("t"))
     types = (f"row_id long, doc {rows.schema['doc'].dataType.simpleString()}, base {SPANS}, near {NEAR}, "
              "term string, holding long")
     base_type = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
@@ -146,16 +147,20 @@ def scan(docs: DataFrame, text_column: str = "text") -> DataFrame:
             counts.clear()
 
         for batch in batches:
-            n, doc_type = batch.num_rows, batch.column(0).type
-            bases, nears = [], []
-            for value in batch.column(1):
+            doc_type = batch.column(0).type
+            bases, nears, kept = [], [], []
+            for place, value in enumerate(batch.column(1)):
                 text = value.as_py()
                 spans = base_spans(text)
+                counts.update({w for w in WORD.findall(text.lower()) if len(w) >= TERM_LETTERS})
+                if only_found and not spans:
+                    continue
+                kept.append(place)
                 bases.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
                 nears.append(nearby(text, spans) if spans else [])
-                counts.update({w for w in WORD.findall(text.lower()) if len(w) >= TERM_LETTERS})
+            n = len(kept)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row_ids(number, n)), batch.column(0), pa.array(bases, base_type), pa.array(nears, near_type),
+                [pa.array(row_ids(number, n)), batch.column(0).take(pa.array(kept, pa.int64())), pa.array(bases, base_type), pa.array(nears, near_type),
                  pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=names)
             number += n
             if len(counts) > HELD_TERMS:
@@ -166,7 +171,7 @@ def scan(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return stored(rows.mapInArrow(of_batches, types))
 
 
-def disclosing_terms(scanned: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def disclosing_terms(scanned: DataFrame, total: int, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """``entity, term, share``: the share of the entity's information that the term tells, at or over the threshold.
 
     With N documents, n(e), n(t) and n(t, e) of them holding the entity, the term
@@ -179,7 +184,6 @@ def disclosing_terms(scanned: DataFrame, disclosure: float = DISCLOSURE, support
              .where(F.col("both") >= support))
     entities = near.select("row_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
     terms = (scanned.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("holding").alias("with_term")))
-    total = rows.count()
     information = F.log(F.lit(float(max(total, 1))) / F.col("with_entity"))
     told = F.log(F.lit(float(max(total, 1))) * F.col("both") / (F.col("with_term") * F.col("with_entity")))
     return (pairs.join(entities, "entity").join(terms, "term")
@@ -187,9 +191,9 @@ def disclosing_terms(scanned: DataFrame, disclosure: float = DISCLOSURE, support
             .where(F.col("share") >= disclosure).select("entity", "term", "share"))
 
 
-def _found(scanned: DataFrame, disclosure: float, support: int) -> DataFrame:
+def _found(scanned: DataFrame, total: int, disclosure: float, support: int) -> DataFrame:
     """Rows with spans: ``row_id, doc, base`` and ``terms``, the disclosing terms' places and shares."""
-    disclosing = stored(disclosing_terms(scanned, disclosure, support))
+    disclosing = stored(disclosing_terms(scanned, total, disclosure, support))
     rows = scanned.where(F.col("row_id").isNotNull()).select("row_id", "doc", "base", "near")
     near = rows.where(F.size("near") > 0).select("row_id", F.explode("near").alias("n")).select("row_id", "n.*")
     # A place near two entities is one span, with the larger share.
@@ -213,7 +217,8 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     their own; null ids stay null; other columns are not read; an empty table
     gives no rows.
     """
-    found = _found(scan(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))), disclosure, support)
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    found = _found(scan(rows, "text", ["id"], False), docs.count(), disclosure, support)
     kinds = F.array(*[F.lit(k) for k in (*KINDS, TERM)])
     base = _text_of(F.col("base"), kinds)
     terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:long,end:long,share:double>>")),
@@ -248,11 +253,19 @@ def sanitised(docs: DataFrame, text_column: str = "text", disclosure: float = DI
               length_column: str | None = "n_chars") -> DataFrame:
     """``docs`` with personal data replaced in the text; rows without any are returned as they came.
 
+    Terms are looked for only around protected entities, so such rows have none either.
+
     A column of text lengths, if there is one, is set anew for changed texts.
     """
-    found = _found(scan(docs, text_column), disclosure, support)
-    changed = found.where((F.size("base") > 0) | F.col("terms").isNotNull())
-    same = found.where((F.size("base") == 0) & F.col("terms").isNull()).select("doc.*")
+    changed = _found(scan(docs, text_column, docs.columns, True), docs.count(), disclosure, support)
+
+    def without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not base_spans(t.as_py()) for t in batch.column("t")], pa.bool_())).select(["doc"])
+
+    # Only rows with spans are stored and joined; the others pass straight through.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), whole_text(text_column).alias("t"))
+    same = whole.mapInArrow(without_spans, f"doc {whole.schema['doc'].dataType.simpleString()}").select("doc.*")
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

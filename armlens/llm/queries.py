@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import exact_dedup, html_text, packing, pii, simhash, topk, toxicity, warc
+from . import exact_dedup, html_text, langid, packing, pii, sentencepiece_fst, simhash, topk, toxicity, warc
 from .common import table, tuned
 
 
@@ -37,6 +37,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(tuned(spark), sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.token_counts(
+        table(tuned(spark), sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(tuned(spark), sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(tuned(spark), sf_dir, "documents"), shingle=4, distance=4)
 
@@ -48,7 +57,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_best_fit_packing, op2_html_extraction, op3_exact_top_k, op4_personal_data, op5_toxicity, op6_exact_dedup,
-    op9_simhash, op10_warc)
+    op7_sentencepiece, op8_language_id, op9_simhash, op10_warc)
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
