@@ -10,7 +10,7 @@ learn how long a language lasts before a switch.
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,13 +23,13 @@ from ..sources.session import stored
 from .common import whole_text
 from .toxicity import held_out
 
-# Texts learned from, words of them, and entries of the feature table.
-SAMPLE_TEXTS = 4_000
-SAMPLE_WORDS = 400_000
-FEATURE_ROWS = 1 << 17
+# Texts learned from, words of them, and features kept.
+SAMPLE_TEXTS = 2_000
+SAMPLE_WORDS = 160_000
+FEATURE_ROWS = 1 << 16
 # Lengths of spliced pieces in words.
 PIECE_WORDS = (5, 40)
-SWEEPS = 30
+SWEEPS = 15
 RATE = 0.5
 RIDGE = 1e-5
 # Words whose scores a task remembers.
@@ -41,35 +41,39 @@ UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def features_of(word: str) -> list[int]:
-    """Rows of the feature table for a lower-case word: word, affixes of 1 to 4 letters, n-grams of 1 to 3."""
-    edged = f"<{word}>"
-    names = {f"w{word}"}
-    for n in (1, 2, 3, 4):
-        names.add(f"p{word[:n]}")
-        names.add(f"s{word[-n:]}")
-    # A long word's n-grams repeat its inner ones; the set stays small.
-    names.update(f"g{edged[i:i + n]}" for n in (2, 3) for i in range(min(len(edged), 40) - n + 1))
-    names.update(f"c{c}" for c in set(word))
-    return [zlib.crc32(name.encode("utf-8")) % FEATURE_ROWS for name in sorted(names)]
+def names_of(word: str) -> list[str]:
+    """Features of a lower-case word: itself, and its n-grams of 2 to 4 letters with the word's edges as letters.
+
+    The n-grams that hold an edge are its beginnings and endings.
+    """
+    e = f"<{word}>"
+    size = len(e)
+    return [e, *[e[i:i + 2] for i in range(size - 1)], *[e[i:i + 3] for i in range(size - 2)],
+            *[e[i:i + 4] for i in range(size - 3)]]
 
 
 @dataclass
 class Model:
     labels: list[str]
-    weights: np.ndarray  # feature rows x labels
+    features: dict[str, int]  # feature -> row of the weights; others do not count
+    weights: np.ndarray  # rows x labels
     transitions: np.ndarray  # labels x labels, log potentials
     start: np.ndarray  # log potentials of the first word
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Log potentials of each word's labels."""
-        rows = [features_of(w) for w in words]
-        if not rows:
-            return np.zeros((0, len(self.labels)))
-        sizes = np.array([len(r) for r in rows])
-        flat = self.weights[np.concatenate([np.array(r) for r in rows])]
-        sums = np.add.reduceat(flat, np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0)
-        return sums / np.sqrt(sizes)[:, None]
+        rows, sizes = [], []
+        for word in words:
+            found = [r for r in map(self.features.get, names_of(word)) if r is not None]
+            rows.extend(found)
+            sizes.append(len(found))
+        out = np.zeros((len(words), len(self.labels)))
+        size = np.array(sizes, dtype=np.int64)
+        some = np.flatnonzero(size)
+        if len(some):
+            begins = (np.cumsum(size) - size)[some]
+            out[some] = np.add.reduceat(self.weights[rows], begins, axis=0) / np.sqrt(size[some])[:, None]
+        return out
 
 
 def _normal(values: np.ndarray) -> np.ndarray:
@@ -80,62 +84,64 @@ def marginals(potentials: np.ndarray, lengths: np.ndarray, move: np.ndarray, sta
     """Label probabilities of every word by forward-backward over many texts at once.
 
     ``potentials`` are the words' label potentials, texts one after the other with
-    ``lengths`` words each (at least 1). Texts are cut into stretches; the product
-    of a stretch's matrices carries messages across it, so only the stretches of a text
-    run in sequence. Products are scaled and never leave the floating range.
+    ``lengths`` words each (at least 1). Texts are cut into stretches that run side
+    by side; the product of a stretch's matrices carries messages across it, so
+    only the stretches of one text run in sequence. Messages are scaled every few
+    steps and stay in the floating range.
     """
     k = potentials.shape[1]
     ends = np.cumsum(lengths)
     begins = ends - lengths
     per_text = -(-lengths // STRETCH)
     owner = np.repeat(np.arange(len(lengths)), per_text)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    first = begins[owner] + place * STRETCH
-    size = np.minimum(STRETCH, ends[owner] - first)
-    steps = np.arange(STRETCH)
-    valid = steps[None, :] < size[:, None]
-    at = np.minimum(first[:, None] + steps[None, :], len(potentials) - 1)
-    local = np.where(valid[:, :, None], potentials[at], 1.0)  # stretch, step, label
-
-    # Product over a stretch of (move x potential); the first step of a text enters with ``start``.
-    product = np.broadcast_to(np.eye(k), (len(owner), k, k)).copy()
-    for t in range(STRETCH):
-        live = valid[:, t]
-        if not live.any():
-            break
-        new = product[live] @ move * local[live, t][:, None, :]
-        product[live] = new / new.sum(axis=(1, 2), keepdims=True)
-
-    # Messages at the borders of stretches: one round per place in a text, all texts at once.
-    into = np.zeros((len(owner), k))
-    back = np.ones((len(owner), k))
-    head = start @ np.linalg.pinv(move)  # so that the first move gives ``start``
     begin_of = np.cumsum(per_text) - per_text
-    into[begin_of] = head
+    first = begins[owner] + (np.arange(len(owner)) - begin_of[owner]) * STRETCH
+    size = np.minimum(STRETCH, ends[owner] - first)
+    # Longest stretches first, so that the live ones are always a beginning of the arrays.
+    order = np.argsort(-size, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    first, size = first[order], size[order]
+    live = [int((size > t).sum()) for t in range(int(size[0]))]
+    local = [potentials[first[:n] + t] for t, n in enumerate(live)]
+    n_all = len(owner)
+
+    product = np.tile(np.eye(k), (n_all, 1)).reshape(n_all, k, k)
+    for t, n in enumerate(live):
+        step = (product[:n].reshape(n * k, k) @ move).reshape(n, k, k) * local[t][:, None, :]
+        product[:n] = step / step.sum(axis=(1, 2), keepdims=True) if t % 8 == 7 else step
+    product /= product.sum(axis=(1, 2), keepdims=True)
+
+    # Messages at the borders of stretches: one round for each place in a text, all texts at once.
+    into, back = np.zeros((n_all, k)), np.ones((n_all, k))
+    into[rank[begin_of]] = start @ np.linalg.pinv(move)  # so that the first move gives ``start``
     rounds = int(per_text.max())
     for r in range(1, rounds):
-        now = begin_of[per_text > r] + r
-        into[now] = _normal(np.einsum("nk,nkj->nj", into[now - 1], product[now - 1]))
+        at = begin_of[per_text > r] + r
+        now, before = rank[at], rank[at - 1]
+        into[now] = _normal(np.einsum("nk,nkj->nj", into[before], product[before]))
     for r in range(rounds - 2, -1, -1):
-        now = begin_of[per_text > r + 1] + r
-        back[now] = _normal(np.einsum("nij,nj->ni", product[now + 1], back[now + 1]))
-
-    forward = np.empty((len(owner), STRETCH, k))
-    message = into
-    for t in range(STRETCH):
-        live = valid[:, t]
-        step = message @ move * local[:, t]
-        step = step / np.maximum(step.sum(axis=1, keepdims=True), 1e-300)
-        message = np.where(live[:, None], step, message)
-        forward[:, t] = message
-    out = np.empty((len(owner), STRETCH, k))
-    message = back
-    for t in range(STRETCH - 1, -1, -1):
-        live = valid[:, t]
-        out[:, t] = forward[:, t] * message
-        before = (local[:, t] * message) @ move.T
-        message = np.where(live[:, None], _normal(before), message)
-    return _normal(out[valid])
+        at = begin_of[per_text > r + 1] + r
+        now, after = rank[at], rank[at + 1]
+        back[now] = _normal(np.einsum("nij,nj->ni", product[after], back[after]))
+
+    forward, message = [], into
+    for t, n in enumerate(live):
+        message = message[:n] @ move * local[t]
+        if t % 8 == 7:
+            message = _normal(message)
+        forward.append(message)
+    out = np.empty_like(potentials)
+    message = back[:live[-1]]
+    for t in range(len(live) - 1, -1, -1):
+        n = live[t]
+        if n > len(message):
+            message = np.concatenate([message, back[len(message):n]])
+        out[first[:n] + t] = forward[t] * message
+        message = (local[t] * message) @ move.T
+        if t % 8 == 7:
+            message = _normal(message)
+    return _normal(out)
 
 
 def _pair_sums(potentials: np.ndarray, lengths: np.ndarray, move: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,11 +191,15 @@ def fit_chain(texts: list[tuple[list[str], int]], labels: list[str]) -> Model:
     """Weights by gradient steps on the chain's likelihood, each weight with a rate of its own."""
     chains = spliced(texts)
     k = len(labels)
-    model = Model(labels, np.zeros((FEATURE_ROWS, k)), np.zeros((k, k)), np.zeros(k))
+    vocabulary = {w: i for i, w in enumerate(sorted({w for words, _ in chains for w in words}))}
+    seen_in = Counter(name for word in vocabulary for name in set(names_of(word)))
+    # The commonest features, in a fixed order.
+    chosen = sorted(seen_in, key=lambda name: (-seen_in[name], name))[:FEATURE_ROWS]
+    features = {name: i for i, name in enumerate(chosen)}
+    model = Model(labels, features, np.zeros((len(features), k)), np.zeros((k, k)), np.zeros(k))
     if not chains or k < 2:
         return model
-    vocabulary = {w: i for i, w in enumerate(sorted({w for words, _ in chains for w in words}))}
-    rows = [features_of(w) for w in vocabulary]
+    rows = [[features[name] for name in names_of(w) if name in features] or [0] for w in vocabulary]
     sizes = np.array([len(r) for r in rows])
     flat = np.concatenate([np.array(r) for r in rows])
     cuts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -214,7 +224,7 @@ def fit_chain(texts: list[tuple[list[str], int]], labels: list[str]) -> Model:
         miss = target - expected
         by_word = np.stack([np.bincount(words, weights=miss[:, c], minlength=len(rows)) for c in range(k)], axis=1)
         by_word *= scale[:, None] / len(truth)
-        by_feature = np.stack([np.bincount(flat, weights=by_word[word_of, c], minlength=FEATURE_ROWS) for c in range(k)], axis=1)
+        by_feature = np.stack([np.bincount(flat, weights=by_word[word_of, c], minlength=len(features)) for c in range(k)], axis=1)
         steps = [by_feature - RIDGE * model.weights / len(truth), (seen - pairs) / len(truth),
                  (first_seen - expected[begins].sum(axis=0)) / len(lengths)]
         for values, step, square in zip((model.weights, model.transitions, model.start), steps, squares):
@@ -236,7 +246,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     counted = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(200).collect()
     labels = sorted(r.y for r in counted)
     if not labels:
-        return Model([UNKNOWN], np.zeros((FEATURE_ROWS, 1)), np.zeros((1, 1)), np.zeros(1))
+        return Model([UNKNOWN], {}, np.zeros((0, 1)), np.zeros((1, 1)), np.zeros(1))
     each = max(1, SAMPLE_TEXTS // len(labels))
     # Rows are thinned by a hash before the sort, with twice what is needed left over.
     wanted = {r.y: min(1.0, 2.0 * each / r["count"] + 20.0 / r["count"]) for r in counted}

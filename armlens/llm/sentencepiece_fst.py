@@ -26,8 +26,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 # Stretches of text whose encoding, and pairs of pieces whose compatibility, a task remembers.
-CACHED_WORDS = 300_000
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS = 400_000
+CACHED_PAIRS = 400_000
 # Stretches longer than this are not remembered.
 LONG_WORD = 64
 
@@ -57,8 +57,14 @@ class Transducer:
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         self.unknown = next(i for i, kind in enumerate(self.kinds) if kind == UNKNOWN)
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
-        # The trie of pieces, as a set of all their beginnings.
-        self.beginnings = {piece[:n] for piece in self.scores for n in range(1, len(piece) + 1)}
+        # The trie of pieces: a dictionary for each letter, and the piece itself under the empty string.
+        self.trie: dict = {}
+        for piece in self.scores:
+            node = self.trie
+            for letter in piece:
+                node = node.setdefault(letter, {})
+            node[""] = piece
+        self.bare_weight = 10.0 - min(self.scores.values(), default=0.0)
         # No piece goes on after a letter with a space mark, so marks begin stretches that encode on their own.
         if any(SPACE in piece.lstrip(SPACE) for piece in self.scores):
             raise ValueError("pieces over several words are not compiled")
@@ -88,49 +94,52 @@ class Transducer:
             known = self.pairs[key] = self.merged(left + right) == [left, right]
         return known
 
-    def arcs(self, text: str, at: int) -> list[str]:
-        """Labels of the arcs that leave a place: all pieces that go on from there, else the bare character."""
-        found, end = [], at + 1
-        while end <= len(text) and text[at:end] in self.beginnings:
-            if text[at:end] in self.scores:
-                found.append(text[at:end])
-            end += 1
-        if text[at] not in self.scores:
-            found.append(text[at])
-        return found
-
-    def weight(self, label: str) -> float:
-        """An arc's weight; pieces of merging models all weigh one, as the constraint decides between them."""
-        if self.merges:
-            return 1.0
-        lowest = min(self.scores.values(), default=0.0)
-        return -self.scores[label] if label in self.scores else 10.0 - lowest
-
     def shortest_path(self, text: str) -> list[str]:
-        """Labels along the shortest path over the composition of ``text`` with the pieces."""
-        # Per place, the states that end there: last label -> (weight, label before).
-        states: list[dict[str, tuple[float, str]]] = [{} for _ in range(len(text) + 1)]
-        states[0][""] = (0.0, "")
-        for at in range(len(text)):
-            if not states[at]:
+        """Labels along the shortest path over the composition of ``text`` with the pieces.
+
+        From each place reached, arcs go along the trie of pieces; a bare character
+        that is no piece has an arc of its own. Each place keeps its best
+        state: without the constraint the last label does not matter for what
+        follows, and with it only one label reaches a place at all, as a beginning
+        of a text has one encoding.
+        """
+        merges, pairs = self.merges, self.pairs
+        size = len(text)
+        last: list[str | None] = [None] * (size + 1)
+        cost = [0.0] * (size + 1)
+        last[0] = ""
+        for at in range(size):
+            before = last[at]
+            if before is None:
                 continue
-            for label in self.arcs(text, at):
-                # Without a constraint between neighbours one state for each place is enough.
-                for last, (total, _) in states[at].items():
-                    if self.merges and last and not self.stay_apart(last, label):
+            node, end, base = self.trie, at, cost[at]
+            while end < size:
+                node = node.get(text[end])
+                if node is None:
+                    break
+                end += 1
+                label = node.get("")
+                if label is None:
+                    continue
+                if merges and before:
+                    apart = pairs.get((before, label))
+                    if apart is None:
+                        apart = self.stay_apart(before, label)
+                    if not apart:
                         continue
-                    sum_ = total + self.weight(label)
-                    there = states[at + len(label)]
-                    key = label
-                    if key not in there or sum_ < there[key][0]:
-                        there[key] = (sum_, last)
-        path, at = [], len(text)
-        last = min(states[at], key=lambda label: (states[at][label][0], label))
+                # Where the constraint decides, all pieces weigh one.
+                total = base + (1.0 if merges else -self.scores[label])
+                if last[end] is None or total < cost[end]:
+                    last[end], cost[end] = label, total
+            letter = text[at]
+            if letter not in self.scores and (not merges or not before or self.stay_apart(before, letter)):
+                total = base + self.bare_weight
+                if last[at + 1] is None or total < cost[at + 1]:
+                    last[at + 1], cost[at + 1] = letter, total
+        path, at = [], size
         while at:
-            path.append(last)
-            before = states[at][last][1]
-            at -= len(last)
-            last = before
+            path.append(last[at])
+            at -= len(last[at])
         return path[::-1]
 
     def ids_of(self, label: str) -> list[int]:
@@ -144,7 +153,6 @@ class Transducer:
     def encode_stretch(self, stretch: str) -> tuple[int, ...]:
         known = self.words.get(stretch)
         if known is None:
-            # A long run of one space mark has ever the same pieces at its beginning; paths stay linear in length.
             known = tuple(i for label in self.shortest_path(stretch) for i in self.ids_of(label))
             if len(stretch) <= LONG_WORD:
                 if len(self.words) > CACHED_WORDS:
