@@ -208,6 +208,10 @@ def _text_of(spans: Column, kinds: Column) -> Column:
         ":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _number_of(kind: int) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind))
+
+
 def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                   disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """One row per row of ``docs``: counts per kind, ``base_sha256`` of the fixed kinds' spans, ``spans`` with terms.
@@ -223,8 +227,7 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     base = _text_of(F.col("base"), kinds)
     terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:long,end:long,share:double>>")),
                         lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), t["end"].alias("end")))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-              for k, name in enumerate(KINDS)]
+    counts = [_number_of(k).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(
         F.col("doc.id").alias(id_column), *counts, F.sha2(F.encode(base, "utf-8"), 256).alias("base_sha256"),
         _text_of(F.sort_array(F.concat("base", terms)), kinds).alias("spans"), F.size(terms).alias("n_terms"))
