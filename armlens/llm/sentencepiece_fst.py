@@ -69,7 +69,14 @@ class Transducer:
         if any(SPACE in piece.lstrip(SPACE) for piece in self.scores):
             raise ValueError("pieces over several words are not compiled")
         self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.held_pairs = 0
+        # What each id is decoded to.
+        self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else " \u2047 ".encode() if kind == UNKNOWN
+                         else b"" if kind == CONTROL else p.replace(SPACE, " ").encode("utf-8")
+                         for p, kind in zip(self.pieces, self.kinds)]
+        # Letters that some piece has side by side; between others no arc passes, so paths can be cut there.
+        self.joined = {piece[i:i + 2] for piece in self.scores for i in range(len(piece) - 1)}
 
     def merged(self, text: str) -> list[str]:
         """Pieces by merging: the best-scored adjacent pair first, the leftmost of equals."""
@@ -86,13 +93,16 @@ class Transducer:
 
     def stay_apart(self, left: str, right: str) -> bool:
         """Whether merging the letters of both gives these two pieces again."""
-        key = (left, right)
-        known = self.pairs.get(key)
+        known = self.pairs.get(left)
         if known is None:
-            if len(self.pairs) > CACHED_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == [left, right]
-        return known
+            known = self.pairs[left] = {}
+        apart = known.get(right)
+        if apart is None:
+            if self.held_pairs > CACHED_PAIRS:
+                self.pairs, self.held_pairs = {}, 0
+            apart = known[right] = self.merged(left + right) == [left, right]
+            self.held_pairs += 1
+        return apart
 
     def shortest_path(self, text: str) -> list[str]:
         """Labels along the shortest path over the composition of ``text`` with the pieces.
@@ -104,6 +114,7 @@ class Transducer:
         of a text has one encoding.
         """
         merges, pairs = self.merges, self.pairs
+        none: dict[str, bool] = {}
         size = len(text)
         last: list[str | None] = [None] * (size + 1)
         cost = [0.0] * (size + 1)
@@ -113,6 +124,7 @@ class Transducer:
             if before is None:
                 continue
             node, end, base = self.trie, at, cost[at]
+            known = pairs.get(before, none)
             while end < size:
                 node = node.get(text[end])
                 if node is None:
@@ -122,7 +134,7 @@ class Transducer:
                 if label is None:
                     continue
                 if merges and before:
-                    apart = pairs.get((before, label))
+                    apart = known.get(label)
                     if apart is None:
                         apart = self.stay_apart(before, label)
                     if not apart:
@@ -153,7 +165,13 @@ class Transducer:
     def encode_stretch(self, stretch: str) -> tuple[int, ...]:
         known = self.words.get(stretch)
         if known is None:
-            known = tuple(i for label in self.shortest_path(stretch) for i in self.ids_of(label))
+            joined = self.joined
+            cuts = [i for i in range(1, len(stretch)) if stretch[i - 1:i + 1] not in joined]
+            if cuts:
+                parts = [stretch[a:b] for a, b in zip([0, *cuts], [*cuts, len(stretch)])]
+                known = tuple(i for part in parts for i in (self.words.get(part) or self.encode_stretch(part)))
+            else:
+                known = tuple(i for label in self.shortest_path(stretch) for i in self.ids_of(label))
             if len(stretch) <= LONG_WORD:
                 if len(self.words) > CACHED_WORDS:
                     self.words.clear()
@@ -174,23 +192,10 @@ class Transducer:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces put together, bytes gathered, the prefix mark removed; control pieces are silent."""
-        out: list[bytes] = []
-        first = True
-        for i in ids:
-            kind = self.kinds[i]
-            if kind == BYTE:
-                out.append(bytes([int(self.pieces[i][3:5], 16)]))
-                first = False
-            elif kind == UNKNOWN:
-                out.append(" ⁇ ".encode())
-                first = False
-            elif kind != CONTROL:
-                piece = self.pieces[i]
-                if first and self.prefix and piece.startswith(self.prefix):
-                    piece = piece[len(self.prefix):]
-                out.append(piece.replace(SPACE, " ").encode("utf-8"))
-                first = False
-        return b"".join(out).decode("utf-8", "replace")
+        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        first = next((i for i in ids if self.kinds[i] != CONTROL), None)
+        marked = first is not None and self.kinds[first] not in (BYTE, UNKNOWN) and self.pieces[first].startswith(SPACE)
+        return text[1:] if self.prefix and marked else text
 
 
 STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
