@@ -53,3 +53,24 @@ def linear_score(coef: str, features: Sequence[str]) -> Column:
 def stack_rows(frame: DataFrame, keep: Sequence[str], rows: Sequence[Column]) -> DataFrame:
     """One output row per struct in ``rows``: a narrow unpivot without a join or union."""
     return frame.select(*keep, F.explode(F.array(*rows)).alias("_row")).select(*keep, "_row.*")
+
+
+def on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join per-key tables on ``keys``, where NULL is a key like any other.
+
+    Without keys ``right`` has one row, which is attached as a scalar: more rows
+    are an error instead of a silent product, and none gives NULLs.
+    """
+    others = [c for c in right.columns if c not in keys]
+    if not keys:
+        if not others:
+            return left
+        row = right.select(F.struct(*[F.col(quoted(c)) for c in others]).alias("_row")).scalar()
+        held = left.withColumn("_row", row)
+        return held.select(*[F.col(quoted(c)) for c in left.columns], *[F.col(f"_row.{quoted(c)}") for c in others])
+    named = right.select(*[F.col(quoted(k)).alias(f"_key_{k}") for k in keys], *[F.col(quoted(c)) for c in others])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        equal = F.col(quoted(k)).eqNullSafe(F.col(quoted(f"_key_{k}")))
+        same = same & equal if i else equal
+    return left.join(named, same, how).drop(*[f"_key_{k}" for k in keys])

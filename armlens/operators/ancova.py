@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import packed_gram, packed_rhs, ratio, stack_rows
+from ..functions.columns import on_keys, packed_gram, packed_rhs, ratio, stack_rows
 from ..functions.linalg import least_squares, least_squares_within
 from ..spec import ExperimentSpec
 from .effects import infer
@@ -115,10 +115,7 @@ def ancova(
 def index_gain(ancova_rows: DataFrame, index_r2: DataFrame, spec: ExperimentSpec) -> DataFrame:
     """R-squared gained by all covariates over the single collapsed index."""
     fits = ancova_rows.groupBy(*spec.keys).agg(F.max("r2_control").alias("r2_control"))
-    if spec.keys:
-        joined = fits.join(index_r2, list(spec.keys))
-    else:
-        joined = fits.withColumn("index_r2", index_r2.select("index_r2").scalar())
+    joined = on_keys(fits, index_r2.select(*spec.keys, "index_r2"), spec.keys)
     return joined.select(
         *spec.keys, "r2_control", F.col("index_r2").alias("r2_index_only"),
         (F.col("r2_control") - F.col("index_r2")).alias("r2_gain_from_all_features"),

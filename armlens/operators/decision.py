@@ -5,32 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import on_keys
 from ..spec import ExperimentSpec
 
 # The adjusted lift leads when it is this much less sensitive to the row-handling choice.
 STABILITY_GAIN = 1.5
 
 
-def _on_keys(left: DataFrame, right: DataFrame, spec: ExperimentSpec) -> DataFrame:
-    """Left join of per-key result tables; without keys both sides are one row."""
-    if spec.keys:
-        return left.join(right, list(spec.keys), "left")
-    one = F.lit(1).alias("_one")
-    return left.select("*", one).join(
-        F.broadcast(right.select("*", one)), "_one", "left"
-    ).drop("_one")
-
-
 def ship_decision(
     effects: DataFrame,
     spec: ExperimentSpec,
     curve_summary: DataFrame | None = None,
     balance: DataFrame | None = None,
+    srm: DataFrame | None = None,
 ) -> DataFrame:
     """Ship when the least lower bound clears the minimum lift; marginal when only above 0.
 
     ``effects`` are estimator rows; every estimator in them takes part in the
-    worst case, so extra forms can be added by the caller.
+    worst case, so extra forms can be added by the caller. With ``srm`` (the
+    sample-ratio table) every key of it has a row: one that fails the check is
+    ``withheld``, with its estimates left out.
     """
     pick = lambda name, c: F.any_value(F.when(F.col("estimator") == name, F.col(c)), True)
     frame = effects.groupBy(*spec.keys).agg(
@@ -42,14 +36,23 @@ def ship_decision(
             for c in ("relative_lift", "relative_ci_low", "relative_ci_high", "p_value")
         ],
     )
+    if srm is not None:
+        checked = srm.select(*spec.keys, F.col("passed").alias("_passed"))
+        frame = on_keys(checked, frame, spec.keys) if spec.keys else on_keys(frame, checked, ())
+        shown = F.coalesce(F.col("_passed"), F.lit(False))
+        frame = frame.withColumns(
+            {c: F.when(shown, F.col(c)) for c in frame.columns if c not in (*spec.keys, "_passed")}
+        )
+    else:
+        frame = frame.withColumn("_passed", F.lit(True))
     if curve_summary is not None:
-        frame = _on_keys(
+        frame = on_keys(
             frame,
             curve_summary.select(
                 *spec.keys, "lowest_ci_bound", "adjustment_stability_gain",
                 F.col("lift_min").alias("plausible_low"), F.col("lift_max").alias("plausible_high"),
             ),
-            spec,
+            spec.keys,
         )
     else:
         frame = frame.withColumns(
@@ -57,8 +60,8 @@ def ship_decision(
              ("lowest_ci_bound", "adjustment_stability_gain", "plausible_low", "plausible_high")}
         )
     if balance is not None:
-        frame = _on_keys(
-            frame, balance.select(*spec.keys, F.col("passed").alias("balance_passed")), spec
+        frame = on_keys(
+            frame, balance.select(*spec.keys, F.col("passed").alias("balance_passed")), spec.keys
         )
     else:
         frame = frame.withColumn("balance_passed", F.lit(None).cast("boolean"))
@@ -81,13 +84,15 @@ def ship_decision(
     ).otherwise(F.col(f"_cuped_{c}"))
     return frame.select(
         *spec.keys, "ship", "marginal",
-        F.when(worst.isNull(), "undetermined").when(F.col("ship"), "ship")
+        F.when(~F.coalesce(F.col("_passed"), F.lit(False)), "withheld")
+        .when(worst.isNull(), "undetermined").when(F.col("ship"), "ship")
         .when(F.col("marginal"), "marginal").otherwise("hold").alias("decision"),
         F.lit(spec.min_lift).alias("min_practical_lift"),
         "worst_case_lower_bound", "leading_estimate",
         lead("relative_lift").alias("point_estimate"),
         lead("relative_ci_low").alias("ci_low"), lead("relative_ci_high").alias("ci_high"),
-        "plausible_low", "plausible_high",
+        *[F.when(F.coalesce(F.col("_passed"), F.lit(False)), F.col(c)).alias(c)
+          for c in ("plausible_low", "plausible_high")],
         F.col("_unadjusted_relative_lift").alias("lift"),
         F.col("_cuped_relative_lift").alias("lift_cuped"),
         F.col("_cuped_p_value").alias("final_p"),
@@ -104,5 +109,5 @@ def experiment_summary(decision: DataFrame, spec: ExperimentSpec, **parts: DataF
         named = part.select(
             *spec.keys, *[F.col(c).alias(f"{name}_{c}") for c in part.columns if c not in spec.keys]
         )
-        out = _on_keys(out, named, spec)
+        out = on_keys(out, named, spec.keys)
     return out

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import above_zero, packed_gram, ratio
+from ..functions.columns import above_zero, on_keys, packed_gram, ratio
 from ..functions.distributions import f_sf, log10_two_sided_p, two_sided_p
 from ..functions.linalg import hotelling_distance
 from ..spec import ExperimentSpec
 from .moments import feature_moments
 from .suffstats import arm_pairs, complete_cases
 
-# Alternative designs the observed counts are tested against.
+# Alternative designs the observed counts are tested against (fixed values).
 SENSITIVITY_SHARES = (0.50, 0.80, 0.84, 0.845, 0.85, 0.855, 0.86, 0.90)
 
 # An arm ratio this close (relative) to a simple fraction looks constructed.
@@ -226,13 +226,7 @@ def balance_summary(features: DataFrame, spec: ExperimentSpec) -> DataFrame:
 def balance_check(cells: DataFrame, spec: ExperimentSpec) -> DataFrame:
     """Verdict per key: ``balanced``, ``negligible`` (joint test rejects, SMDs small) or ``imbalanced``."""
     summary = balance_summary(balance_features(cells, spec), spec)
-    joint = hotelling(cells, spec)
-    if spec.keys:
-        joined = summary.join(joint, list(spec.keys))
-    else:
-        joined = summary.withColumn("_one", F.lit(1)).join(
-            F.broadcast(joint.withColumn("_one", F.lit(1))), "_one"
-        ).drop("_one")
+    joined = on_keys(summary, hotelling(cells, spec), spec.keys)
     verdict = (
         F.when(F.col("max_abs_smd").isNull(), "no_comparison")
         .when(~F.col("passed"), "imbalanced")
@@ -246,5 +240,5 @@ def gate(effects: DataFrame, srm: DataFrame, spec: ExperimentSpec) -> DataFrame:
     """Stop rule: effect rows of keys that pass the sample-ratio check; the rest are withheld."""
     passing = srm.filter(F.col("passed"))
     if spec.keys:
-        return effects.join(passing.select(*spec.keys), list(spec.keys), "left_semi")
+        return on_keys(effects, passing.select(*spec.keys), spec.keys, "left_semi")
     return effects.withColumn("_passed", srm.select("passed").scalar()).filter("_passed").drop("_passed")

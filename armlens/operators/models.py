@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import expressions, linear_score, packed_gram, packed_rhs, quoted
+from ..functions.columns import expressions, linear_score, on_keys, packed_gram, packed_rhs, quoted
 from ..functions.linalg import least_squares, linear_score_sums
-from ..sources.session import broadcast_within, durable
+from ..sources.session import stored
 from ..spec import ExperimentSpec
 from .folds import FOLD, with_fold
 from .suffstats import fold_complement, sufficient_stats, sum_columns
@@ -46,8 +46,9 @@ def covariate_models(per_fold: DataFrame, spec: ExperimentSpec) -> DataFrame:
 
     Full control arm, from sums; no rows are sampled or collected.
     """
-    control = per_fold.filter(F.col(spec.arm) == 0)
-    fits = fit_cells(fold_complement(control, spec, FOLD), spec)
+    # Folds that only the treatment arm has get a model as well.
+    complements = fold_complement(per_fold, spec, FOLD)
+    fits = fit_cells(complements.filter(F.col(spec.arm) == 0), spec)
     return fits.select(*spec.keys, FOLD, "coef", F.col("n").alias("fit_rows"), "r2")
 
 
@@ -68,7 +69,7 @@ def index_cells(
     keys the models carry when that is not all of them.
     """
     on = [*(spec.keys if model_keys is None else model_keys), FOLD]
-    joined = per_fold.join(models.select(*on, "coef"), on, "left")
+    joined = on_keys(per_fold, models.select(*on, "coef"), on)
     scored = joined.withColumn(
         "_s",
         linear_score_sums(F.col("coef"), packed_gram(spec.features), packed_rhs(spec.features)),
@@ -101,25 +102,20 @@ def uplift_models(per_fold: DataFrame, spec: ExperimentSpec) -> DataFrame:
 def pin_models(models: DataFrame, spec: ExperimentSpec) -> DataFrame:
     """Fix fitted models so scoring does not refit them on every use.
 
-    Without keys there are at most ``n_folds`` rows, which become a local
-    relation; with keys the table is written to the checkpoint folder.
+    They are written as Parquet, so that Spark knows their bytes and broadcasts
+    them only below its own limit.
     """
-    if spec.keys:
-        return durable(models)
-    rows = models.limit(spec.n_folds).collect()
-    return models.sparkSession.createDataFrame(rows, models.schema)
+    return stored(models)
 
 
 def score_rows(df: DataFrame, models: DataFrame, spec: ExperimentSpec, out: str) -> DataFrame:
     """Give each row the score of its own fold's model, as arithmetic inside codegen.
 
-    ``models`` come from ``pin_models``. Without keys they are ``n_folds`` rows
-    and are broadcast; with keys they are broadcast only if few, and otherwise
-    joined by shuffle.
+    ``models`` come from ``pin_models``. A row whose key or fold has no model
+    stays, without a score.
     """
     folded = df if FOLD in df.columns else with_fold(df, spec)
     table = models.select(*spec.keys, FOLD, F.col("coef").alias("_coef"))
-    table = broadcast_within(table) if spec.keys else F.broadcast(table)
-    joined = folded.join(table, [*spec.keys, FOLD], "left")
+    joined = on_keys(folded, table, [*spec.keys, FOLD])
     features = [spec.feature_text(f) for f in spec.features]
     return joined.withColumn(out, linear_score("_coef", features)).drop("_coef")

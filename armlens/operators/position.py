@@ -1,5 +1,7 @@
 """Row position without a global sort on one task.
 
+Parquet files know the row index of each row, so the stored order is (path, row)
+and blocks begin at constants found from the row counts of the files. Elsewhere
 ``monotonically_increasing_id`` numbers rows partition by partition (partition
 number in the high bits, row in the low 33). Once the rows per partition are
 counted, the row at any global position has a known id, so equal-size blocks
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,18 +41,51 @@ def _block_starts(df: DataFrame, n_blocks: int) -> list[int]:
             "_all": F.sum("_n").over(Window.partitionBy(F.lit(0))),
         }
     )
-    # Block b starts at the least position p with floor(p * n_blocks / total) = b.
-    blocks = placed.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n_blocks - 1))))
-    start = F.expr(f"(_b * _all + {n_blocks - 1}) div {n_blocks}")
-    blocks = blocks.withColumn("_start", start).filter(
-        (F.col("_start") >= F.col("_from")) & (F.col("_start") < F.col("_from") + F.col("_n"))
-    )
-    found = blocks.select(
+    found = _starts_within(placed, n_blocks).select(
         "_b", (F.shiftleft("_part", _ROW_BITS) + F.col("_start") - F.col("_from")).alias("_id")
     )
     return [r["_id"] for r in found.orderBy("_b").collect()]
 
 
+def _starts_within(placed: DataFrame, n_blocks: int) -> DataFrame:
+    """Rows of ``placed`` (``_from, _n, _all``) that hold the start of a block, once for each.
+
+    Block b starts at the least position p with floor(p * n_blocks / total) = b.
+    Only the starts inside a row's range become rows.
+    """
+    starts = F.expr(
+        f"filter(transform(sequence(1, {n_blocks - 1}), b -> struct(b AS _b, (b * _all + {n_blocks - 1}) div {n_blocks} AS _start)), "
+        "s -> s._start >= _from AND s._start < _from + _n)"
+    ) if n_blocks > 1 else F.expr("CAST(array() AS array<struct<_b: int, _start: bigint>>)")
+    return placed.withColumn("_s", F.explode(starts)).select("*", "_s.*").drop("_s")
+
+
+def _stored_starts(placed: DataFrame, n_blocks: int) -> list[tuple[str, int]]:
+    """File and row at which blocks 1 .. n_blocks-1 begin, for rows with ``_place``: files by path, rows as stored.
+
+    The window runs over one row per file.
+    """
+    sizes = placed.groupBy(F.col("_place.file").alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = sizes.withColumns(
+        {
+            "_from": F.coalesce(F.sum("_n").over(before), F.lit(0)),
+            "_all": F.sum("_n").over(Window.partitionBy(F.lit(0))),
+        }
+    )
+    found = _starts_within(files, n_blocks).select("_b", "_file", (F.col("_start") - F.col("_from")).alias("_row"))
+    return [(r["_file"], r["_row"]) for r in found.orderBy("_b").collect()]
+
+
+def _with_place(df: DataFrame) -> DataFrame | None:
+    """``df`` with the file and the row in it that a row is stored at, if its source tells."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return df.withColumn("_place", place)
+    except AnalysisException:
+        return None
+
+
 def _count_at_or_before(starts: Sequence[Column], value: Column) -> Column:
     block = F.lit(0)
     for start in starts:
@@ -82,10 +118,17 @@ def with_block(
 ) -> DataFrame:
     """Adds the number of the equal-size block each row falls in.
 
-    Without ``order_by`` the position is the one in the stored log as Spark
-    reads it, so ``df`` should be a scan with nothing shuffled before it. With it, rows are placed by their order key, which should be
+    Without ``order_by`` the position is the one in the stored log: files by path
+    and rows as they stand in them, which Parquet sources tell whatever order
+    Spark reads the files in. Other sources are numbered as they are read, so
+    ``df`` should then be a scan of one file with nothing shuffled before it.
+    With ``order_by``, rows are placed by their order key, which should be
     unique; only the keys are sorted, the rows stay where they are.
     """
+    stored = _with_place(df) if order_by is None else None
+    if stored is not None:
+        starts = [F.struct(F.lit(f).alias("file"), F.lit(r).cast("long").alias("row")) for f, r in _stored_starts(stored, n_blocks)]
+        return stored.withColumn(name, _count_at_or_before(starts, F.col("_place"))).drop("_place")
     if order_by is None:
         starts = [F.lit(i) for i in _block_starts(df, n_blocks)]
         numbered = df.withColumn(_ID, F.monotonically_increasing_id())

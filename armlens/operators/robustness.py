@@ -13,7 +13,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio
+from ..functions.columns import on_keys, ratio
 from ..sources.session import durable
 from ..spec import ExperimentSpec
 from .effects import estimates
@@ -28,7 +28,7 @@ SPEC = "spec"
 SPECS = ("all", "dedup", "singleton")
 SPEC_LABELS = {
     "all": "every row counts",
-    "dedup": "one row per distinct record",
+    "dedup": "copies count once",
     "singleton": "records that occur once",
 }
 
@@ -120,7 +120,7 @@ def spec_curve(cells: DataFrame, spec: ExperimentSpec) -> DataFrame:
     )
     labels = F.create_map(*[F.lit(v) for kv in SPEC_LABELS.items() for v in kv])
     return (
-        srm.join(balance, on, "left").join(effects, on, "left")
+        on_keys(on_keys(srm, balance, on), effects, on)
         .withColumn("label", labels[F.col(SPEC)])
     )
 

@@ -34,15 +34,17 @@ def tuned_rho(n_planned: float) -> float:
 
 
 def always_valid(
-    pairs: DataFrame, spec: ExperimentSpec, rho: float | str = "n_eff"
+    pairs: DataFrame, spec: ExperimentSpec, rho: float | str | None = None
 ) -> DataFrame:
     """Always-valid interval beside the fixed-horizon one.
 
     ``rho`` must be one positive constant over all looks for the interval to
-    hold at every look; ``tuned_rho`` gives one. The default ``"n_eff"`` takes
-    the effective sample size of the row itself: a single reading, far from the
-    tightest choice.
+    hold at every look; the default is ``tuned_rho(spec.n_planned)``. ``"n_eff"``
+    takes the effective sample size of the row itself: a single reading that
+    does not hold over several looks, and far from the tightest choice.
     """
+    if rho is None:
+        rho = tuned_rho(spec.n_planned)
     if not isinstance(rho, str) and rho <= 0:
         raise ValueError("rho must be positive")
     n_t, n_c = F.col("t_n"), F.col("c_n")
@@ -136,29 +138,38 @@ def ever_crossed(looks: DataFrame, spec: ExperimentSpec, by: Sequence[str] = ())
     )
 
 
-def unit_hash(unit: Column, replicate: Column) -> Column:
-    """Default A/A assignment: a salted hash of the unit, 0 or 1."""
-    return F.pmod(F.xxhash64(unit, replicate), F.lit(2)).cast("int")
+def unit_hash(unit: Column, replicate: Column, share: Column) -> Column:
+    """Default A/A assignment by a salted hash of the unit: 1 with probability ``share``, else 0."""
+    return (F.pmod(F.xxhash64(unit, replicate), F.lit(1 << 20)) < share * float(1 << 20)).cast("int")
 
 
 def aa_replicates(
-    units: DataFrame, spec: ExperimentSpec, unit: str, replicates: int, assign=unit_hash
+    units: DataFrame, spec: ExperimentSpec, unit: str, replicates: int, assign=None
 ) -> DataFrame:
     """z at every look for ``replicates`` re-randomisations of real units.
 
-    ``units`` has one row per (unit, look) with ``n`` and ``sum_y``. Each is
-    spread over the replicates inside the task and added up there before the
-    shuffle, which carries at most replicates x looks x arms rows per task.
+    ``units`` has one row per (unit, look) with ``n`` and ``sum_y``. Every
+    replicate is a pair of conditional sums in one aggregate, so no unit is
+    multiplied and a task sends a row per (key, look). Units are assigned with
+    the design share; ``assign(unit, replicate)`` gives another 0/1 rule.
     """
-    spread = units.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    spread = spread.withColumn("_arm", assign(F.col(unit), F.col("replicate")))
+    if assign is None:
+        assign = lambda u, r: unit_hash(u, r, spec.share_column())
     n, y = F.col("n"), F.col("sum_y").cast("double")
-    is_arm = lambda v: F.col("_arm") == v
-    stats = spread.groupBy(*spec.keys, "replicate", LOOK).agg(
-        F.coalesce(F.sum(F.when(is_arm(1), n)), F.lit(0)).alias("n_t"),
-        F.coalesce(F.sum(F.when(is_arm(0), n)), F.lit(0)).alias("n_c"),
-        F.coalesce(F.sum(F.when(is_arm(1), y)), F.lit(0.0)).alias("y_t"),
-        F.coalesce(F.sum(F.when(is_arm(0), y)), F.lit(0.0)).alias("y_c"),
+    sums = [F.sum(n).alias("_n"), F.sum(y).alias("_y")]
+    for r in range(replicates):
+        treated = assign(F.col(unit), F.lit(r)) == 1
+        sums += [F.sum(F.when(treated, n).otherwise(0)).alias(f"_n{r}"),
+                 F.sum(F.when(treated, y).otherwise(0.0)).alias(f"_y{r}")]
+    wide = units.groupBy(*spec.keys, LOOK).agg(*sums)
+    # From here on there is a row per look of a key.
+    rows = F.array(*[
+        F.struct(F.lit(r).alias("replicate"), F.col(f"_n{r}").alias("n_t"), F.col(f"_y{r}").alias("y_t"))
+        for r in range(replicates)
+    ])
+    stats = wide.select(*spec.keys, LOOK, "_n", "_y", F.explode(rows).alias("_r")).select(
+        *spec.keys, LOOK, "_r.replicate", "_r.n_t", (F.col("_n") - F.col("_r.n_t")).alias("n_c"),
+        "_r.y_t", (F.col("_y") - F.col("_r.y_t")).alias("y_c"),
     )
     return cumulative_looks(stats, spec, ("replicate",))
 

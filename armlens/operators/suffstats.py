@@ -23,12 +23,13 @@ def analysis_columns(spec: ExperimentSpec) -> list[str]:
     return list(dict.fromkeys(wanted))
 
 
-def _is_complete(spec: ExperimentSpec) -> Column:
-    numeric = [spec.arm, spec.metric, spec.covariate, spec.post_covariate, spec.exposure]
+def complete_text(spec: ExperimentSpec) -> str:
+    """The condition of ``complete_cases`` as SQL."""
+    numeric = [spec.arm, spec.metric, spec.covariate, spec.post_covariate, spec.exposure, spec.fold]
     present = dict.fromkeys([c for c in numeric if c] + list(spec.features))
     tests = [f"{quoted(c)} IS NOT NULL" for c in present]
     tests += [f"NOT isnan(CAST({quoted(f)} AS DOUBLE))" for f in spec.features]
-    return F.expr(" AND ".join(tests))
+    return " AND ".join(tests)
 
 
 def complete_cases(df: DataFrame, spec: ExperimentSpec) -> DataFrame:
@@ -37,12 +38,12 @@ def complete_cases(df: DataFrame, spec: ExperimentSpec) -> DataFrame:
     Without it n would count rows that the individual sums skip. Being a plain
     filter it also lets Spark treat the columns as non-nullable afterwards.
     """
-    return df.filter(_is_complete(spec))
+    return df.filter(F.expr(complete_text(spec)))
 
 
 def completeness_counts(spec: ExperimentSpec) -> list[Column]:
     """Kept and dropped row counts, to be combined with other aggregates."""
-    complete = _is_complete(spec)
+    complete = F.expr(complete_text(spec))
     return [F.count_if(complete).alias("n_complete"), F.count_if(~complete).alias("n_dropped")]
 
 
@@ -135,12 +136,14 @@ def pooled_cells(cells: DataFrame, spec: ExperimentSpec) -> DataFrame:
 def fold_complement(fold_cells: DataFrame, spec: ExperimentSpec, fold: str = "_fold") -> DataFrame:
     """For every fold, the sums over all other folds.
 
-    Each cell is handed to the other ``n_folds - 1`` folds and added up there:
-    result-sized, one pass over the cells, and no digits are lost as they would
-    be by subtracting a fold from the total. Folds are numbered from 0.
+    Each cell is handed to the key's other folds and added up there: result-sized,
+    one pass over the cells, and no digits are lost as they would be by
+    subtracting a fold from the total. The folds are those the cells have, whatever
+    their number or values.
     """
-    targets = F.sequence(F.lit(0), F.lit(spec.n_folds - 1))
-    handed = fold_cells.withColumn("_target", F.explode(targets)).filter(
+    # A window over cells holds one row per fold and arm of a key.
+    targets = F.collect_set(fold).over(Window.partitionBy(*(spec.keys or [F.lit(0)])))
+    handed = fold_cells.withColumn("_targets", targets).withColumn("_target", F.explode("_targets")).drop("_targets").filter(
         F.col("_target") != F.col(fold)
     )
     return handed.groupBy(*spec.keys, F.col("_target").alias(fold), spec.arm).agg(

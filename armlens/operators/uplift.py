@@ -6,9 +6,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import above_zero, ratio
+from ..functions.columns import above_zero, on_keys, ratio
 from ..functions.distributions import chi2_sf
-from ..sources.session import broadcast_within, durable
+from ..sources.session import durable, stored
 from ..spec import ExperimentSpec
 from .models import fold_cells, pin_models, score_rows, uplift_models
 from .position import rank_cuts
@@ -55,10 +55,7 @@ def assign_bins(
     scored: DataFrame, edges: DataFrame, spec: ExperimentSpec, n_bins: int = N_BINS
 ) -> DataFrame:
     """Bin = number of cut points strictly below the score; NULL for a row without a score."""
-    if spec.keys:
-        joined = scored.join(edges, list(spec.keys))
-    else:
-        joined = scored.withColumn("edges", edges.select("edges").scalar())
+    joined = on_keys(scored, edges, spec.keys)
     bin_number = F.lit(0)
     for i in range(n_bins - 1):
         edge = F.coalesce(F.get(F.col("edges"), F.lit(i)), F.lit(float("inf")))
@@ -116,7 +113,7 @@ def binned_counts(
         raise ValueError("exact cut points are for the whole log; use the sketch per key")
     edges = exact_edges(scored, n_bins) if exact else score_edges(scored, spec, n_bins)
     if spec.keys:
-        edges = broadcast_within(durable(edges))
+        edges = stored(edges)
     return bin_stats(assign_bins(scored, edges, spec, n_bins), spec)
 
 

@@ -176,7 +176,7 @@ def position_summary_assembled(spark, sf_dir):
 
 def position_stored_order(spark, sf_dir):
     return rounded(position.share_by_block(
-        explog(spark, sf_dir, ("treatment",), stored_order=True), PLAIN
+        explog(spark, sf_dir, ("treatment",)), PLAIN
     ))
 
 
@@ -187,7 +187,7 @@ def _hash_sample(spark, sf_dir):
     orders = explog_ordered(spark, sf_dir)
     rank = F.pmod(F.col("o_orderkey") * RANDOM_FACTOR + 11, F.lit(RANDOM_PRIME))
     return samples.fixed_size_sample(
-        orders, SAMPLE_SIZE, 0, rank, float(RANDOM_PRIME), ["o_orderkey"]
+        orders, SAMPLE_SIZE, 0, rank, ["o_orderkey"]
     )
 
 
@@ -624,7 +624,7 @@ def power_designs(spark, sf_dir):
 
 def always_valid_interval(spark, sf_dir):
     pairs = _pairs(spark, sf_dir, PLAIN, None)
-    return rounded(sequential.always_valid(pairs, PLAIN), {"n_eff": 4})
+    return rounded(sequential.always_valid(pairs, PLAIN, "n_eff"), {"n_eff": 4})
 
 
 def always_valid_tuned(spark, sf_dir):
@@ -708,7 +708,57 @@ def fold_hash_counts(spark, sf_dir):
     )
 
 
+# -- nothing is lost: many folds, NULL keys, failing keys -------------------------------------------
+
+FIVE = replace(ONE, fold="fold5")
+NULL_KEY = replace(PLAIN, keys=("segment_null",))
+
+
+def crossfit_five_folds(spark, sf_dir):
+    fitted = models.covariate_models(models.fold_cells(_log(spark, sf_dir, FIVE), FIVE), FIVE)
+    return rounded(fitted.select(
+        FOLD, "fit_rows", F.get("coef", F.lit(0)).alias("intercept"),
+        F.get("coef", F.lit(1)).alias("slope"), "r2",
+    ), {"slope": 10, "r2": 10})
+
+
+def uplift_scores_five_folds(spark, sf_dir):
+    """Every row has a score, whatever the number of folds."""
+    spec = replace(PRICE, fold="fold5")
+    scored = uplift.uplift_scores(_log(spark, sf_dir, spec), spec)
+    return rounded(scored.groupBy(FOLD, "treatment").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(uplift.SCORE).isNull()).alias("n_unscored"),
+        F.avg(uplift.SCORE).alias("mean_score"),
+    ))
+
+
+def gated_effects_null_key(spark, sf_dir):
+    cells = suffstats.sufficient_stats(_log(spark, sf_dir, NULL_KEY), NULL_KEY)
+    rows = effects.estimates(moments.paired_moments(cells, NULL_KEY, None), NULL_KEY, ("unadjusted",))
+    srm = guardrails.srm_check(suffstats.arm_counts(_log(spark, sf_dir, NULL_KEY), NULL_KEY), NULL_KEY)
+    return _effect(guardrails.gate(rows, srm, NULL_KEY))
+
+
+def balance_null_key(spark, sf_dir):
+    spec = replace(NULL_KEY, features=("f0", "f2"))
+    cells = durable(suffstats.sufficient_stats(_log(spark, sf_dir, spec), spec))
+    return rounded(guardrails.balance_check(cells, spec).select(
+        "segment_null", "n_features", "max_abs_smd", "max_abs_smd_feature", "passed", "n_total"))
+
+
+def decision_withheld(spark, sf_dir):
+    """A key whose sample ratio fails keeps its row."""
+    log = _two_assignments(spark, sf_dir, "conversion")
+    cells = durable(suffstats.sufficient_stats(log, ASSIGNED))
+    rows = effects.estimates(moments.paired_moments(cells, ASSIGNED, None), ASSIGNED, ("unadjusted",))
+    srm = guardrails.srm_check(suffstats.arm_counts(log, ASSIGNED), ASSIGNED)
+    gated = guardrails.gate(rows, srm, ASSIGNED)
+    return rounded(decision.ship_decision(gated, ASSIGNED, srm=srm).select(
+        "assignment", "decision", "lift", "worst_case_lower_bound"))
+
+
 QUERIES: tuple[Query, ...] = (
+    crossfit_five_folds, uplift_scores_five_folds, gated_effects_null_key, balance_null_key, decision_withheld,
     flag_quality, implication_violations, completeness,
     duplicate_summary, duplicates_by_arm, distinct_by_arm, duplicate_profile,
     multiplicity_weights, feature_cardinality, feature_cardinality_sketch,

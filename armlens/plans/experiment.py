@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ancova as anc
-from ..operators import decision, effects, guardrails, models, power, quality, robustness
+from ..operators import decision, effects, guardrails, models, position, power, quality, robustness
 from ..operators import sequential, suffstats, uplift
 from ..operators.folds import FOLD, with_fold
 from ..operators.moments import paired_moments
@@ -31,15 +31,20 @@ class ExperimentReport:
     """
 
     TABLES = (
-        "quality", "completeness", "arms", "srm", "srm_sensitivity", "balance_features", "balance",
+        "quality", "completeness", "duplicates", "duplicate_profile", "position", "arms", "srm", "srm_sensitivity", "balance_features", "balance",
         "power", "power_grid", "effects", "cuped", "lin", "cuped_post", "cuped_post_diagnostics",
         "complier", "ancova", "index_gain", "sequential", "spec_curve", "spec_curve_summary",
         "uplift_bins", "uplift", "qini_curve", "uplift_summary", "decision", "summary",
     )
 
-    def __init__(self, log: DataFrame, spec: ExperimentSpec, choices: bool = True):
+    def __init__(
+        self, log: DataFrame, spec: ExperimentSpec, choices: bool = True, identity: tuple[str, ...] | None = None
+    ):
+        """``identity`` names the columns in which copies of a row agree; by default all of the log's."""
         self.spec = spec
         self.choices = choices
+        self.identity = tuple(dict.fromkeys([*(identity or log.columns), *suffstats.analysis_columns(spec)]))
+        self.raw = log
         self.log = log.select(*suffstats.analysis_columns(spec))
 
     @property
@@ -47,7 +52,7 @@ class ExperimentReport:
         """Names of the tables that this spec has the columns for."""
         absent = set()
         if not self.choices:
-            absent |= {"spec_curve", "spec_curve_summary"}
+            absent |= {"spec_curve", "spec_curve_summary", "duplicates", "duplicate_profile"}
         if not self.spec.post_covariate:
             absent |= {"cuped_post", "cuped_post_diagnostics"}
         if not self.spec.exposure:
@@ -57,6 +62,8 @@ class ExperimentReport:
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.tables:
             raise KeyError(name)
+        if name not in ("quality", "completeness"):
+            self.require_clean_flags()
         return getattr(self, name)
 
     def write(self, folder: str) -> None:
@@ -70,11 +77,28 @@ class ExperimentReport:
     @cached_property
     def choice_folds(self) -> DataFrame:
         """Sums per (keys, choice, fold, arm), from the log collapsed to distinct rows."""
-        collapsed = quality.collapse(self.log, self.log.columns)
         return durable(
-            robustness.spec_cells(with_fold(collapsed, self.spec), self.spec, by=(FOLD,))
+            robustness.spec_cells(with_fold(self.collapsed, self.spec), self.spec, by=(FOLD,))
         )
 
+    @cached_property
+    def collapsed(self) -> DataFrame:
+        """Distinct rows of the whole log with how often each occurs, whatever features are analysed."""
+        return quality.collapse(self.raw, self.identity)
+
+    @cached_property
+    def duplicates(self) -> DataFrame:
+        return quality.duplicate_summary(self.collapsed)
+
+    @cached_property
+    def duplicate_profile(self) -> DataFrame:
+        return quality.duplicate_profile(self.collapsed, self.spec)
+
+    @cached_property
+    def position(self) -> DataFrame:
+        """Treatment share in ten blocks of the stored order."""
+        return position.share_by_block(self.raw, self.spec)
+
     @cached_property
     def fold_cells(self) -> DataFrame:
         if self.choices:
@@ -115,6 +139,10 @@ class ExperimentReport:
         counts = quality.flag_counts(flags) + suffstats.completeness_counts(s)
         return durable(self.log.groupBy(*s.keys).agg(*counts))
 
+    def require_clean_flags(self) -> None:
+        """Stop when a flag holds anything but 0 and 1; ``quality`` has the counts."""
+        quality.require_clean_flags(self._checks)
+
     @cached_property
     def quality(self) -> DataFrame:
         return self._checks.drop("n_complete", "n_dropped")
@@ -232,7 +260,7 @@ class ExperimentReport:
     @cached_property
     def decision(self) -> DataFrame:
         curve = self.spec_curve_summary if self.choices else None
-        return decision.ship_decision(self.effects, self.spec, curve, self.balance)
+        return decision.ship_decision(self.effects, self.spec, curve, self.balance, self.srm)
 
     @cached_property
     def summary(self) -> DataFrame:

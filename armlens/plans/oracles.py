@@ -31,8 +31,8 @@ COLUMNS = {
     "visit": "(l_returnflag IN ('R', 'A'))::INT",
     "conversion": f"(l_returnflag = 'R' AND NOT (NOT ({TREATED}) AND l_partkey % 5 = 0))::INT",
     "exposure": f"({TREATED} AND l_linestatus = 'F')::INT",
-    "fold": "(l_partkey % 2)::INT",
-    "segment": "o_orderpriority", "market": "c_mktsegment",
+    "fold": "(l_partkey % 2)::INT", "fold5": "(l_partkey % 5)::INT",
+    "segment": "o_orderpriority", "segment_null": "nullif(o_orderpriority, '1-URGENT')", "market": "c_mktsegment",
     "treatment_skewed": f"({TREATED} AND l_quantity <= 45)::INT",
 }
 
@@ -658,7 +658,7 @@ def _spec_curve() -> tuple[str, str]:
         r("my_t", "conversion_rate_treatment"), r("my_c", "conversion_rate_control"),
         r("lu", "lift_unadjusted"), r("lul", "lift_unadjusted_ci_low"), r("luh", "lift_unadjusted_ci_high"),
         r("lc", "lift_cuped"), r("lcl", "lift_cuped_ci_low"), r("lch", "lift_cuped_ci_high"),
-        "CASE spec WHEN 'all' THEN 'every row counts' WHEN 'dedup' THEN 'one row per distinct record' "
+        "CASE spec WHEN 'all' THEN 'every row counts' WHEN 'dedup' THEN 'copies count once' "
         "ELSE 'records that occur once' END AS label",
     ])
     return ctes, select
@@ -888,9 +888,62 @@ def _looks() -> dict[str, str]:
     }
 
 
+def _whole_keys() -> dict[str, str]:
+    """Nothing is lost: more than two folds, a NULL key, a key whose sample ratio fails."""
+    # NULL takes part as a value of its own and is turned back at the end.
+    named = f"{log('raw')}, log AS (SELECT * REPLACE (coalesce(segment_null, '~') AS segment_null) FROM raw)"
+    key = ("segment_null",)
+    others = "FROM (SELECT DISTINCT fold5 FROM log) f JOIN log ON log.fold5 <> f.fold5"
+    arm = lambda v, e: f"{e} FILTER (WHERE treatment = {v})"
+    smd = " UNION ALL ".join(
+        f"SELECT segment_null, '{f}' AS feature, {arm(1, f'avg({f})')} - {arm(0, f'avg({f})')} AS d, "
+        f"sqrt(({arm(1, f'var_samp({f})')} + {arm(0, f'var_samp({f})')}) / 2) AS sd FROM log GROUP BY segment_null"
+        for f in ("f0", "f2")
+    )
+    five = (
+        f"m AS (SELECT f.fold5 AS fold5, treatment, regr_intercept(conversion, f1) AS b0, regr_slope(conversion, f1) AS b1 "
+        f"{others} GROUP BY f.fold5, treatment), "
+        "k AS (SELECT t.fold5, t.b0 - c.b0 AS g0, t.b1 - c.b1 AS g1 FROM m t JOIN m c "
+        "ON t.fold5 = c.fold5 AND t.treatment = 1 AND c.treatment = 0), "
+        "q AS (SELECT log.fold5, treatment, g0 + g1 * f1 AS s FROM log JOIN k ON log.fold5 = k.fold5)"
+    )
+    return {
+        "crossfit_five_folds": (
+            f"WITH {log()} SELECT f.fold5 AS _fold, count(*)::BIGINT AS fit_rows, "
+            f"{r('regr_intercept(conversion, f0)', 'intercept')}, {r('regr_slope(conversion, f0)', 'slope', 10)}, "
+            f"{r('regr_r2(conversion, f0)', 'r2', 10)} {others} WHERE treatment = 0 GROUP BY f.fold5"
+        ),
+        "uplift_scores_five_folds": (
+            f"WITH {log()}, {five} SELECT fold5 AS _fold, treatment, count(*)::BIGINT AS n, 0::BIGINT AS n_unscored, "
+            f"{r('avg(s)', 'mean_score')} FROM q GROUP BY fold5, treatment"
+        ),
+        "gated_effects_null_key": (
+            f"WITH {named}, {_srm_ctes('log', key)}, {arms('log', key)}, "
+            f"{effect_rows({'unadjusted': ESTIMATORS['unadjusted']}, key)}, "
+            f"out AS ({effect_select(key)} WHERE segment_null IN (SELECT segment_null FROM y WHERE abs(z) <= {Z_SRM})) "
+            "SELECT * REPLACE (nullif(segment_null, '~') AS segment_null) FROM out"
+        ),
+        "balance_null_key": (
+            f"WITH {named}, m AS ({smd}), n AS (SELECT segment_null, count(*)::BIGINT AS n_total FROM log GROUP BY segment_null) "
+            f"SELECT nullif(segment_null, '~') AS segment_null, count(*)::BIGINT AS n_features, "
+            f"{r('max(abs(d / sd))', 'max_abs_smd')}, max_by(feature, abs(d / sd)) AS max_abs_smd_feature, "
+            "max(abs(d / sd)) <= 0.1 AS passed, any_value(n_total) AS n_total FROM m JOIN n USING (segment_null) "
+            "GROUP BY segment_null"
+        ),
+        "decision_withheld": (
+            f"WITH {log()}, {ASSIGNED}, {_srm_ctes('assigned', ('assignment',))}, {arms('assigned', ('assignment',))}, "
+            f"{effect_rows({'unadjusted': ESTIMATORS['unadjusted']}, ('assignment',))}, "
+            f"judged AS (SELECT assignment, abs(y.z) <= {Z_SRM} AS ok, mt / mc - 1 AS lift, rlo FROM y JOIN e USING (assignment)) "
+            "SELECT assignment, CASE WHEN NOT ok THEN 'withheld' WHEN rlo > 0.1 THEN 'ship' WHEN rlo > 0 THEN 'marginal' "
+            f"ELSE 'hold' END AS decision, {r('CASE WHEN ok THEN lift END', 'lift')}, "
+            f"{r('CASE WHEN ok THEN rlo END', 'worst_case_lower_bound')} FROM judged"
+        ),
+    }
+
+
 def statements() -> dict[str, str]:
     out: dict[str, str] = {}
     for part in (_quality, _positions, _samples, _sums, _guardrails, _effects, _models,
-                 _robustness, _uplift, _power, _looks):
+                 _robustness, _uplift, _power, _looks, _whole_keys):
         out |= part()
     return out

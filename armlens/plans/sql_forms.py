@@ -8,23 +8,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..functions.columns import quoted
+from ..operators.suffstats import complete_text
 from ..spec import ExperimentSpec
 
 
 def sufficient_stats_statement(spec: ExperimentSpec) -> str:
-    """Counts, outcome sums and feature-outcome products per arm (no feature-feature terms)."""
-    y = spec.metric
+    """Counts, outcome sums and feature-outcome products per arm (no feature-feature terms).
+
+    The same rows count as in the DataFrame form: none with a NULL or NaN in a used column.
+    """
+    y = quoted(spec.metric)
     columns = ["COUNT(*) AS n", f"SUM({y}) AS sum_y", f"SUM({y} * {y}) AS sum_yy"]
     if spec.post_covariate:
-        x = spec.post_covariate
+        x = quoted(spec.post_covariate)
         columns += [f"SUM({x}) AS sum_xn", f"SUM({x} * {x}) AS sum_xnxn", f"SUM({y} * {x}) AS sum_yxn"]
     if spec.exposure:
-        columns.append(f"SUM({spec.exposure}) AS sum_exposure")
+        columns.append(f"SUM({quoted(spec.exposure)}) AS sum_exposure")
     for f in spec.features:
-        columns += [f"SUM({f}) AS sum_{f}", f"SUM({f} * {y}) AS sum_{f}_y"]
-    group = ", ".join([*spec.keys, spec.arm])
+        x = quoted(f)
+        columns += [f"SUM({x}) AS {quoted(f'sum_{f}')}", f"SUM({x} * {y}) AS {quoted(f'sum_{f}_y')}"]
+    group = ", ".join(map(quoted, [*spec.keys, spec.arm]))
     body = ",\n       ".join(columns)
-    return f"SELECT {group},\n       {body}\nFROM {{source}}\nGROUP BY {group}\nORDER BY {group}"
+    return (f"SELECT {group},\n       {body}\nFROM {{source}}\nWHERE {complete_text(spec)}\n"
+            f"GROUP BY {group}\nORDER BY {group}")
 
 
 def sufficient_stats_sql(df: DataFrame, spec: ExperimentSpec) -> DataFrame:
@@ -34,18 +41,22 @@ def sufficient_stats_sql(df: DataFrame, spec: ExperimentSpec) -> DataFrame:
 def balance_statement(spec: ExperimentSpec) -> str:
     """Standardised mean differences as one statement: one aggregate, then unpivoted."""
     stats = ",\n         ".join(
-        f"AVG({f}) FILTER (WHERE {spec.arm} = {v}) AS m{v}_{f}, "
-        f"VAR_SAMP({f}) FILTER (WHERE {spec.arm} = {v}) AS v{v}_{f}"
+        f"AVG({quoted(f)}) FILTER (WHERE {quoted(spec.arm)} = {v}) AS {quoted(f'm{v}_{f}')}, "
+        f"VAR_SAMP({quoted(f)}) FILTER (WHERE {quoted(spec.arm)} = {v}) AS {quoted(f'v{v}_{f}')}"
         for f in spec.features
         for v in (1, 0)
     )
-    rows = ", ".join(f"'{f}', m1_{f}, m0_{f}, v1_{f}, v0_{f}" for f in spec.features)
-    keys = ", ".join(spec.keys)
+    rows = ", ".join(
+        "'" + f.replace("'", "\\'") + "', " + ", ".join(quoted(f"{s}_{f}") for s in ("m1", "m0", "v1", "v0"))
+        for f in spec.features
+    )
+    keys = ", ".join(map(quoted, spec.keys))
     lead = f"{keys}, " if keys else ""
     group = f"\n  GROUP BY {keys}" if keys else ""
     return f"""WITH arm_stats AS (
   SELECT {lead}{stats}
-  FROM {{source}}{group}
+  FROM {{source}}
+  WHERE {complete_text(spec)}{group}
 ), features AS (
   SELECT {lead}stack({len(spec.features)}, {rows}) AS (feature, m1, m0, v1, v0) FROM arm_stats
 )

@@ -12,8 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.logs import spread
-
 FEATURES = tuple(f"f{i}" for i in range(12))
 LOG_COLUMNS = (*FEATURES, "treatment", "conversion", "visit", "exposure")
 
@@ -42,7 +40,10 @@ def _definitions() -> dict[str, tuple[Column, tuple[str, ...]]]:
         "conversion_null": (_flag(returned), ()),
         "exposure": (_flag(treated & (c("l_linestatus") == "F")), ()),
         "fold": ((c("l_partkey") % 2).cast("int"), ()),
+        "fold5": ((c("l_partkey") % 5).cast("int"), ()),
         "segment": (c("o_orderpriority"), ("orders",)),
+        # A key that is missing for some rows.
+        "segment_null": (F.nullif(c("o_orderpriority"), F.lit("1-URGENT")), ("orders",)),
         "market": (c("c_mktsegment"), ("orders", "customer")),
         # Assignment gone wrong: heavy treatment lines end up in control.
         "treatment_skewed": (_flag(treated & (c("l_quantity") <= 45)), ()),
@@ -55,12 +56,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def explog(
-    spark: SparkSession, sf_dir: str, columns: Sequence[str] = LOG_COLUMNS, stored_order: bool = False
+    spark: SparkSession, sf_dir: str, columns: Sequence[str] = LOG_COLUMNS
 ) -> DataFrame:
-    """One row per order line: twelve features, arm, outcome flags, fold and segments.
-
-    ``stored_order`` keeps the rows in the partitions they are read in.
-    """
+    """One row per order line: twelve features, arm, outcome flags, folds and segments."""
     definitions = _definitions()
     needed = {t for name in columns for t in definitions[name][1]}
     joins = {
@@ -68,8 +66,6 @@ def explog(
         "part": ("l_partkey", "p_partkey"), "supplier": ("l_suppkey", "s_suppkey"),
     }
     log = _table(spark, sf_dir, "lineitem")
-    if not stored_order:
-        log = spread(log, "l_orderkey", "l_linenumber")
     for name, (left, right) in joins.items():
         if name in needed:
             log = log.join(_table(spark, sf_dir, name), F.col(left) == F.col(right))

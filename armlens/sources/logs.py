@@ -25,19 +25,6 @@ def log_schema(
     )
 
 
-def spread(df: DataFrame, *columns: str, partitions: int | None = None) -> DataFrame:
-    """Spread rows that would be read by fewer tasks than there are cores.
-
-    A gzip file or a Parquet file of one row group is a single task, however
-    long. Inputs that already fill the cluster are returned as they are, so a
-    large log is never shuffled by this.
-    """
-    wanted = partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= wanted:
-        return df
-    return df.repartition(wanted, *columns)
-
-
 def read_csv_log(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -48,8 +35,9 @@ def read_csv_log(
     pass and a malformed row is an error.
 
     ``paths`` is one path or a list in order of preference: the first that exists
-    is read (plain before compressed). A gzip file is one task to read;
-    ``gzip_partitions`` spreads its rows right after the scan.
+    is read (plain before compressed). A gzip file is one task to read; with
+    ``gzip_partitions`` its rows are spread right after the scan, which gives
+    up their stored order.
     """
     candidates = [paths] if isinstance(paths, str) else list(paths)
     reader = spark.read.option("header", True).option("mode", "FAILFAST").schema(schema or log_schema())
@@ -60,7 +48,7 @@ def read_csv_log(
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             continue
-        return spread(df, partitions=gzip_partitions) if path.endswith(".gz") else df
+        return df.repartition(gzip_partitions) if gzip_partitions and path.endswith(".gz") else df
     raise FileNotFoundError(f"no experiment log at {', '.join(candidates)}")
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import quoted
 from ..spec import ExperimentSpec
 
 
@@ -26,27 +26,16 @@ def fixed_size_sample(
     n: int,
     seed: int,
     rank: Column | None = None,
-    rank_range: float = 1.0,
     tie_break: Sequence[str] = (),
 ) -> DataFrame:
-    """Exactly ``n`` rows, drawn across the whole input: the ``n`` smallest random ranks.
+    """Exactly ``n`` rows (all, if fewer), drawn across the whole input: the ``n`` smallest ranks.
 
-    ``rank`` is a column uniform on [0, rank_range); seeded random numbers by
-    default. Rows whose rank is clearly too large are dropped where they are
-    read, so about n rows reach the final sort instead of n per task. If the
-    cut proves too tight it is widened, so the size is always exact.
+    ``rank`` defaults to a seeded hash of the whole row, so a row has the same
+    rank whichever task reads it. One read; each task keeps at most ``n`` rows.
     """
-    ranked = df.withColumn("_rank", F.rand(seed) if rank is None else rank)
-    total = df.count()
-    target = min(n, total)
-    slack = 8.0
-    while True:
-        share = (n + slack * math.sqrt(n) + 64.0) / total if total else 1.0
-        kept = ranked if share >= 1.0 else ranked.filter(F.col("_rank") < share * rank_range)
-        if share >= 1.0 or kept.count() >= target:
-            break
-        slack *= 4.0
-    return kept.orderBy("_rank", *tie_break).limit(n).drop("_rank")
+    if rank is None:
+        rank = F.xxhash64(F.lit(seed), *[F.col(quoted(c)) for c in df.columns])
+    return df.withColumn("_rank", rank).orderBy("_rank", *tie_break).limit(n).drop("_rank")
 
 
 def arm_coverage(sample: DataFrame, spec: ExperimentSpec, least: int = 1000) -> DataFrame:

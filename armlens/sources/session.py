@@ -5,11 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows of models or cut points (a key and at most a few dozen numbers each) that
-# are sent to every executor; about 20 MB.
-MAX_BROADCAST_ROWS = 100_000
 
 # Settings that can also be changed on a running session.
 SESSION_CONF = {
@@ -91,14 +86,3 @@ def stored(df: DataFrame) -> DataFrame:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_within(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mark an already stored per-key table for broadcast if its row count allows it.
-
-    Beyond the limit the table is returned as it is and Spark joins by shuffle,
-    splitting hot keys. Pass only tables that are cheap to count.
-    """
-    if table.limit(max_rows + 1).count() > max_rows:
-        return table
-    return F.broadcast(table)

@@ -39,6 +39,8 @@ class ExperimentSpec:
     underdispersion_threshold: float = 0.01
     smd_threshold: float = 0.10
     shuffle_tolerance: float = 0.01
+    # Size (n_t * n_c / (n_t + n_c)) at which the always-valid interval is tightest; it holds at any.
+    n_planned: float = 1e6
     # (feature, constant) pairs subtracted before products are summed.
     shift: tuple[tuple[str, float], ...] = ()
 

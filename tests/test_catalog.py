@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
-from armlens.plans import catalog
+from armlens.plans import catalog, oracles
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events")
@@ -28,7 +28,7 @@ def canonical(rows, columns):
     return sorted(repr([row[i] for i in order]) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(spark_entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracles.statements()))
 def test_query_equals_its_sql(spark, duck, name):
     df = spark_entry.queries()[name](spark, SF_DIR)
     result = duck.execute(spark_entry.oracle_sql()[name])

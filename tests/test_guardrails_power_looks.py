@@ -158,7 +158,7 @@ def test_weak_designs_keep_both_tails(spark):
 
 def test_always_valid_interval_on_published_counts(spark):
     pairs = moments.paired_moments(cells(spark, *PUBLISHED), SPEC, None)
-    r = one(sequential.always_valid(pairs, SPEC))
+    r = one(sequential.always_valid(pairs, SPEC, "n_eff"))
     assert r["fixed_ci_low"] == pytest.approx(0.0010845058, abs=1e-10)
     assert r["fixed_ci_high"] == pytest.approx(0.0012192403, abs=1e-10)
     assert r["always_valid_ci_low"] == pytest.approx(0.0009491721, abs=1e-10)
