@@ -1,8 +1,8 @@
 """Named queries: every operator run over the whole star-schema tables.
 
 Doubles are rounded at this edge only, so that results can be compared by value.
-Columns that need a distribution function (p-values, power) are left out where
-the comparison engine has none; the statistics behind them stay.
+Tails of the chi-square and F distributions and logarithms of p-values are left out
+where the comparison engine has no form of them; the statistics behind them stay.
 """
 
 from __future__ import annotations
@@ -128,6 +128,19 @@ def duplicates_by_arm(spark, sf_dir):
     return rounded(quality.duplicate_summary(_collapsed(spark, sf_dir), ("treatment",)))
 
 
+def duplicate_summary_16col(spark, sf_dir):
+    """Copies agree in every column of the log."""
+    return rounded(quality.duplicate_summary(quality.collapse(explog(spark, sf_dir), LOG_COLUMNS)))
+
+
+def spec_cells_subset_features(spark, sf_dir):
+    """Two features are analysed, but the row-handling choices still see all sixteen columns."""
+    spec = ExperimentSpec(features=("f0", "f2"))
+    whole = quality.collapse(explog(spark, sf_dir), LOG_COLUMNS)
+    return rounded(robustness.spec_cells(whole, spec), sum_digits).select(
+        "spec", "treatment", "n", "sum_y", "sum_f0", "sum_f2")
+
+
 def distinct_by_arm(spark, sf_dir):
     coarse = explog_coarse(spark, sf_dir)
     return quality.distinct_per_group(coarse, coarse.columns, ("treatment",))
@@ -302,7 +315,7 @@ ASSIGNED = replace(PLAIN, keys=(ASSIGNMENT,))
 
 def srm_check(spark, sf_dir):
     counts = suffstats.arm_counts(_two_assignments(spark, sf_dir), ASSIGNED)
-    checked = guardrails.srm_check(counts, ASSIGNED).drop("p_value", "log10_p", "closeness_p")
+    checked = guardrails.srm_check(counts, ASSIGNED).drop("log10_p")
     return rounded(checked, {"delta_users": 5, "expected_treatment_count": 5, "expected_control_count": 5, "chi2": 6})
 
 
@@ -316,7 +329,7 @@ def srm_by_segment(spark, sf_dir):
 
 def srm_sensitivity(spark, sf_dir):
     counts = suffstats.arm_counts(_log(spark, sf_dir, PLAIN), PLAIN)
-    return rounded(guardrails.srm_sensitivity(counts, PLAIN).drop("p_value"), {"chi2": 4, "z_score": 6})
+    return rounded(guardrails.srm_sensitivity(counts, PLAIN), {"chi2": 4, "z_score": 6})
 
 
 def srm_nearest_ratio(spark, sf_dir):
@@ -328,7 +341,7 @@ def srm_nearest_ratio(spark, sf_dir):
 def balance_smd(spark, sf_dir):
     spec = replace(FULL, exposure=None, post_covariate=None, fold=None)
     return rounded(
-        guardrails.balance_direct(_log(spark, sf_dir, spec), spec).drop("p_value"),
+        guardrails.balance_direct(_log(spark, sf_dir, spec), spec),
         {"mean_treatment": 4, "mean_control": 4, "difference": 4, "z": 6},
     )
 
@@ -338,7 +351,7 @@ def balance_from_sums(spark, sf_dir):
     cells = suffstats.sufficient_stats(
         _two_assignments(spark, sf_dir, "conversion", *spec.features), spec, cross_products=True
     )
-    return rounded(guardrails.balance_features(cells, spec).drop("p_value"), {"z": 6})
+    return rounded(guardrails.balance_features(cells, spec), {"z": 6})
 
 
 def balance_sql(spark, sf_dir):
@@ -388,7 +401,7 @@ def gated_effects(spark, sf_dir):
 
 
 def _effect(rows: DataFrame) -> DataFrame:
-    return rounded(rows.drop("p_value"), {"z": 6})
+    return rounded(rows, {"z": 6})
 
 
 def itt_unadjusted(spark, sf_dir):
@@ -406,7 +419,7 @@ def cuped(spark, sf_dir):
 
 def cuped_diagnostics(spark, sf_dir):
     return rounded(
-        effects.cuped_diagnostics(_pairs(spark, sf_dir, ONE), ONE).drop("imbalance_p"),
+        effects.cuped_diagnostics(_pairs(spark, sf_dir, ONE), ONE),
         {"imbalance_z": 6, "shift_vs_chance_multiple": 6},
     )
 
@@ -419,7 +432,7 @@ def cuped_post_treatment(spark, sf_dir):
 def cuped_post_diagnostics(spark, sf_dir):
     pairs = _pairs(spark, sf_dir, ONE, "xn")
     return rounded(
-        effects.cuped_diagnostics(pairs, ONE, pre_assignment=False).drop("imbalance_p"),
+        effects.cuped_diagnostics(pairs, ONE, pre_assignment=False),
         {"imbalance_z": 6, "shift_vs_chance_multiple": 6},
     )
 
@@ -590,11 +603,11 @@ def uplift_by_segment(spark, sf_dir):
 
 def power_by_segment(spark, sf_dir):
     spec = replace(PLAIN, keys=("market",))
-    return rounded(power.power_summary(_cells(spark, sf_dir, spec), spec).drop("achieved_power"), {"n_eff": 4})
+    return rounded(power.power_summary(_cells(spark, sf_dir, spec), spec), {"n_eff": 4})
 
 
 def power_mde_grid(spark, sf_dir):
-    return rounded(power.power_grid(_cells(spark, sf_dir, PLAIN), PLAIN).drop("achieved_power"))
+    return rounded(power.power_grid(_cells(spark, sf_dir, PLAIN), PLAIN))
 
 
 def smallest_detectable(spark, sf_dir):
@@ -606,7 +619,7 @@ def smallest_detectable(spark, sf_dir):
 
 def power_achieved(spark, sf_dir):
     spec = replace(PLAIN, keys=("market",))
-    return power.power_grid(_cells(spark, sf_dir, spec), spec)
+    return rounded(power.power_grid(_cells(spark, sf_dir, spec), spec))
 
 
 def power_designs(spark, sf_dir):
@@ -669,6 +682,22 @@ def aa_false_positive_rate_hashed(spark, sf_dir):
     return sequential.aa_false_positive_rate(replicates, LOOKS)
 
 
+def _integer_assignment_85(unit, replicate):
+    """As ``_integer_assignment``, with seventeen of twenty units treated."""
+    p = F.lit(RANDOM_PRIME)
+    mixed = (unit * RANDOM_FACTOR + (replicate.cast("long") + 1) * 69621) % p
+    return (F.floor((mixed * mixed) % p / 65536).cast("int") % 20 < 17).cast("int")
+
+
+def aa_false_positive_rate_by_user(spark, sf_dir):
+    """Users are re-randomised 85/15 with all their events, so a unit is counted up once per look."""
+    units = sequential.unit_looks(
+        explog_looks(spark, sf_dir), LOOKS, "user_id", N_LOOKS, ["ts", "event_id"]
+    )
+    replicates = sequential.aa_replicates(units, LOOKS, "user_id", AA_REPLICATES, _integer_assignment_85)
+    return rounded(sequential.aa_false_positive_rate(replicates, LOOKS))
+
+
 # -- decision ----------------------------------------------------------------------------------------
 
 
@@ -760,7 +789,7 @@ def decision_withheld(spark, sf_dir):
 QUERIES: tuple[Query, ...] = (
     crossfit_five_folds, uplift_scores_five_folds, gated_effects_null_key, balance_null_key, decision_withheld,
     flag_quality, implication_violations, completeness,
-    duplicate_summary, duplicates_by_arm, distinct_by_arm, duplicate_profile,
+    duplicate_summary, duplicate_summary_16col, spec_cells_subset_features, duplicates_by_arm, distinct_by_arm, duplicate_profile,
     multiplicity_weights, feature_cardinality, feature_cardinality_sketch,
     position_dependence, position_summary, position_summary_assembled, position_stored_order,
     hash_sample_topn, sample_arm_coverage, bernoulli_sample, stratified_sample,
@@ -781,6 +810,6 @@ QUERIES: tuple[Query, ...] = (
     uplift_table_sketch, uplift_by_segment,
     power_by_segment, power_mde_grid, smallest_detectable, power_achieved, power_designs,
     always_valid_interval, always_valid_tuned, look_replay, look_crossings,
-    aa_false_positive_rate, aa_false_positive_rate_hashed,
+    aa_false_positive_rate, aa_false_positive_rate_by_user, aa_false_positive_rate_hashed,
     ship_decision, experiment_summary, experiment_summary_by_segment, result_documents,
 )

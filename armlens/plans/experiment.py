@@ -11,6 +11,7 @@ from ..operators import ancova as anc
 from ..operators import decision, effects, guardrails, models, position, power, quality, robustness
 from ..operators import sequential, suffstats, uplift
 from ..operators.folds import FOLD, with_fold
+from ..functions.columns import on_keys
 from ..operators.moments import paired_moments
 from ..sources.logs import write_cells, write_result
 from ..sources.session import durable
@@ -20,11 +21,12 @@ from ..spec import ExperimentSpec
 class ExperimentReport:
     """Every result table of one analysis, built when first asked for.
 
-    The log is read twice: once for the sums per (choice, fold, arm), from which
-    all tests, models and adjusted estimates follow by algebra, and for the
-    uplift bins, which need a score per row (a sketch pass and a count pass).
-    The sums are kept in the checkpoint folder, so every table after the first
-    starts from a handful of rows.
+    The log is read for four things: flags and completeness, the position table,
+    the sums per (choice, fold, arm), from which all tests, models and adjusted
+    estimates follow by algebra, and the uplift bins, which need a score per row.
+    The counts and sums are kept in the checkpoint folder, so every other table
+    starts from a handful of rows. Tables that compare the arms carry
+    ``srm_status``, the key's sample-ratio check.
 
     ``choices=False`` leaves out the row-handling choices and with them the
     collapse to distinct rows, the one shuffle that grows with the log.
@@ -34,7 +36,11 @@ class ExperimentReport:
         "quality", "completeness", "duplicates", "duplicate_profile", "position", "arms", "srm", "srm_sensitivity", "balance_features", "balance",
         "power", "power_grid", "effects", "cuped", "lin", "cuped_post", "cuped_post_diagnostics",
         "complier", "ancova", "index_gain", "sequential", "spec_curve", "spec_curve_summary",
-        "uplift_bins", "uplift", "qini_curve", "uplift_summary", "decision", "summary",
+        "uplift_bins", "unscored", "uplift", "qini_curve", "uplift_summary", "decision", "summary",
+    )
+    COMPARISONS = (
+        "cuped", "lin", "cuped_post", "cuped_post_diagnostics", "complier", "ancova", "index_gain", "sequential",
+        "spec_curve", "spec_curve_summary", "uplift_bins", "uplift", "qini_curve", "uplift_summary",
     )
 
     def __init__(
@@ -64,7 +70,11 @@ class ExperimentReport:
             raise KeyError(name)
         if name not in ("quality", "completeness"):
             self.require_clean_flags()
-        return getattr(self, name)
+        table = getattr(self, name)
+        if name in self.COMPARISONS:
+            status = self.srm.select(*self.spec.keys, F.col("status").alias("srm_status"))
+            table = on_keys(table, status, self.spec.keys)
+        return table
 
     def write(self, folder: str) -> None:
         """Cells as Parquet, every table as JSON lines."""
@@ -129,6 +139,15 @@ class ExperimentReport:
         fitted = models.pin_models(models.uplift_models(self.fold_cells, self.spec), self.spec)
         return uplift.uplift_bins(self.log, self.spec, fitted=fitted)
 
+    @cached_property
+    def unscored(self) -> DataFrame:
+        """Rows that are in no uplift bin because a column is missing or no model applies."""
+        keys = self.spec.keys
+        scored = self.uplift_bins.groupBy(*keys).agg(F.sum("n").alias("n_scored"))
+        counted = on_keys(self.completeness.select(*keys, "n_rows"), scored, keys)
+        missing = F.col("n_rows") - F.coalesce("n_scored", F.lit(0))
+        return counted.select(*keys, "n_rows", missing.cast("long").alias("n_unscored"))
+
     # -- quality and guardrails ----------------------------------------------------------
 
     @cached_property

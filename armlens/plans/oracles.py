@@ -13,12 +13,12 @@ from .catalog import (
     AA_REPLICATES, FEATURES, FEW, N_LOOKS, RANDOM_FACTOR, RANDOM_PRIME, SAMPLE_SIZE, sum_digits,
 )
 
-_SPEC = ExperimentSpec()
-Z = repr(_SPEC.z_crit)
-Z_POWER = repr(_SPEC.z_power)
-Z_SRM = repr(_SPEC.srm_z_limit)
-Z_CLOSE = repr(_SPEC.closeness_z_limit)
-Z_IMBALANCE = repr(ExperimentSpec(alpha=0.001).z_crit)
+# Normal quantiles at 0.975, 0.8, 0.9995 and 0.505.
+Z = "1.9599639845400536"
+Z_POWER = "0.8416212335729144"
+Z_SRM = "3.2905267314919255"
+Z_CLOSE = "0.012533469508069278"
+Z_IMBALANCE = Z_SRM
 
 TREATED = "l_orderkey % 20 < 17"
 COLUMNS = {
@@ -56,6 +56,10 @@ COLLAPSED = (
     f"collapsed AS (SELECT {COARSE_COLUMNS}, count(*)::BIGINT AS multiplicity FROM log "
     f"GROUP BY ALL)"
 )
+COLLAPSED_16 = (
+    f"collapsed AS (SELECT {', '.join(FEATURES)}, treatment, conversion, visit, exposure, "
+    "count(*)::BIGINT AS multiplicity FROM log GROUP BY ALL)"
+)
 WEIGHTED = (
     "weighted AS (SELECT *, 'all' AS spec, multiplicity AS w FROM collapsed "
     "UNION ALL SELECT *, 'dedup', 1 FROM collapsed "
@@ -67,6 +71,19 @@ def r(expression: str, alias: str, digits: int = 8) -> str:
     return f"round({expression}, {digits}) + 0.0 AS {alias}"
 
 
+def central(z: str) -> str:
+    """P(|Z| <= |z|) for a standard normal, by its power series; 1 to fifteen digits from 8 on."""
+    x = f"greatest(abs({z}), 1e-300)"
+    return (
+        f"(CASE WHEN abs({z}) >= 8 THEN 1.0::DOUBLE ELSE 2 * list_sum([exp((2 * i + 1) * ln({x}) - {x} * {x} / 2 "
+        "- (i + 1.5) * ln(2) - lgamma(i + 1.5)) FOR i IN range(200)]) END)"
+    )
+
+
+def two_sided(z: str) -> str:
+    return f"(1 - {central(z)})"
+
+
 def _keys(keys: Sequence[str]) -> str:
     return "".join(f"{k}, " for k in keys)
 
@@ -168,7 +185,7 @@ def effect_select(keys: Sequence[str] = ()) -> str:
         + ", ".join([
             r("mt", "mean_treatment"), r("mc", "mean_control"), r("d", "absolute_effect"),
             r("se", "se"), r(f"d - {Z} * se", "ci_low"), r(f"d + {Z} * se", "ci_high"),
-            r(f"2 * {Z} * se", "ci_width"), r("z", "z", 6), r("mt / mc - 1", "relative_lift"),
+            r(f"2 * {Z} * se", "ci_width"), r("z", "z", 6), r(two_sided("z"), "p_value"), r("mt / mc - 1", "relative_lift"),
             r("rlo", "relative_ci_low"), r("rhi", "relative_ci_high"),
             r("vt", "var_treatment"), r("vc", "var_control"),
             f"abs(z) > {Z} AS significant", "'ok' AS status",
@@ -204,7 +221,7 @@ SELECT {r('theta', 'theta')}, {r('rho', 'corr_pooled')},
   {r('sc', 'control_share_of_variance')}, {r('1 - kept', 'observed_variance_reduction')},
   {r('1 - sqrt(kept)', 'observed_ci_width_reduction')},
   {r('mx_t', 'covariate_mean_treatment')}, {r('mx_c', 'covariate_mean_control')},
-  {r('gap', 'covariate_imbalance')}, {r('iz', 'imbalance_z', 6)},
+  {r('gap', 'covariate_imbalance')}, {r('iz', 'imbalance_z', 6)}, {r(two_sided('iz'), 'imbalance_p')},
   {r('shift', 'point_estimate_shift')}, {r('shift / d', 'point_estimate_shift_pct')},
   {r('chance / abs(d)', 'expected_shift_from_chance_pct')},
   {r('abs(shift) / chance', 'shift_vs_chance_multiple', 6)},
@@ -316,6 +333,13 @@ def _quality() -> dict[str, str]:
             + " AND ".join(f"{f} IS NOT NULL" for f in FEATURES)
         ),
         "duplicate_summary": f"WITH {log()}, {COLLAPSED} SELECT {duplicates} FROM collapsed",
+        "duplicate_summary_16col": f"WITH {log()}, {COLLAPSED_16} SELECT {duplicates} FROM collapsed",
+        "spec_cells_subset_features": (
+            f"WITH {log()}, {COLLAPSED_16}, {WEIGHTED} SELECT spec, treatment, sum(w)::DOUBLE AS n, "
+            + ", ".join(r(f"sum(w * ({e})::DOUBLE)", f"sum_{c}", sum_digits(f"sum_{c}"))
+                        for c, e in (("y", "conversion"), ("f0", "f0"), ("f2", "f2")))
+            + " FROM weighted GROUP BY spec, treatment"
+        ),
         "duplicates_by_arm": (
             f"WITH {log()}, {COLLAPSED} SELECT treatment, {duplicates} FROM collapsed GROUP BY treatment"
         ),
@@ -454,7 +478,7 @@ def _guardrails() -> dict[str, str]:
     )
     smd_select = lambda keys, d: (
         f"SELECT {_keys(keys)}feature, {r('mt', 'mean_treatment', d)}, {r('mc', 'mean_control', d)}, "
-        f"{r('mt - mc', 'difference', d)}, {r('smd', 'smd')}, {r('z', 'z', 6)}, "
+        f"{r('mt - mc', 'difference', d)}, {r('smd', 'smd')}, {r('z', 'z', 6)}, {r(two_sided('z'), 'p_value')}, "
         "abs(smd) > 0.1 AS above_threshold FROM m2"
     )
     four = ("f0", "f2", "f3", "f4")
@@ -467,7 +491,8 @@ def _guardrails() -> dict[str, str]:
             f"{r('et', 'expected_treatment_count', 5)}, {r('ec', 'expected_control_count', 5)}, "
             f"{r('nt - et', 'delta_users', 5)}, 1 AS dof, {r('chi2', 'chi2', 6)}, "
             f"abs(z) <= {Z_SRM} AS passed, 0.001::DOUBLE AS threshold, {r('sd', 'binomial_sd_users')}, "
-            f"{r('z', 'z_score')}, abs(z) < {Z_CLOSE} AS underdispersed, {ratio_columns}, "
+            f"{r('z', 'z_score')}, {r(two_sided('z'), 'p_value')}, {r(central('z'), 'closeness_p')}, "
+            f"abs(z) < {Z_CLOSE} AS underdispersed, {ratio_columns}, "
             f"CASE WHEN abs(z) <= {Z_SRM} THEN 'pass' ELSE 'fail' END AS status FROM h"
         ),
         "srm_by_segment": (
@@ -483,7 +508,7 @@ def _guardrails() -> dict[str, str]:
             "sqrt((nt + nc) * share * (1 - share)) AS sd FROM s) "
             "SELECT share AS assumed_treatment_share, "
             f"{r('(nt - et) * (nt - et) / et + (nc - ec) * (nc - ec) / ec', 'chi2', 4)}, "
-            f"{r('(nt - et) / sd', 'z_score', 6)}, abs((nt - et) / sd) <= {Z_SRM} AS passed FROM x"
+            f"{r('(nt - et) / sd', 'z_score', 6)}, {r(two_sided('(nt - et) / sd'), 'p_value')}, abs((nt - et) / sd) <= {Z_SRM} AS passed FROM x"
         ),
         "srm_nearest_ratio": (
             f"WITH {log()}, {_srm_ctes('log', ('market',))}, {_best_ratio(('market',))} "
@@ -800,6 +825,19 @@ def _power() -> dict[str, str]:
         "(rt + rc)::BIGINT AS n_total_required"
     )
     powered = "nt >= rt AND nc >= rc"
+    # Upper tails at the critical value less and plus the drift.
+    drift = "abs(h) * sqrt(ne / 2)"
+    upper = lambda z: f"(0.5 - sign({z}) * {central(z)} / 2)"
+    achieved = r(f"{upper(f'({Z} - {drift})')} + {upper(f'({Z} + {drift})')}", "achieved_power")
+
+    def grid(keys: Sequence[str]) -> str:
+        return (
+            f"WITH {base(keys)}, g AS (SELECT *, unnest([0.01, 0.02, 0.05, 0.10, 0.20])::DOUBLE AS mde FROM b2), "
+            f"{required('g')} SELECT {_keys(keys)}mde AS mde_relative, {r('p0', 'baseline_rate')}, "
+            f"{r('p1', 'treated_rate_target')}, {r('h', 'effect_size_h')}, {sizes}, nt::BIGINT AS n_treatment, "
+            f"nc::BIGINT AS n_control, {powered} AS powered, {achieved} FROM n3"
+        )
+
     return {
         "power_by_segment": (
             f"WITH {base(('market',))}, g AS (SELECT *, 0.05::DOUBLE AS mde FROM b2), {required('g')} "
@@ -807,15 +845,11 @@ def _power() -> dict[str, str]:
             f"{r('p1', 'treated_rate_target')}, 0.05::DOUBLE AS alpha, 0.8::DOUBLE AS power, "
             f"{r('h', 'effect_size_h')}, (2 * nb)::BIGINT AS n_total_balanced, {sizes}, "
             f"{r('k', 'allocation_ratio')}, nt::BIGINT AS n_treatment, nc::BIGINT AS n_control, {r('ne', 'n_eff', 4)}, "
-            f"{powered} AS powered, {r(detect, 'smallest_detectable_lift')}, "
+            f"{powered} AS powered, {achieved}, {r(detect, 'smallest_detectable_lift')}, "
             f"CASE WHEN {powered} THEN 'powered' ELSE 'underpowered' END AS verdict FROM n3"
         ),
-        "power_mde_grid": (
-            f"WITH {base(())}, g AS (SELECT *, unnest([0.01, 0.02, 0.05, 0.10, 0.20])::DOUBLE AS mde FROM b2), "
-            f"{required('g')} SELECT mde AS mde_relative, {r('p0', 'baseline_rate')}, "
-            f"{r('p1', 'treated_rate_target')}, {r('h', 'effect_size_h')}, {sizes}, nt::BIGINT AS n_treatment, "
-            f"nc::BIGINT AS n_control, {powered} AS powered FROM n3"
-        ),
+        "power_mde_grid": grid(()),
+        "power_achieved": grid(("market",)),
         "smallest_detectable": (
             f"WITH {base(('segment',))} SELECT segment, {r('p0', 'baseline_rate')}, {r('ne', 'n_eff', 4)}, "
             f"{r(detect, 'smallest_detectable_lift')} FROM b2"
@@ -843,7 +877,7 @@ def _looks() -> dict[str, str]:
         )
 
     events = (
-        "ev AS (SELECT event_id, (user_id % 2)::INT AS treatment, (event_type = 'purchase')::INT AS conversion, "
+        "ev AS (SELECT event_id, user_id, (user_id % 2)::INT AS treatment, (event_type = 'purchase')::INT AS conversion, "
         f"((row_number() OVER (ORDER BY ts, event_id) - 1) * {N_LOOKS}) // count(*) OVER () + 1 AS look FROM events)"
     )
 
@@ -861,12 +895,18 @@ def _looks() -> dict[str, str]:
         )
 
     crossed = f"coalesce(abs(z) > {Z}, false)"
-    mixed = f"((event_id * {RANDOM_FACTOR} + (r + 1) * 69621) % {RANDOM_PRIME})"
-    assigned = (
-        f"aa AS (SELECT event_id, conversion, look, r AS replicate, "
-        f"((({mixed} * {mixed}) % {RANDOM_PRIME}) // 65536 % 2)::INT AS treatment "
-        f"FROM ev, (SELECT unnest(range(0, {AA_REPLICATES})) AS r))"
-    )
+
+    def false_positives(unit: str, treated: str) -> str:
+        mixed = f"(({unit} * {RANDOM_FACTOR} + (r + 1) * 69621) % {RANDOM_PRIME})"
+        return (
+            f"WITH {events}, aa AS (SELECT conversion, look, r AS replicate, "
+            f"((({mixed} * {mixed}) % {RANDOM_PRIME}) // 65536 {treated})::INT AS treatment "
+            f"FROM ev, (SELECT unnest(range(0, {AA_REPLICATES})) AS r)), {running('aa', ('replicate',))}, "
+            f"ec AS (SELECT look, {crossed}::INT AS c, max({crossed}::INT) OVER (PARTITION BY replicate ORDER BY look) AS ever FROM lk) "
+            "SELECT look::INT AS n_looks, count(*)::BIGINT AS replicates, sum(ever)::BIGINT AS ever_crossed, "
+            f"{r('avg(c)', 'rate_at_this_look')}, {r('avg(ever)', 'false_positive_rate')} FROM ec GROUP BY look"
+        )
+
     return {
         "always_valid_interval": valid((), "ne"),
         "always_valid_tuned": valid(("market",), "(8.2::DOUBLE / 8000.0::DOUBLE)"),
@@ -879,12 +919,8 @@ def _looks() -> dict[str, str]:
             f"WITH {events}, {running('ev', ())} SELECT count(*)::BIGINT AS n_looks, {r('max(abs(z))', 'max_abs_z')}, "
             f"(min(look) FILTER (WHERE {crossed}))::INT AS first_crossing, bool_or({crossed}) AS ever_crossed FROM lk"
         ),
-        "aa_false_positive_rate": (
-            f"WITH {events}, {assigned}, {running('aa', ('replicate',))}, "
-            f"ec AS (SELECT look, {crossed}::INT AS c, max({crossed}::INT) OVER (PARTITION BY replicate ORDER BY look) AS ever FROM lk) "
-            "SELECT look::INT AS n_looks, count(*)::BIGINT AS replicates, sum(ever)::BIGINT AS ever_crossed, "
-            f"{r('avg(c)', 'rate_at_this_look')}, {r('avg(ever)', 'false_positive_rate')} FROM ec GROUP BY look"
-        ),
+        "aa_false_positive_rate": false_positives("event_id", "% 2"),
+        "aa_false_positive_rate_by_user": false_positives("user_id", "% 20 < 17"),
     }
 
 
