@@ -155,19 +155,22 @@ def aa_replicates(
     """
     if assign is None:
         assign = lambda u, r: unit_hash(u, r, spec.share_column())
-    n, y = F.col("n"), F.col("sum_y").cast("double")
-    sums = [F.sum(n).alias("_n"), F.sum(y).alias("_y")]
-    for r in range(replicates):
-        treated = assign(F.col(unit), F.lit(r)) == 1
-        sums += [F.sum(F.when(treated, n).otherwise(0)).alias(f"_n{r}"),
-                 F.sum(F.when(treated, y).otherwise(0.0)).alias(f"_y{r}")]
-    wide = units.groupBy(*spec.keys, LOOK).agg(*sums)
+    numbers = range(replicates)
+    drawn = F.transform(
+        F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: assign(F.col(unit), r).cast("int")
+    )
+    held = units.select(
+        *spec.keys, LOOK, F.col("n").alias("_n"), F.col("sum_y").cast("double").alias("_y"), drawn.alias("_drawn")
+    )
+    # SQL text, because hundreds of columns are slow to build one call at a time.
+    wide = held.groupBy(*spec.keys, LOOK).agg(
+        F.sum("_n").alias("_n"), F.sum("_y").alias("_y"),
+        *[F.expr(f"sum(_n * _drawn[{r}]) AS _n{r}") for r in numbers],
+        *[F.expr(f"sum(_y * _drawn[{r}]) AS _y{r}") for r in numbers],
+    )
     # From here on there is a row per look of a key.
-    rows = F.array(*[
-        F.struct(F.lit(r).alias("replicate"), F.col(f"_n{r}").alias("n_t"), F.col(f"_y{r}").alias("y_t"))
-        for r in range(replicates)
-    ])
-    stats = wide.select(*spec.keys, LOOK, "_n", "_y", F.explode(rows).alias("_r")).select(
+    rows = ", ".join(f"struct({r} AS replicate, _n{r} AS n_t, _y{r} AS y_t)" for r in numbers)
+    stats = wide.select(*spec.keys, LOOK, "_n", "_y", F.expr(f"explode(array({rows})) AS _r")).select(
         *spec.keys, LOOK, "_r.replicate", "_r.n_t", (F.col("_n") - F.col("_r.n_t")).alias("n_c"),
         "_r.y_t", (F.col("_y") - F.col("_r.y_t")).alias("y_c"),
     )

@@ -890,7 +890,8 @@ def _looks() -> dict[str, str]:
             f"coalesce(sum(conversion) FILTER (WHERE treatment = 0), 0) AS yc FROM {source} GROUP BY {group}), "
             f"cu AS (SELECT {group}, sum(nt) OVER o AS nt, sum(nc) OVER o AS nc, sum(yt) OVER o::DOUBLE AS yt, "
             f"sum(yc) OVER o::DOUBLE AS yc FROM st WINDOW o AS ({by} ORDER BY look)), "
-            "lk AS (SELECT *, (yt / nt - yc / nc) / nullif(sqrt((yt + yc) / (nt + nc) * (1 - (yt + yc) / (nt + nc)) "
+            # A look at which an arm is still empty has no z; 0/0 would be NaN, which sorts above every limit.
+            "lk AS (SELECT *, (yt / nullif(nt, 0) - yc / nullif(nc, 0)) / nullif(sqrt((yt + yc) / (nt + nc) * (1 - (yt + yc) / (nt + nc)) "
             "* (1.0::DOUBLE / nt + 1.0::DOUBLE / nc)), 0) AS z FROM cu)"
         )
 
