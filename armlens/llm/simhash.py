@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..sources.session import stored
 from .common import batches_of, whole_text
 from .components import components
+from .hamming import bytes_of, distances, forest, group_links
 
 SEED = 42
 # Shingles hashed at a time, which bounds the memory of a very long text.
@@ -121,11 +122,6 @@ def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_column: str =
     return rows.mapInArrow(of_batches, "id long, fp binary")
 
 
-def _bytes_of(column: pa.Array, size: int) -> np.ndarray:
-    """Equally long binary values as a matrix of bytes."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, size)
-
-
 def _values(matrix: np.ndarray, low: int, width: int) -> np.ndarray:
     """Bits ``low .. low + width`` of every row as a number."""
     first, last = low // 8, (low + width + 7) // 8
@@ -133,7 +129,7 @@ def _values(matrix: np.ndarray, low: int, width: int) -> np.ndarray:
     return bits.astype(np.int64) @ (np.int64(1) << np.arange(width - 1, -1, -1, dtype=np.int64))
 
 
-def _keyed(nodes: DataFrame, cut: Cut) -> DataFrame:
+def _keyed(nodes: DataFrame, cut: Cut, halves: tuple[int, ...] = (0, 1)) -> DataFrame:
     """``segment, half, part, value, node, fp``: two rows per segment, one for either half being equal."""
     schema = pa.schema([("segment", pa.int32()), ("half", pa.int32()), ("part", pa.int64()), ("value", pa.int64()),
                         ("node", pa.int64()), ("fp", pa.binary())])
@@ -143,11 +139,12 @@ def _keyed(nodes: DataFrame, cut: Cut) -> DataFrame:
             node, fp = batch.column(0), batch.column(1)
             if not batch.num_rows:
                 continue
-            matrix = _bytes_of(fp, 8 * cut.words)
+            matrix = bytes_of(fp, 8 * cut.words)
             for i, (low, width) in enumerate(cut.segments):
                 value = _values(matrix, low, width)
                 right = width // 2
-                for half, part in ((0, value >> right), (1, value & ((1 << right) - 1))):
+                for half in halves:
+                    part = value & ((1 << right) - 1) if half else value >> right
                     same = np.full(len(value), i), np.full(len(value), half)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(same[0], pa.int32()), pa.array(same[1], pa.int32()), pa.array(part),
@@ -157,28 +154,6 @@ def _keyed(nodes: DataFrame, cut: Cut) -> DataFrame:
         of_batches, "segment int, half int, part long, value long, node long, fp binary")
 
 
-def _near(fps: np.ndarray, one: np.ndarray, distance: int) -> np.ndarray:
-    """Which rows of 64-bit words differ from ``one`` in at most ``distance`` bits."""
-    return np.bitwise_count(fps ^ one).sum(axis=1, dtype=np.int64) <= distance
-
-
-def _forest(fps: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
-    """Links that connect the same rows as all pairs within ``distance`` do; memory stays linear."""
-    todo = np.arange(len(fps))
-    left, right = [], []
-    while len(todo):
-        queue, todo = [int(todo[0])], todo[1:]
-        while queue and len(todo):
-            at = queue.pop()
-            near = _near(fps[todo], fps[at], distance)
-            found = todo[near].tolist()
-            todo = todo[~near]
-            queue.extend(found)
-            left.extend([at] * len(found))
-            right.extend(found)
-    return left, right
-
-
 def _linked(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of links within each run of equal keys; rows are sorted by key."""
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -187,11 +162,11 @@ def _linked(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarra
     left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for step in range(1, min(SHORT_RUN, int(lengths.max()))):
         at = np.flatnonzero((keys[step:] == keys[:-step]) & short[step:])
-        at = at[_near(fps[at], fps[at + step], distance)]
+        at = at[distances(fps[at], fps[at + step]) <= distance]
         left.append(at)
         right.append(at + step)
     for start, length in zip(starts[lengths > SHORT_RUN], lengths[lengths > SHORT_RUN]):
-        a, b = _forest(fps[start:start + length], distance)
+        a, b = forest(fps[start:start + length], distance)
         left.append(start + np.array(a, dtype=np.int64))
         right.append(start + np.array(b, dtype=np.int64))
     return np.concatenate(left), np.concatenate(right)
@@ -227,7 +202,7 @@ def _bucket_links(keyed: DataFrame, cut: Cut) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = [batch.column(i).to_numpy() for i in range(5)]
-            rows.append(_bytes_of(batch.column(5), 8 * cut.words).view(np.uint64))
+            rows.append(bytes_of(batch.column(5), 8 * cut.words).view(np.uint64))
             held.append(rows)
             size += batch.num_rows
             if size >= FLUSH_ROWS:
@@ -279,26 +254,26 @@ def _midpoint_links(members: DataFrame, distance: int) -> DataFrame:
 def links(nodes: DataFrame, cut: Cut, paired: int = PAIRED_MEMBERS) -> DataFrame:
     """``a, b`` links over ``node, fp``: they connect what chains of pairs within the distance connect.
 
-    A 64-bit segment value that more than ``paired`` fingerprints share is not
-    compared in pairs: its members and those one bit away are linked by midpoints,
-    which grows with the members and not with their square. Wider fingerprints
-    have no such form; their large buckets are searched breadth-first.
+    A segment value that more than ``paired`` fingerprints share is not compared in
+    one task: its members and those one bit away are linked by midpoints if they
+    have 64 bits, and as a group of their own (see ``group_links``) if they are wider.
     """
     keyed = _keyed(nodes, cut)
-    if cut.words > 1:
-        return _bucket_links(keyed, cut)
-    crowded = stored(keyed.where("half = 0").groupBy("segment", "value").count()
-                     .where(F.col("count") > paired).select("segment", "value"))
+    once = _keyed(nodes, cut, (0,))
+    crowded = stored(once.groupBy("segment", "value").count().where(F.col("count") > paired).select("segment", "value"))
     if crowded.isEmpty():
         return _bucket_links(keyed, cut)
     widths = F.array(*[F.lit(width) for _, width in cut.segments])
-    around = crowded.select("segment", F.explode(F.expr(
+    around = crowded.select("segment", F.col("value").alias("centre"), F.explode(F.expr(
         "transform(sequence(-1, 62), b -> if(b < 0, value, value ^ shiftleft(1L, b)))")).alias("value"), widths.alias("w"))
-    around = around.where(F.expr("value < shiftleft(1L, w[segment])")).select("segment", "value").distinct()
-    head = F.conv(F.hex("fp"), 16, -10).cast("long")
-    members = stored(keyed.where("half = 0").join(around, ["segment", "value"], "left_semi")
-                     .select("node", head.alias("head")).distinct())
+    around = around.where(F.expr("value < shiftleft(1L, w[segment])")).select("segment", "centre", "value")
     usual = _bucket_links(keyed.join(crowded, ["segment", "value"], "left_anti").select(keyed.columns), cut)
+    if cut.words > 1:
+        group = F.xxhash64("segment", "centre").alias("g")
+        members = once.join(around, ["segment", "value"]).select(group, "node", "fp")
+        return usual.union(group_links(members, cut.distance, cut.words, paired))
+    head = F.conv(F.hex("fp"), 16, -10).cast("long")
+    members = stored(once.join(around, ["segment", "value"], "left_semi").select("node", head.alias("head")).distinct())
     return usual.union(_midpoint_links(members, cut.distance))
 
 

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 import public_tokenizers
 from armlens.llm import (
-    components, exact_dedup, html_text, langid, packing, pii, sentencepiece_fst, simhash, topk, toxicity, warc,
+    components, exact_dedup, hamming, html_text, langid, packing, pii, sentencepiece_fst, simhash, topk, toxicity, warc,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -486,6 +486,63 @@ def test_near_copies_at_a_similarity(spark):
     assert kept == {i for i, _ in rows if i % 3 != 1}
 
 
+def classes(links, nodes):
+    """The partition of ``nodes`` by ``links``."""
+    name = {n: n for n in nodes}
+    for a, b in links:
+        old, new = name[a], name[b]
+        for n in nodes:
+            if name[n] == old:
+                name[n] = new
+    groups = {}
+    for n in nodes:
+        groups.setdefault(name[n], set()).add(n)
+    return sorted(map(sorted, groups.values()))
+
+
+@pytest.mark.parametrize("block, pivots", [(1000, 64), (40, 4), (25, 1)])
+def test_links_inside_groups_that_are_split(spark, block, pivots):
+    """A tight family, a chain whose ends are far apart, loose families and strangers, by brute force."""
+    rng = np.random.default_rng(3)
+    words, distance = 8, 60
+    flip = lambda bits, n: np.bitwise_xor(bits, np.isin(np.arange(512), rng.choice(512, n, replace=False)))
+    base = rng.random(512) < 0.5
+    rows = [flip(base, int(rng.integers(0, 20))) for _ in range(120)]
+    chain = [flip(base, 200)]
+    for _ in range(60):
+        chain.append(flip(chain[-1], 45))
+    middle = flip(base, 130)
+    rows += chain + [flip(middle, int(rng.integers(10, 35))) for _ in range(60)]
+    rows += [rng.random(512) < 0.5 for _ in range(40)]
+    fps = [np.packbits(r).tobytes() for r in rows]
+    numbers = [int.from_bytes(f, "big") for f in fps]
+    pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (numbers[i] ^ numbers[j]).bit_count() <= distance]
+    second = list(range(0, len(fps), 9))  # a group of its own
+    data = [(1, i, f) for i, f in enumerate(fps)] + [(2, 1000 + i, fps[i]) for i in second]
+    members = spark.createDataFrame(data, "g long, node long, fp binary")
+    got = [tuple(r) for r in hamming.group_links(members, distance, words, block, pivots).collect()]
+    close = set(pairs) | {(1000 + i, 1000 + j) for i, j in pairs if i in set(second) and j in set(second)}
+    nodes = [node for _, node, _ in data]
+    assert classes(got, nodes) == classes(close, nodes)
+    assert hamming.group_links(members.where("false"), distance, words, block).count() == 0
+
+
+def test_crowded_segments_of_wide_fingerprints(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rows = []
+    for family in range(4):
+        words = [word() for _ in range(200)]
+        for _ in range(60):
+            copy = list(words)
+            copy[rng.randrange(200)] = word()
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, simhash.near_duplicates(df).collect()))
+    assert sorted(map(tuple, simhash.near_duplicates(df, paired=8).collect())) == whole
+    assert {c for _, _, c in whole} == {0, 60, 120, 180}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(100, 160)] + [(500, 600 + i) for i in range(50)] + [(7, 7)]
     got = dict(map(tuple, components.components(spark.createDataFrame(pairs, "a long, b long")).collect()))
