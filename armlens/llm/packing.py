@@ -218,7 +218,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     parts = []
     loose, settled = current, 0
     for number in range(1, EXCHANGES + 1):
-        # Full sequences are final; so are those of certified partitions that have no sequence to spare.
+        # Full sequences are final; those with gaps exchange until the whole table meets its bound.
         parts.append(loose.where("room = 0"))
         settled += parts[-1].select("sequence_id").distinct().count()
         loose = loose.where("room > 0")
