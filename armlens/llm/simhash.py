@@ -29,8 +29,8 @@ from .hamming import bytes_of, distances, forest, group_links
 SEED = 42
 # Shingles hashed at a time, which bounds the memory of a very long text.
 HASH_BLOCK = 1 << 14
-# Values of one segment that are compared pair by pair in one task; larger
-# buckets are linked by shared midpoints.
+# Fingerprints with one segment value that are compared in one task; more are
+# linked by shared midpoints, or in chunks around pivots.
 PAIRED_MEMBERS = 20_000
 # Runs up to this length are compared all at once with their neighbours in the sort order.
 SHORT_RUN = 32
