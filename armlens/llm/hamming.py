@@ -230,3 +230,38 @@ def group_links(members: DataFrame, distance: int, words: int, block: int, pivot
     for links in found[1:]:
         out = out.union(links)
     return out
+
+
+def crossing_pairs(members: DataFrame, distance: int, words: int, block: int, guests: int) -> DataFrame:
+    """``a, b``: all pairs within ``distance`` over ``g, node, fp, family`` that share a group and not a family.
+
+    One of a pair is outside of the group's largest family. Those rows meet all of
+    the group, in blocks of about ``guests`` and ``block`` rows.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    size = 8 * words
+
+    def compare(part: pa.Table, visiting: pa.Table) -> pa.Table:
+        if not part.num_rows or not visiting.num_rows:
+            return schema.empty_table()
+        fps, names = bytes_of(part["fp"], size).view(np.uint64), part["node"].to_numpy()
+        families, own = part["family"].to_numpy(), visiting["family"].to_numpy()
+        left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for i, (node, one) in enumerate(zip(visiting["node"].to_pylist(), bytes_of(visiting["fp"], size).view(np.uint64))):
+            at = np.flatnonzero((distances(fps, one) <= distance) & (families != own[i]))
+            left.append(np.minimum(node, names[at]))
+            right.append(np.maximum(node, names[at]))
+        return pa.table([np.concatenate(left), np.concatenate(right)], schema=schema)
+
+    counted = members.groupBy("g", "family").agg(F.count("*").alias("n")).groupBy("g").agg(
+        F.max_by("family", F.struct("n", "family")).alias("largest"), F.sum("n").alias("every"), F.max("n").alias("most"))
+    sizes = stored(counted.where("most < every").select(
+        "g", "largest", F.ceil(F.col("every") / F.lit(block)).alias("homes"),
+        F.ceil((F.col("every") - F.col("most")) / F.lit(guests)).alias("guests")))
+    rows = members.join(sizes, "g")
+    columns = ["g", "node", "fp", "family"]
+    left = rows.select(*columns, _dealt(F.col("homes")).alias("i"), _spread(F.col("guests")).alias("j"))
+    again = [F.col(c).alias(c) for c in columns]  # names of their own in the plan
+    right = rows.where("family <> largest").select(*again, _dealt(F.col("guests")).alias("j"), _spread(F.col("homes")).alias("i"))
+    key = ["g", "i", "j"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "a long, b long")

@@ -486,6 +486,56 @@ def test_near_copies_at_a_similarity(spark):
     assert kept == {i for i, _ in rows if i % 3 != 1}
 
 
+def jaccard_classes(rows, shingle, similarity):
+    """Components of all pairs of rows whose shingle sets are as similar, by brute force."""
+    sets = []
+    for _, text in rows:
+        words = text.lower().split()
+        sets.append({tuple(words[i:i + shingle]) for i in range(max(1, len(words) - shingle + 1))})
+    pairs = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i)
+             if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    return classes(pairs, [i for i, _ in rows])
+
+
+def similarity_classes(df, **options):
+    groups = {}
+    for r in simhash.near_duplicates(df, **options).collect():
+        groups.setdefault(r.component_id, []).append(r.doc_id)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_similarity_is_that_of_the_sets(spark):
+    """Pairs just over and just under 0.8, long and of few shingles."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    rows = []
+    for shingles in (8, 20, 100, 300):
+        for kept in range(60):
+            same = shingles * 4 // 5 + rng.randint(-max(1, shingles // 20), max(1, shingles // 20))
+            text = [word() for _ in range(same + 4)]
+            rest = [word() for _ in range(shingles - same)]
+            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(text + rest))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert similarity_classes(df) == jaccard_classes(rows, 5, 0.8)
+
+
+@pytest.mark.parametrize("paired", [20_000, 40])
+def test_large_groups_around_the_similarity(spark, paired):
+    """More rows than are compared all at once, of which some pairs are similar enough and most are not."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    words, rows = [word() for _ in range(300)], []
+    for i in range(150):
+        copy = list(words)
+        for at in rng.sample(range(300), rng.randint(3, 9)):
+            copy[at] = word()
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = jaccard_classes(rows, 5, 0.8)
+    assert 5 < len(wanted) < 150
+    assert similarity_classes(df, paired=paired) == wanted
+
+
 def classes(links, nodes):
     """The partition of ``nodes`` by ``links``."""
     name = {n: n for n in nodes}
