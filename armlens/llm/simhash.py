@@ -153,14 +153,17 @@ def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_column: str =
 
 def shingle_sets(docs: DataFrame, shingle: int, words: int, id_column: str = "doc_id",
                  text_column: str = "text") -> DataFrame:
-    """``id, fp, row_id, digest, hashes`` for every row: its set of shingle hashes, and the digest of the set."""
+    """``id, fp, row_id, digest, hashes`` for every row: its set of shingle hashes, their fingerprint and the digest of the set.
+
+    A shingle counts once however often it is repeated.
+    """
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         for batch in batches:
             texts = batch.column(1).to_pylist()
             sets = [shingle_set(t, shingle) for t in texts]
-            values = [fingerprint(t, shingle, words) for t in texts]
+            values = [majority(np.split(s, range(HASH_BLOCK, len(s), HASH_BLOCK)), words) for s in sets]
             held = [s.astype("<u8").tobytes() for s in sets]
             digests = [hashlib.sha256(h).digest() for h in held]
             yield pa.RecordBatch.from_arrays(

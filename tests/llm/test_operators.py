@@ -519,6 +519,22 @@ def test_similarity_is_that_of_the_sets(spark):
     assert similarity_classes(df) == jaccard_classes(rows, 5, 0.8)
 
 
+def test_repeats_inside_a_text_count_once(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    lines = [" ".join(word() for _ in range(24)) for _ in range(8)]
+    menu = " ".join(word() for _ in range(24))
+    own = [" ".join(word() for _ in range(204)) for _ in range(2)]
+    rows = [(i, " ".join([menu] * 40 + [text])) for i, text in enumerate(own)]
+    # Line i of a pair is repeated in one text and line i + 1 in the other: nearly the same sets.
+    for i in range(0, 8, 2):
+        rows += [(10 + i, " ".join([lines[i]] * 60 + [lines[i + 1]] * 2)), (11 + i, " ".join([lines[i]] * 2 + [lines[i + 1]] * 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert similarity_classes(df) == jaccard_classes(rows, 5, 0.8) == [[0], [1], [10, 11], [12, 13], [14, 15], [16, 17]]
+    a, b = (simhash.shingle_set(text, 5) for _, text in rows[2:4])
+    assert list(a) == list(b) and simhash.fingerprint(rows[2][1], 5, 8) != simhash.fingerprint(rows[3][1], 5, 8)
+
+
 @pytest.mark.parametrize("paired", [20_000, 40])
 def test_large_groups_around_the_similarity(spark, paired):
     """More rows than are compared all at once, of which some pairs are similar enough and most are not."""
