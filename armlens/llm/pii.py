@@ -4,8 +4,8 @@ E-mail addresses, IP addresses, card and phone numbers are protected entities.
 A term near an entity discloses it if seeing the term tells most of what there is
 to know about which entity it is: with counts of documents over the whole corpus,
 the pointwise mutual information of term and entity reaches a share of the
-entity's information content. Such terms are generalised in documents that hold
-the entity, or removed if they tell all of it.
+entity's information content. Such terms are generalised wherever they stand, in all
+documents, or removed if they tell all of it.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ TERM = "term"
 DISCLOSURE = 0.9
 FULL_DISCLOSURE = 0.999
 # Documents in which a term has to be seen with an entity before it counts as evidence.
-SUPPORT = 2
+SUPPORT = 1
+# Documents of background that evidence from a single document is weighed against.
+BACKGROUND = 0.5
 # Words on either side of an entity that are looked at, and letters a term has at least.
 WINDOW = 6
 TERM_LETTERS = 4
@@ -177,6 +179,9 @@ def disclosing_terms(scanned: DataFrame, total: int, disclosure: float = DISCLOS
     With N documents, n(e), n(t) and n(t, e) of them holding the entity, the term
     and both near each other, the share is log(N n(t, e) / (n(t) n(e))) over
     log(N / n(e)). An entity that is in every document has nothing to disclose.
+    If they are near each other in a single document only, the share of the term's
+    documents that hold the entity is not n(t, e) / n(t) but shrunk towards the
+    entity's share of all documents, by ``BACKGROUND`` documents.
     """
     rows = scanned.where(F.col("row_id").isNotNull())
     near = rows.where(F.size("near") > 0).select("row_id", F.explode("near").alias("n")).select("row_id", "n.*")
@@ -185,7 +190,10 @@ def disclosing_terms(scanned: DataFrame, total: int, disclosure: float = DISCLOS
     entities = near.select("row_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
     terms = (scanned.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("holding").alias("with_term")))
     information = F.log(F.lit(float(max(total, 1))) / F.col("with_entity"))
-    told = F.log(F.lit(float(max(total, 1))) * F.col("both") / (F.col("with_term") * F.col("with_entity")))
+    every = F.lit(float(max(total, 1)))
+    shrunk = (1 + BACKGROUND * F.col("with_entity") / every) / (F.col("with_term") + BACKGROUND)
+    known = F.when(F.col("both") > 1, F.col("both") / F.col("with_term")).otherwise(shrunk)
+    told = F.log(known * every / F.col("with_entity"))
     return (pairs.join(entities, "entity").join(terms, "term")
             .withColumn("share", F.when(information > 0, told / information))
             .where(F.col("share") >= disclosure).select("entity", "term", "share"))

@@ -264,6 +264,19 @@ def test_disclosing_terms_are_generalised(spark):
     assert out[12].text == rows[5][1] and len(out) == len(rows)
 
 
+def test_evidence_from_one_document(spark):
+    rows = [(0, "the writer Quillfeather lives here q@x.example.com and other words follow number")]
+    rows += [(1 + i, f"the writer lives here and other words follow number {i} x{i}@y.example.com") for i in range(99)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shares = {(r.entity, r.term): r.share for r in pii.disclosing_terms(pii.scan(df, "text", ["doc_id"], False), 100).collect()}
+    # Two thirds of a document, with the background.
+    assert list(shares) == [("email:q@x.example.com", "quillfeather")]
+    assert abs(shares["email:q@x.example.com", "quillfeather"] - np.log(1.005 / 1.5 * 100) / np.log(100)) < 1e-9
+    out = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert out[0] == "the writer [TERM] lives here [EMAIL] and other words follow number"
+    assert out[5] == "the writer lives here and other words follow number 4 [EMAIL]"
+
+
 def test_sanitised_keeps_rows_and_columns(odd, empty):
     out = pii.sanitised(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
