@@ -14,7 +14,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +32,13 @@ FULL_DISCLOSURE = 0.999
 SUPPORT = 1
 # Documents of background that evidence from a single document is weighed against.
 BACKGROUND = 0.5
-# Words on either side of an entity that are looked at, and letters a term has at least.
+# Words on either side of an entity that are taken as evidence, and letters a term has at least.
 WINDOW = 6
 TERM_LETTERS = 4
 # Distinct terms a task counts before it passes the counts on.
 HELD_TERMS = 200_000
+# Bits of the filter that tells which words of a text may be disclosing terms; the join decides.
+FILTER_BITS = 1 << 23
 
 # The patterns of the kinds.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -126,7 +130,8 @@ def scan(docs: DataFrame, text_column: str, carried: list[str], only_found: bool
     ``only_found`` they are left out if they have no span. The others have
     ``term`` and ``holding``, a number of documents that hold it, added up over one task.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("doc"), whole_text(text_column).alias("t"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.lit(None).cast("boolean")
+    rows = docs.select(whole.alias("doc"), whole_text(text_column).alias("t"))
     types = (f"row_id long, doc {rows.schema['doc'].dataType.simpleString()}, base {SPANS}, near {NEAR}, "
              "term string, holding long")
     base_type = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
@@ -199,16 +204,100 @@ def disclosing_terms(scanned: DataFrame, total: int, disclosure: float = DISCLOS
             .where(F.col("share") >= disclosure).select("entity", "term", "share"))
 
 
-def _found(scanned: DataFrame, total: int, disclosure: float, support: int) -> DataFrame:
-    """Rows with spans: ``row_id, doc, base`` and ``terms``, the disclosing terms' places and shares."""
-    disclosing = stored(disclosing_terms(scanned, total, disclosure, support))
-    rows = scanned.where(F.col("row_id").isNotNull()).select("row_id", "doc", "base", "near")
-    near = rows.where(F.size("near") > 0).select("row_id", F.explode("near").alias("n")).select("row_id", "n.*")
-    # A place near two entities is one span, with the larger share.
-    places = (near.join(disclosing, ["entity", "term"]).groupBy("row_id", "start", "end")
-              .agg(F.max("share").alias("share"))
-              .groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("terms")))
-    return rows.drop("near").join(places, "row_id", "left")
+def _slot(term: str) -> int:
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) % FILTER_BITS
+
+
+def term_filter(terms: DataFrame) -> bytes:
+    """A bit for the slot of every ``term``. At most ``FILTER_BITS`` slots reach the driver, whatever the number of terms."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_slot(t.as_py()) for t in batch.column(0)], pa.int32())], names=["slot"])
+
+    found = terms.select("term").mapInArrow(slots, "slot int").distinct().toArrow()["slot"].to_numpy()
+    bits = np.zeros(FILTER_BITS, dtype=bool)
+    bits[found] = True
+    return np.packbits(bits).tobytes()
+
+
+class _Places:
+    """Places in a text of words that pass a filter, outside of the fixed kinds' spans."""
+
+    def __init__(self, bits: bytes):
+        self.bits, self.known, self.any = bits, {}, any(bits)
+
+    def passes(self, word: str) -> bool:
+        known = self.known.get(word)
+        if known is None:
+            term = word.lower()
+            slot = _slot(term)
+            known = bool(self.bits[slot >> 3] >> (7 - (slot & 7)) & 1)
+            if len(self.known) >= HELD_TERMS:
+                self.known.clear()
+            self.known[word] = known
+        return known
+
+    def of(self, text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
+        """``term`` and ``places`` for each such word, with all its places."""
+        if not self.any:
+            return []
+        wanted = {w for w in set(WORD.findall(text)) if len(w) >= TERM_LETTERS and self.passes(w)}
+        if not wanted:
+            return []
+        places: dict[str, list[dict]] = {}
+        at = 0
+        covered = sorted((a, b) for a, _, b in spans)
+        reach = 0
+        for m in WORD.finditer(text):
+            # The furthest end of the spans that begin before the end of the word.
+            while at < len(covered) and covered[at][0] < m.end():
+                reach = max(reach, covered[at][1])
+                at += 1
+            if m[0] in wanted and reach <= m.start():
+                places.setdefault(m[0].lower(), []).append({"start": m.start(), "end": m.end()})
+        return [{"term": t, "places": p} for t, p in places.items()]
+
+
+HITS = "array<struct<term: string, places: array<struct<start: long, `end`: long>>>>"
+
+
+def _found(docs: DataFrame, text_column: str, carried: list[str], bits: bytes, disclosing: DataFrame, only_found: bool) -> DataFrame:
+    """Rows with ``row_id, doc, base`` and ``terms``: every place in the text of a term of ``disclosing``, and its share.
+
+    With ``only_found`` rows without a span or a word that passes the filter are left out.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("doc"), whole_text(text_column).alias("t"))
+    base_type = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+    hits_type = pa.list_(pa.struct([("term", pa.string()), ("places", pa.list_(pa.struct(
+        [("start", pa.int64()), ("end", pa.int64())])))]))
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, number = _Places(bits), 0
+        for batch in batches:
+            bases, hits, kept = [], [], []
+            for place, value in enumerate(batch.column(1)):
+                text = value.as_py()
+                spans = base_spans(text)
+                found = finder.of(text, spans)
+                if only_found and not spans and not found:
+                    continue
+                kept.append(place)
+                bases.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
+                hits.append(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row_ids(number, len(kept))), batch.column(0).take(pa.array(kept, pa.int64())),
+                 pa.array(bases, base_type), pa.array(hits, hits_type)], names=["row_id", "doc", "base", "hits"])
+            number += len(kept)
+
+    found = stored(rows.mapInArrow(
+        of_batches, f"row_id long, doc {rows.schema['doc'].dataType.simpleString()}, base {SPANS}, hits {HITS}"))
+    # A term that discloses several entities has the larger share.
+    shares = disclosing.groupBy("term").agg(F.max("share").alias("share"))
+    hits = found.where(F.size("hits") > 0).select("row_id", F.explode("hits").alias("h")).select("row_id", "h.*")
+    places = (hits.join(shares, "term").select("row_id", F.explode("places").alias("p"), "share")
+              .groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("p.start", "p.end", "share"))).alias("terms")))
+    return found.drop("hits").join(places, "row_id", "left")
 
 
 def _text_of(spans: Column, kinds: Column) -> Column:
@@ -230,7 +319,8 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     gives no rows.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    found = _found(scan(rows, "text", ["id"], False), docs.count(), disclosure, support)
+    disclosing = stored(disclosing_terms(scan(rows, "text", [], True), docs.count(), disclosure, support))
+    found = _found(rows, "text", ["id"], term_filter(disclosing), disclosing, False)
     kinds = F.array(*[F.lit(k) for k in (*KINDS, TERM)])
     base = _text_of(F.col("base"), kinds)
     terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:long,end:long,share:double>>")),
@@ -264,17 +354,20 @@ def sanitised(docs: DataFrame, text_column: str = "text", disclosure: float = DI
               length_column: str | None = "n_chars") -> DataFrame:
     """``docs`` with personal data replaced in the text; rows without any are returned as they came.
 
-    Terms are looked for only around protected entities, so such rows have none either.
-
     A column of text lengths, if there is one, is set anew for changed texts.
     """
-    changed = _found(scan(docs, text_column, docs.columns, True), docs.count(), disclosure, support)
+    disclosing = stored(disclosing_terms(scan(docs, text_column, [], True), docs.count(), disclosure, support))
+    bits = term_filter(disclosing)
+    changed = _found(docs, text_column, docs.columns, bits, disclosing, True)
 
     def without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _Places(bits)
         for batch in batches:
-            yield batch.filter(pa.array([not base_spans(t.as_py()) for t in batch.column("t")], pa.bool_())).select(["doc"])
+            texts = [t.as_py() for t in batch.column("t")]
+            same = [not (base_spans(t) or finder.of(t, [])) for t in texts]
+            yield batch.filter(pa.array(same, pa.bool_())).select(["doc"])
 
-    # Only rows with spans are stored and joined; the others pass straight through.
+    # Only rows with spans or words that pass are stored and joined; the others pass straight through.
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), whole_text(text_column).alias("t"))
     same = whole.mapInArrow(without_spans, f"doc {whole.schema['doc'].dataType.simpleString()}").select("doc.*")
 

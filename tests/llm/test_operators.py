@@ -264,6 +264,20 @@ def test_disclosing_terms_are_generalised(spark):
     assert out[12].text == rows[5][1] and len(out) == len(rows)
 
 
+def test_disclosing_terms_are_marked_everywhere(spark):
+    far = "one two three four five six seven eight nine ten eleven"
+    rows = [(i, f"Quillfeather q@x.example.com {far} {i} and quillfeather said") for i in range(30)]
+    rows += [(50, f"{far} QUILLFEATHER said")] + [(100 + i, f"{far} and said") for i in range(970)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.personal_data(df).collect()}
+    out = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert len(out) == len(rows)
+    for i, text in rows:
+        at = [m.start() for m in re.finditer("quillfeather", text, re.I)]
+        assert found[i].n_terms == len(at) and all(f"term:{a}:{a + 12}" in found[i].spans for a in at)
+        assert "quillfeather" not in out[i].lower() and (at or out[i] == text)
+
+
 def test_evidence_from_one_document(spark):
     rows = [(0, "the writer Quillfeather lives here q@x.example.com and other words follow number")]
     rows += [(1 + i, f"the writer lives here and other words follow number {i} x{i}@y.example.com") for i in range(99)]
