@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import exact_dedup, html_text, langid, packing, pii, sentencepiece_fst, simhash, topk, toxicity, warc
+from . import (
+    byte_bpe, exact_dedup, html_text, langid, packing, pii, sentencepiece_fst, simhash, topk, toxicity, warc)
 from .common import table, tuned
 
 
@@ -55,9 +56,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(
+        table(tuned(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN)
+
+
 QUERIES = (
     op1_best_fit_packing, op2_html_extraction, op3_exact_top_k, op4_personal_data, op5_toxicity, op6_exact_dedup,
-    op7_sentencepiece, op8_language_id, op9_simhash, op10_warc)
+    op7_sentencepiece, op8_language_id, op9_simhash, op10_warc, op11_byte_bpe)
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
