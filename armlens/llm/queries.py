@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import (
-    byte_bpe, exact_dedup, html_text, langid, packing, pii, sentencepiece_fst, simhash, topk, toxicity, warc)
+    byte_bpe, exact_dedup, html_text, langid, packing, periodic_runs, pii, sentencepiece_fst, simhash, topk, toxicity, warc)
 from .common import table, tuned
 
 
@@ -62,9 +62,14 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.PATTERN)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.planted_repeats(table(tuned(spark), sf_dir, "documents")))
+
+
 QUERIES = (
     op1_best_fit_packing, op2_html_extraction, op3_exact_top_k, op4_personal_data, op5_toxicity, op6_exact_dedup,
-    op7_sentencepiece, op8_language_id, op9_simhash, op10_warc, op11_byte_bpe)
+    op7_sentencepiece, op8_language_id, op9_simhash, op10_warc, op11_byte_bpe,
+    op12_periodic_runs)
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
