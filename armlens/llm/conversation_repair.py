@@ -295,42 +295,56 @@ def _spans(ordered: DataFrame) -> DataFrame:
         "cells array<struct<p: int, q: int, cost: bigint, audit: string, path: string>>")
 
 
+def _decide(conversation: object, rows: list[dict]) -> dict:
+    """Counts, the least repair and the states between the spans, from the parts of one conversation in their order."""
+    total, cells = Part(), []
+    for row in rows:
+        total.add(Part(**{name: row[name] for name in TOTALS}))
+        cell: Cell = [[None] * 4 for _ in STATES]
+        for c in row["cells"]:
+            cell[c["p"]][c["q"]] = (c["cost"], c["audit"], c["path"])
+        cells.append(cell)
+    whole = parsed(cells, True)
+    cost, audit, path, ending = min(
+        (whole[0][q][0] + INSERT * len(TAILS[q]), whole[0][q][1] + "I" * len(TAILS[q]), whole[0][q][2], q)
+        for q in STATES if whole[0][q] is not None)
+    states, at, paths = f"0{path}{ending}", 0, []
+    for place, row in enumerate(rows):
+        spans = len(row["cells"][0]["path"]) + 1
+        paths.append({"part": row["part"], "place": place, "states": states[at:at + spans + 1]})
+        at += spans
+    gaps = 0 if total.least is None else total.most - total.least + 1 - total.turns
+    return {"conversation": conversation, "gaps": gaps, "blank": total.blank, "duplicate": total.duplicate,
+            "truncated": total.truncated, "illegal": total.illegal, "cost": cost, "audit": audit, "ending": ending, "paths": paths}
+
+
 def _decided(parts: DataFrame) -> DataFrame:
     """One row per conversation: counts, ``cost``, ``audit``, the state ``ending`` after its last row, and
     ``paths``, the states before and after the spans of each part."""
     kind = parts.schema[0].dataType.simpleString()
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    paths = pa.list_(pa.struct([("part", pa.int64()), ("place", pa.int64()), ("states", pa.string())]))
 
-    def of_conversation(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        rows.sort(key=lambda row: (row["turn"] is not None, row["turn"] or 0, row["digest"]))
-        total, cells, paths = Part(), [], []
-        for row in rows:
-            total.add(Part(**{name: row[name] for name in TOTALS}))
-            cell: Cell = [[None] * 4 for _ in STATES]
-            for c in row["cells"]:
-                cell[c["p"]][c["q"]] = (c["cost"], c["audit"], c["path"])
-            cells.append(cell)
-        whole = parsed(cells, True)
-        cost, audit, path, ending = min(
-            (whole[0][q][0] + INSERT * len(TAILS[q]), whole[0][q][1] + "I" * len(TAILS[q]), whole[0][q][2], q)
-            for q in STATES if whole[0][q] is not None)
-        states = f"0{path}{ending}"
-        at = 0
-        for n, row in enumerate(rows):
-            spans = len(row["cells"][0]["path"]) + 1
-            paths.append({"part": row["part"], "place": n, "states": states[at:at + spans + 1]})
-            at += spans
-        gaps = 0 if total.least is None else total.most - total.least + 1 - total.turns
-        return pa.table({
-            "conversation": table["conversation"].slice(0, 1), "gaps": [gaps], "blank": [total.blank],
-            "duplicate": [total.duplicate], "truncated": [total.truncated], "illegal": [total.illegal],
-            "cost": [cost], "audit": [audit], "ending": pa.array([ending], pa.int32()),
-            "paths": pa.array([paths], pa.list_(pa.struct(
-                [("part", pa.int64()), ("place", pa.int64()), ("states", pa.string())])))})
-
-    return parts.groupBy("conversation").applyInArrow(
-        of_conversation, f"conversation {kind}, gaps long, blank long, duplicate long, truncated long, illegal long, "
-        "cost long, audit string, ending int, paths array<struct<part: bigint, place: bigint, states: string>>")
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        schema = None
+        for batch in batches:
+            done = []
+            schema = pa.schema([("conversation", batch.schema[0].type), *[(name, pa.int64()) for name in counts],
+                                ("audit", pa.string()), ("ending", pa.int32()), ("paths", paths)])
+            for row in batch.to_pylist():
+                if held and held[0]["conversation"] != row["conversation"]:
+                    done.append(_decide(held[0]["conversation"], held))
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_pylist(done, schema=schema)
+        if held:
+            yield pa.RecordBatch.from_pylist([_decide(held[0]["conversation"], held)], schema=schema)
+
+    ordered = parts.repartition("conversation").sortWithinPartitions("conversation", "turn", "digest")
+    return ordered.mapInArrow(
+        decide, f"conversation {kind}, {', '.join(f'{name} long' for name in counts)}, audit string, ending int, "
+        "paths array<struct<part: bigint, place: bigint, states: string>>")
 
 
 def _pieces(spans: DataFrame, decided: DataFrame) -> DataFrame:
