@@ -1,11 +1,10 @@
 """Row position without a global sort on one task.
 
-Parquet files know the row index of each row, so the stored order is (path, row)
-and blocks begin at constants found from the row counts of the files. Elsewhere
-``monotonically_increasing_id`` numbers rows partition by partition (partition
-number in the high bits, row in the low 33). Once the rows per partition are
-counted, the row at any global position has a known id, so equal-size blocks
-are a comparison of each row's id with ``n_blocks - 1`` constants: no window
+A file source tells for every row its file and where the split it was read from begins, and
+``monotonically_increasing_id`` rises within a split, so the stored order is (path, split, id), whatever order
+Spark reads the splits in and whether or not the format numbers its rows. Once the rows per split
+are counted, the row at any global position has a known split and id, so equal-size blocks
+are a comparison of each row's place with ``n_blocks - 1`` constants: no window
 over the log and no join.
 """
 
@@ -60,30 +59,75 @@ def _starts_within(placed: DataFrame, n_blocks: int) -> DataFrame:
     return placed.withColumn("_s", F.explode(starts)).select("*", "_s.*").drop("_s")
 
 
-def _stored_starts(placed: DataFrame, n_blocks: int) -> list[tuple[str, int]]:
-    """File and row at which blocks 1 .. n_blocks-1 begin, for rows with ``_place``: files by path, rows as stored.
+def _place_starts(placed: DataFrame, n_blocks: int) -> list[tuple[str, int, int]]:
+    """File, split and id at which blocks 1 .. n_blocks-1 begin, for rows with ``_place``.
 
-    The window runs over one row per file.
+    The window runs over one row per split.
     """
-    sizes = placed.groupBy(F.col("_place.file").alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = sizes.withColumns(
+    part = F.when(F.col("_place.file") == "", F.shiftright("_place.id", _ROW_BITS)).alias("_part")
+    sizes = placed.groupBy(F.col("_place.file").alias("_file"), F.col("_place.split").alias("_split"), part).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_place.id").alias("_first")
+    )
+    before = Window.orderBy("_file", "_split", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    splits = sizes.withColumns(
         {
             "_from": F.coalesce(F.sum("_n").over(before), F.lit(0)),
             "_all": F.sum("_n").over(Window.partitionBy(F.lit(0))),
         }
     )
-    found = _starts_within(files, n_blocks).select("_b", "_file", (F.col("_start") - F.col("_from")).alias("_row"))
-    return [(r["_file"], r["_row"]) for r in found.orderBy("_b").collect()]
+    found = _starts_within(splits, n_blocks).select(
+        "_b", "_file", "_split", (F.col("_first") + F.col("_start") - F.col("_from")).alias("_id")
+    )
+    return [(r["_file"], r["_split"], r["_id"]) for r in found.orderBy("_b").collect()]
 
 
-def _with_place(df: DataFrame) -> DataFrame | None:
-    """``df`` with the file and the row in it that a row is stored at, if its source tells."""
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+def _shuffled_since_read(df: DataFrame) -> bool:
+    """Whether rows leave the task that reads them, other than to be broadcast."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Exchange" in plan.replace("BroadcastExchange", "")
+
+
+# What Spark says of a column that no source, several sources or another kind of source has.
+_NO_SUCH_PLACE = (
+    "UNRESOLVED_COLUMN.WITH_SUGGESTION", "UNRESOLVED_COLUMN.WITHOUT_SUGGESTION", "FIELD_NOT_FOUND", "AMBIGUOUS_REFERENCE",
+    "METADATA_COLUMN_NOT_FOUND",
+)
+
+
+def _read_from(df: DataFrame, *fields: str) -> bool:
+    """Whether the rows come from one file source that tells these of them."""
     try:
-        return df.withColumn("_place", place)
-    except AnalysisException:
+        df.select(*[f"_metadata.{f}" for f in fields])
+    except AnalysisException as error:
+        if error.getCondition() not in _NO_SUCH_PLACE:
+            raise
+        return False
+    return True
+
+
+def _with_place(df: DataFrame) -> DataFrame | None:
+    """``df`` with ``_place`` (file, split, id), which orders the rows as they are stored; null if nothing tells.
+
+    Rows of a file source that have been shuffled still have their place if the format numbers its rows (Parquet).
+    Rows that come from no file stand in the order in which they are read.
+    """
+    file, split = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    number = F.monotonically_increasing_id()
+    moved = _shuffled_since_read(df)
+    if not moved and _read_from(df, "file_path", "file_block_start"):
+        place = (file, split, number)
+    elif _read_from(df, "file_path", "row_index"):
+        place = (file, F.lit(0).cast("long"), F.col("_metadata.row_index"))
+    elif not moved and not df.inputFiles():
+        place = (F.lit(""), F.lit(0).cast("long"), number)
+    else:
         return None
+    return df.withColumn("_place", F.struct(*[c.alias(n) for c, n in zip(place, ("file", "split", "id"))]))
+
+
+def has_stored_order(df: DataFrame) -> bool:
+    """Whether the position of a row in the stored log can be told."""
+    return _with_place(df) is not None
 
 
 def _count_at_or_before(starts: Sequence[Column], value: Column) -> Column:
@@ -119,20 +163,21 @@ def with_block(
     """Adds the number of the equal-size block each row falls in.
 
     Without ``order_by`` the position is the one in the stored log: files by path
-    and rows as they stand in them, which Parquet sources tell whatever order
-    Spark reads the files in. Other sources are numbered as they are read, so
-    ``df`` should then be a scan of one file with nothing shuffled before it.
+    and rows as they stand in them, for text as for Parquet, plain or compressed, and after a filter
+    the rows that are left. Rows of several sources, or of a text source that were
+    shuffled, have lost it, which is an error.
     With ``order_by``, rows are placed by their order key, which should be
     unique; only the keys are sorted, the rows stay where they are.
     """
-    stored = _with_place(df) if order_by is None else None
-    if stored is not None:
-        starts = [F.struct(F.lit(f).alias("file"), F.lit(r).cast("long").alias("row")) for f, r in _stored_starts(stored, n_blocks)]
-        return stored.withColumn(name, _count_at_or_before(starts, F.col("_place"))).drop("_place")
     if order_by is None:
-        starts = [F.lit(i) for i in _block_starts(df, n_blocks)]
-        numbered = df.withColumn(_ID, F.monotonically_increasing_id())
-        return numbered.withColumn(name, _count_at_or_before(starts, F.col(_ID))).drop(_ID)
+        placed = _with_place(df)
+        if placed is None:
+            raise ValueError("the stored order of these rows is lost; give order_by, or the log as it is read")
+        starts = [
+            F.struct(F.lit(f).alias("file"), F.lit(s).cast("long").alias("split"), F.lit(i).cast("long").alias("id"))
+            for f, s, i in _place_starts(placed, n_blocks)
+        ]
+        return placed.withColumn(name, _count_at_or_before(starts, F.col("_place"))).drop("_place")
     cuts = order_cuts(df, order_by, n_blocks)
     types = {f.name: f.dataType for f in df.schema.fields}
     starts = [

@@ -53,9 +53,13 @@ class ExperimentReport:
         self.raw = log
         self.log = log.select(*suffstats.analysis_columns(spec))
 
+    @cached_property
+    def _ordered(self) -> bool:
+        return position.has_stored_order(self.raw)
+
     @property
     def tables(self) -> tuple[str, ...]:
-        """Names of the tables that this spec has the columns for."""
+        """Names of the tables that this spec has the columns for; ``position`` only for a log whose stored order is known."""
         absent = set()
         if not self.choices:
             absent |= {"spec_curve", "spec_curve_summary", "duplicates", "duplicate_profile"}
@@ -63,6 +67,8 @@ class ExperimentReport:
             absent |= {"cuped_post", "cuped_post_diagnostics"}
         if not self.spec.exposure:
             absent.add("complier")
+        if not self._ordered:
+            absent.add("position")
         return tuple(t for t in self.TABLES if t not in absent)
 
     def __getitem__(self, name: str) -> DataFrame:

@@ -37,7 +37,7 @@ def read_csv_log(
     ``paths`` is one path or a list in order of preference: the first that exists
     is read (plain before compressed). A gzip file is one task to read; with
     ``gzip_partitions`` its rows are spread right after the scan, which gives
-    up their stored order.
+    up their stored order: the position check then asks for an order key.
     """
     candidates = [paths] if isinstance(paths, str) else list(paths)
     reader = spark.read.option("header", True).option("mode", "FAILFAST").schema(schema or log_schema())
