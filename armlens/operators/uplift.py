@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +10,7 @@ from ..functions.distributions import chi2_sf
 from ..sources.session import durable, stored
 from ..spec import ExperimentSpec
 from .models import fold_cells, pin_models, score_rows, uplift_models
-from .position import rank_cuts
+from .selection import values_at_ranks
 from .suffstats import complete_cases
 
 SCORE = "uplift_score"
@@ -45,10 +44,10 @@ def score_edges(
     return edges.withColumn("edges", F.array_distinct("_edges")).drop("_edges")
 
 
-def exact_edges(scored: DataFrame, n_bins: int = N_BINS) -> DataFrame:
-    """Exact cut points over all rows, by a distributed sort of the score alone."""
-    cuts = sorted(set(rank_cuts(scored, SCORE, n_bins)))
-    return scored.sparkSession.createDataFrame([(cuts,)], "edges array<double>")
+def exact_edges(scored: DataFrame, spec: ExperimentSpec, n_bins: int = N_BINS) -> DataFrame:
+    """Exact cut points of the score per key, without a sort: ``scored`` is read once more for each round of the selection."""
+    cuts = values_at_ranks(scored, SCORE, [(i, n_bins) for i in range(1, n_bins)], spec.keys)
+    return cuts.groupBy(*spec.keys).agg(F.sort_array(F.collect_set("value")).alias("edges"))
 
 
 def assign_bins(
@@ -94,27 +93,19 @@ def uplift_bins(
 ) -> DataFrame:
     """Fit (unless ``fitted`` models are given), score, cut and count per (bin, arm).
 
-    Cut points and counts both read the scores, so arm, outcome and score are
-    held (in memory or on disk) until the counts are stored.
+    Cut points and counts all read the scores, so arm, outcome and score are
+    written to the shared folder once.
     """
     scored = uplift_scores(df, spec, fitted).select(*spec.keys, spec.arm, spec.metric, SCORE)
-    held = scored.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return durable(binned_counts(held, spec, n_bins, exact))
-    finally:
-        held.unpersist()
+    return durable(binned_counts(stored(scored), spec, n_bins, exact))
 
 
 def binned_counts(
     scored: DataFrame, spec: ExperimentSpec, n_bins: int = N_BINS, exact: bool = False
 ) -> DataFrame:
-    """Cut already scored rows into bins and count them. Reads ``scored`` twice."""
-    if exact and spec.keys:
-        raise ValueError("exact cut points are for the whole log; use the sketch per key")
-    edges = exact_edges(scored, n_bins) if exact else score_edges(scored, spec, n_bins)
-    if spec.keys:
-        edges = stored(edges)
-    return bin_stats(assign_bins(scored, edges, spec, n_bins), spec)
+    """Cut already scored rows into bins and count them. Reads ``scored`` twice, or a few times for exact cut points."""
+    edges = exact_edges(scored, spec, n_bins) if exact else score_edges(scored, spec, n_bins)
+    return bin_stats(assign_bins(scored, stored(edges), spec, n_bins), spec)
 
 
 def uplift_table(bins: DataFrame, spec: ExperimentSpec, order: str = "pooled") -> DataFrame:
