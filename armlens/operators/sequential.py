@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,31 +149,34 @@ def aa_replicates(
 ) -> DataFrame:
     """z at every look for ``replicates`` re-randomisations of real units.
 
-    ``units`` has one row per (unit, look) with ``n`` and ``sum_y``. Every
-    replicate is a pair of conditional sums in one aggregate, so no unit is
-    multiplied and a task sends a row per (key, look). Units are assigned with
-    the design share; ``assign(unit, replicate)`` gives another 0/1 rule.
+    ``units`` has one row per (unit, look) with ``n`` and ``sum_y``. The arms of
+    eight replicates are the bits of a byte. A unit is counted once for each byte,
+    by the byte's value, so a task sends at most 256 rows per (key, look, byte), and the counts of a
+    replicate are those of the values that have its bit. Units are assigned with
+    the design share; ``assign(unit, replicate)`` gives another 0/1 rule, of which anything but 1 counts as control.
     """
     if assign is None:
         assign = lambda u, r: unit_hash(u, r, spec.share_column())
-    numbers = range(replicates)
-    drawn = F.transform(
-        F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: assign(F.col(unit), r).cast("int")
+    placed = units.select(
+        *spec.keys, LOOK, F.col(unit).alias("_unit"), F.col("n").alias("_n"), F.col("sum_y").cast("double").alias("_y"),
+        F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 8))).alias("_place"),
     )
-    held = units.select(
-        *spec.keys, LOOK, F.col("n").alias("_n"), F.col("sum_y").cast("double").alias("_y"), drawn.alias("_drawn")
+    bits = [F.coalesce(assign(F.col("_unit"), F.col("_place") * 8 + b).cast("int"), F.lit(0)) * (1 << b) for b in range(8)]
+    held = placed.withColumn("_byte", reduce(Column.__add__, bits))
+    counted = held.groupBy(*spec.keys, LOOK, "_place", "_byte").agg(F.sum("_n").alias("_n"), F.sum("_y").alias("_y"))
+    # From here on there are at most 256 rows per byte of a look of a key.
+    bits = counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_bit"))
+    is_treated = F.expr("(shiftright(_byte, _bit) & 1) = 1")
+    sums = (
+        bits.withColumn("replicate", F.col("_place") * 8 + F.col("_bit")).filter(F.col("replicate") < replicates)
+        .groupBy(*spec.keys, LOOK, "replicate").agg(
+            *[F.coalesce(F.sum(F.when(is_treated, F.col(c))), F.lit(0)).alias(f"{c}_t") for c in ("_n", "_y")],
+            F.sum("_n").alias("_n"), F.sum("_y").alias("_y"),
+        )
     )
-    # SQL text, because hundreds of columns are slow to build one call at a time.
-    wide = held.groupBy(*spec.keys, LOOK).agg(
-        F.sum("_n").alias("_n"), F.sum("_y").alias("_y"),
-        *[F.expr(f"sum(_n * _drawn[{r}]) AS _n{r}") for r in numbers],
-        *[F.expr(f"sum(_y * _drawn[{r}]) AS _y{r}") for r in numbers],
-    )
-    # From here on there is a row per look of a key.
-    rows = ", ".join(f"struct({r} AS replicate, _n{r} AS n_t, _y{r} AS y_t)" for r in numbers)
-    stats = wide.select(*spec.keys, LOOK, "_n", "_y", F.expr(f"explode(array({rows})) AS _r")).select(
-        *spec.keys, LOOK, "_r.replicate", "_r.n_t", (F.col("_n") - F.col("_r.n_t")).alias("n_c"),
-        "_r.y_t", (F.col("_y") - F.col("_r.y_t")).alias("y_c"),
+    stats = sums.select(
+        *spec.keys, LOOK, "replicate", F.col("_n_t").alias("n_t"), (F.col("_n") - F.col("_n_t")).alias("n_c"),
+        F.col("_y_t").alias("y_t"), (F.col("_y") - F.col("_y_t")).alias("y_c"),
     )
     return cumulative_looks(stats, spec, ("replicate",))
 

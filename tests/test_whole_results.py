@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from armlens import ExperimentReport, ExperimentSpec
-from armlens.operators import guardrails, models, position, sequential, suffstats, uplift
+from armlens.operators import guardrails, models, position, selection, sequential, suffstats, uplift
 from armlens.operators.quality import FlagDomainError
 
 from .conftest import by
@@ -87,6 +87,58 @@ def test_stored_order_over_files_of_unequal_size(spark, tmp_path):
     assert got.where(F.col("block") != F.floor(F.col("id") * 9 / start)).count() == 0
 
 
+@pytest.mark.parametrize("codec", ["none", "gzip"])
+def test_stored_order_over_text_files_of_unequal_size(spark, tmp_path, codec):
+    start = 0
+    for name, n in (("a", 200), ("b", 50_000), ("c", 3_000)):
+        rows = spark.range(start, start + n, 1, 1).withColumn("treatment", F.lit(1)).coalesce(1)
+        rows.write.option("header", True).option("compression", codec).csv(str(tmp_path / name))
+        start += n
+    reader = spark.read.option("header", True).schema("id long, treatment int")
+    # Small splits, so that a plain file is read by several tasks and a task reads several files.
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        df = reader.csv([str(tmp_path / name) for name in "bca"])
+        got = position.with_block(df, 9)
+        assert got.where(F.col("block") != F.floor(F.col("id") * 9 / start)).count() == 0
+        later = position.with_block(df.where("id % 3 = 0"), 4)
+        n = -(-start // 3)
+        assert later.where(F.col("block") != F.floor(F.col("id") / 3 * 4 / n)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert not position.has_stored_order(df.repartition(3))
+    with pytest.raises(ValueError, match="stored order"):
+        position.with_block(df.repartition(3), 9)
+    log = df.withColumn("conversion", F.lit(0))
+    spec = ExperimentSpec(features=("id",))
+    assert "position" in ExperimentReport(log, spec).tables and "position" not in ExperimentReport(log.repartition(3), spec).tables
+
+
+def test_exact_cut_points_per_key(spark):
+    rng = np.random.default_rng(8)
+    groups = {
+        "normal": rng.normal(size=5_001), "ties": np.repeat([1.0, 2.0, 3.0], 40), "one": np.array([7.5]),
+        None: np.concatenate([rng.normal(size=300) * 1e-12, [1e9, -1e9, np.inf, -np.inf]]), "nan": np.array([np.nan, np.nan]),
+        "large": 1e15 + rng.integers(0, 9, 700), "halves": np.array([-0.0, 0.0, 5e-324, -5e-324]),
+    }
+    rows = pd.DataFrame([(k, v) for k, vs in groups.items() for v in vs], columns=["k", "x"])
+    df = spark.createDataFrame(rows.sample(frac=1, random_state=1), "k string, x double").unionByName(
+        spark.createDataFrame([("normal", None), ("none", None)], "k string, x double"))
+    ranks = [(i, 10) for i in range(0, 11)]
+    for parts in (4, 4096):
+        got = {(r.k, r.at): r.value for r in selection.values_at_ranks(df, "x", ranks, ["k"], parts).collect()}
+        wanted = {}
+        for k, values in groups.items():
+            values = np.sort(values[~np.isnan(values)])
+            if len(values):
+                wanted |= {(k, i): values[max(1, -(-i * len(values) // 10)) - 1] for i in range(11)}
+        assert got == wanted
+    whole = np.sort(np.concatenate([v[~np.isnan(v)] for v in groups.values()]))
+    got = {r.at: r.value for r in selection.values_at_ranks(df, "x", ranks[1:]).collect()}
+    assert got == {i - 1: whole[-(-i * len(whole) // 10) - 1] for i in range(1, 11)}
+
+
 def test_replicates_follow_the_design_share_without_multiplying_units(spark):
     units = spark.range(20_000).select("id", F.lit(1).alias("look"), F.lit(1).alias("n"), F.lit(0.0).alias("sum_y"))
     looks = sequential.aa_replicates(units, replace(SPEC, design_share=0.85), "id", 5)
