@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..sources.session import stored
 from ..spec import ExperimentSpec
 
 MULTIPLICITY = "multiplicity"
@@ -78,6 +79,37 @@ def collapse(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(MULTIPLICITY))
 
 
+# Bits of the filter of repeated row hashes: so many a row, at most so many (32 MB); and in one row of the filter.
+FILTER_BITS_PER_ROW, MOST_FILTER_BITS, ROW_BITS = 8, 1 << 28, 1 << 15
+
+
+def collapse_rare(df: DataFrame, columns: Sequence[str], n_rows: int, most_bits: int = MOST_FILTER_BITS) -> DataFrame:
+    """``collapse`` for a log of about ``n_rows`` rows of which few repeat, without shuffling those that do not.
+
+    Row hashes are counted by slot, which moves two numbers a slot; a bit says
+    whether a slot holds more than one row. Rows of other slots are alone
+    and stay where they are, the rest is collapsed as usual, so a shared slot costs a shuffle and never a wrong count.
+    The filter is broadcast and bounded: beyond ``most_bits / 8`` rows more of those
+    that are alone are shuffled too. ``df`` is read three times.
+    """
+    bits = min(most_bits, 1 << max(15, (FILTER_BITS_PER_ROW * n_rows - 1).bit_length()))
+    slot = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    slotted = df.select(*columns, slot.alias("_slot"))
+    shared = slotted.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    words = shared.groupBy(
+        F.floor(F.col("_slot") / ROW_BITS).alias("_block"), F.floor(F.col("_slot") % ROW_BITS / 64).cast("int").alias("_place")
+    ).agg(F.expr("bit_or(shiftleft(1L, CAST(_slot % 64 AS INT)))").alias("_word"))
+    # One row for each block of slots: its words side by side, 0 where no slot is shared.
+    held = F.map_from_entries(F.collect_list(F.struct("_place", "_word")))
+    whole = words.groupBy("_block").agg(held.alias("_m")).select(
+        "_block", F.expr(f"transform(sequence(0, {ROW_BITS // 64 - 1}), i -> coalesce(_m[i], 0L))").alias("_words"))
+    blocks = F.broadcast(stored(whole))
+    marked = slotted.withColumn("_block", F.floor(F.col("_slot") / ROW_BITS)).join(blocks, "_block", "left").withColumn(
+        "_shared", F.expr(f"coalesce((shiftright(get(_words, CAST(_slot % {ROW_BITS} / 64 AS INT)), CAST(_slot % 64 AS INT)) & 1L) = 1L, false)"))
+    alone = marked.filter(~F.col("_shared")).select(*columns, F.lit(1).cast("long").alias(MULTIPLICITY))
+    return alone.unionByName(collapse(marked.filter("_shared").select(*columns), columns))
+
+
 def duplicate_summary(collapsed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Rows, distinct rows and exact duplicates, optionally per key (such as the arm)."""
     m = F.col(MULTIPLICITY)

@@ -383,10 +383,17 @@ def hotelling_2cov(spark, sf_dir):
         _two_assignments(spark, sf_dir, "conversion", "f0", "f2"), spec
     )
     return rounded(
-        guardrails.hotelling(cells, spec).drop("hotelling_p"), {"hotelling_t2": 5, "hotelling_f": 5}
+        guardrails.hotelling(cells, spec), {"hotelling_t2": 5, "hotelling_f": 5}
     )
 
 
+def balance_check_2cov(spark, sf_dir):
+    """The verdict on each assignment, from two covariates."""
+    spec = replace(ASSIGNED, features=("f0", "f2"))
+    cells = durable(suffstats.sufficient_stats(_two_assignments(spark, sf_dir, "conversion", "f0", "f2"), spec))
+    return rounded(guardrails.balance_check(cells, spec).drop("hotelling_t2", "singular"), {"hotelling_f": 5})
+
+
 def gated_effects(spark, sf_dir):
     log = _two_assignments(spark, sf_dir, "conversion")
     cells = suffstats.sufficient_stats(log, ASSIGNED)
@@ -573,7 +580,7 @@ def qini_coefficient(spark, sf_dir):
     table = uplift.uplift_table(_bins(spark, sf_dir), PRICE)
     return rounded(uplift.uplift_summary(table, PRICE).select(
         "n_bins", "ate_absolute", "total_incremental", "qini_ratio", "chi2", "chi2_weighted",
-        "heterogeneity_df",
+        "heterogeneity_df", "heterogeneity_p",
     ), {"total_incremental": 5, "chi2": 6, "chi2_weighted": 6})
 
 
@@ -591,6 +598,12 @@ def uplift_table_sketch(spark, sf_dir):
     return uplift.uplift_table(uplift.uplift_bins(_log(spark, sf_dir, spec), spec), spec)
 
 
+def uplift_bins_by_segment(spark, sf_dir):
+    """Exact cut points of every segment's scores."""
+    spec = replace(PRICE, keys=("segment",))
+    return rounded(uplift.uplift_bins(_log(spark, sf_dir, spec), spec, exact=True))
+
+
 def uplift_by_segment(spark, sf_dir):
     spec = replace(FEW, keys=("segment",), fold=None)
     return uplift.uplift_summary(
@@ -718,9 +731,15 @@ def experiment_summary(spark, sf_dir):
 
 
 def experiment_summary_by_segment(spark, sf_dir):
-    """The same per market: one pass for all of them."""
+    """The same per market: one pass for all of them. Copies agree in the whole log, not just in what is analysed."""
     spec = replace(FEW, fold=None, keys=("market",), exposure="exposure", post_covariate="visit")
-    return ExperimentReport(_log(spark, sf_dir, spec), spec).summary
+    return ExperimentReport(explog(spark, sf_dir, (*LOG_COLUMNS, "market")), spec).summary
+
+
+def duplicates_rare(spark, sf_dir):
+    """Exact duplicates over all columns, by arm; only rows whose hash repeats are shuffled whole."""
+    log = explog(spark, sf_dir, LOG_COLUMNS)
+    return rounded(quality.duplicate_summary(quality.collapse_rare(log, LOG_COLUMNS, log.count()), ("treatment",)))
 
 
 def result_documents(spark, sf_dir):
@@ -799,7 +818,7 @@ QUERIES: tuple[Query, ...] = (
     arm_moments, arm_moments_direct, pooled_moments, feature_covariance, feature_moments,
     shifted_moments,
     srm_check, srm_by_segment, srm_sensitivity, srm_nearest_ratio,
-    balance_smd, balance_from_sums, balance_sql, balance_verdict, balance_check,
+    balance_smd, balance_from_sums, balance_sql, balance_verdict, balance_check, balance_check_2cov,
     hotelling_2cov, gated_effects,
     itt_unadjusted, itt_by_segment, cuped, cuped_diagnostics, cuped_post_treatment,
     cuped_post_diagnostics, lin_adjusted, cace, estimator_forest,
@@ -807,9 +826,9 @@ QUERIES: tuple[Query, ...] = (
     uplift_model_1cov, ancova_1cov, ancova_12cov, ancova_index_gain,
     spec_curve, spec_curve_summary, spec_curve_crossfit,
     uplift_bins, uplift_table, qini_curve, qini_coefficient, uplift_concentration,
-    uplift_table_sketch, uplift_by_segment,
+    uplift_table_sketch, uplift_bins_by_segment, uplift_by_segment,
     power_by_segment, power_mde_grid, smallest_detectable, power_achieved, power_designs,
     always_valid_interval, always_valid_tuned, look_replay, look_crossings,
     aa_false_positive_rate, aa_false_positive_rate_by_user, aa_false_positive_rate_hashed,
-    ship_decision, experiment_summary, experiment_summary_by_segment, result_documents,
+    ship_decision, experiment_summary, experiment_summary_by_segment, duplicates_rare, result_documents,
 )

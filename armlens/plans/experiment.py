@@ -29,7 +29,7 @@ class ExperimentReport:
     ``srm_status``, the key's sample-ratio check.
 
     ``choices=False`` leaves out the row-handling choices and with them the
-    collapse to distinct rows, the one shuffle that grows with the log.
+    collapse to distinct rows, in which row hashes and the rows that repeat are shuffled.
     """
 
     TABLES = (
@@ -100,7 +100,8 @@ class ExperimentReport:
     @cached_property
     def collapsed(self) -> DataFrame:
         """Distinct rows of the whole log with how often each occurs, whatever features are analysed."""
-        return quality.collapse(self.raw, self.identity)
+        n_rows = self.completeness.agg(F.sum("n_rows")).first()[0] or 0
+        return quality.collapse_rare(self.raw, self.identity, n_rows)
 
     @cached_property
     def duplicates(self) -> DataFrame:

@@ -71,6 +71,13 @@ def r(expression: str, alias: str, digits: int = 8) -> str:
     return f"round({expression}, {digits}) + 0.0 AS {alias}"
 
 
+def chi2_tail(x: str, df: str) -> str:
+    """Upper tail of chi-square for a whole number of degrees of freedom, as a finite sum."""
+    half = f"(CASE WHEN {df} % 2 = 1 THEN 0.5 ELSE 0 END)"
+    terms = f"[pow({x} / 2, i + {half}) * exp(-{x} / 2) / gamma(i + {half} + 1) FOR i IN range({df} // 2)]"
+    return f"CASE WHEN {df} % 2 = 1 THEN 1 - {central(f'sqrt({x})')} ELSE 0 END + coalesce(list_sum({terms}), 0)"
+
+
 def central(z: str) -> str:
     """P(|Z| <= |z|) for a standard normal, by its power series; 1 to fifteen digits from 8 on."""
     x = f"greatest(abs({z}), 1e-300)"
@@ -483,6 +490,17 @@ def _guardrails() -> dict[str, str]:
     )
     four = ("f0", "f2", "f3", "f4")
     key = ("assignment",)
+    two_means = (
+        "q AS (SELECT t.assignment, t.n AS nt, c.n AS nc, t.m0 - c.m0 AS d0, t.m2 - c.m2 AS d2, "
+        "((t.n - 1) * t.v0 + (c.n - 1) * c.v0) / (t.n + c.n - 2) AS s00, "
+        "((t.n - 1) * t.v2 + (c.n - 1) * c.v2) / (t.n + c.n - 2) AS s22, "
+        "((t.n - 1) * t.cv + (c.n - 1) * c.cv) / (t.n + c.n - 2) AS s02 "
+        "FROM a t JOIN a c ON t.assignment = c.assignment AND t.treatment = 1 AND c.treatment = 0), "
+        "z AS (SELECT *, nt * nc / (nt + nc) * (s22 * d0 * d0 - 2 * s02 * d0 * d2 + s00 * d2 * d2) "
+        "/ (s00 * s22 - s02 * s02) AS t2 FROM q) "
+    )
+    # With two covariates the tail of F has a closed form.
+    tail = "pow(1 + t2 / (nt + nc - 2), -(nt + nc - 3) / 2)"
     return {
         "srm_check": (
             f"WITH {log()}, {ASSIGNED}, {_srm_ctes('assigned', key)}, {_best_ratio(key)} "
@@ -534,17 +552,22 @@ def _guardrails() -> dict[str, str]:
         "hotelling_2cov": (
             f"WITH {log()}, {ASSIGNED}, a AS (SELECT assignment, treatment, count(*)::DOUBLE AS n, avg(f0) AS m0, "
             "avg(f2) AS m2, var_samp(f0) AS v0, var_samp(f2) AS v2, covar_samp(f0, f2) AS cv "
-            "FROM assigned GROUP BY assignment, treatment), "
-            "q AS (SELECT t.assignment, t.n AS nt, c.n AS nc, t.m0 - c.m0 AS d0, t.m2 - c.m2 AS d2, "
-            "((t.n - 1) * t.v0 + (c.n - 1) * c.v0) / (t.n + c.n - 2) AS s00, "
-            "((t.n - 1) * t.v2 + (c.n - 1) * c.v2) / (t.n + c.n - 2) AS s22, "
-            "((t.n - 1) * t.cv + (c.n - 1) * c.cv) / (t.n + c.n - 2) AS s02 "
-            "FROM a t JOIN a c ON t.assignment = c.assignment AND t.treatment = 1 AND c.treatment = 0), "
-            "z AS (SELECT *, nt * nc / (nt + nc) * (s22 * d0 * d0 - 2 * s02 * d0 * d2 + s00 * d2 * d2) "
-            "/ (s00 * s22 - s02 * s02) AS t2 FROM q) "
+            f"FROM assigned GROUP BY assignment, treatment), {two_means} "
             "SELECT assignment, (nt + nc)::BIGINT AS n_total, "
             f"{r('t2', 'hotelling_t2', 5)}, {r('t2 * (nt + nc - 3) / (2 * (nt + nc - 2))', 'hotelling_f', 5)}, "
-            "2 AS hotelling_df1, (nt + nc - 3)::BIGINT AS hotelling_df2, false AS singular FROM z"
+            f"2 AS hotelling_df1, (nt + nc - 3)::BIGINT AS hotelling_df2, {r(tail, 'hotelling_p')}, false AS singular FROM z"
+        ),
+        "balance_check_2cov": (
+            f"WITH {log()}, {ASSIGNED}, m AS ({smd_rows(('f0', 'f2'), 'assigned', key)}), {smd}, "
+            "a AS (SELECT assignment, treatment, count(*)::DOUBLE AS n, avg(f0) AS m0, avg(f2) AS m2, var_samp(f0) AS v0, "
+            "var_samp(f2) AS v2, covar_samp(f0, f2) AS cv FROM assigned GROUP BY assignment, treatment), "
+            f"{two_means}, w AS (SELECT assignment, count(*)::BIGINT AS n_features, max(abs(smd)) AS worst, "
+            "max_by(feature, abs(smd)) AS max_abs_smd_feature, count(*) FILTER (WHERE abs(smd) > 0.1)::BIGINT AS above FROM m2 "
+            "GROUP BY assignment) SELECT assignment, n_features, "
+            f"{r('worst', 'max_abs_smd')}, max_abs_smd_feature, above AS n_features_above_threshold, worst <= 0.1 AS passed, "
+            f"(nt + nc)::BIGINT AS n_total, {r('t2 * (nt + nc - 3) / (2 * (nt + nc - 2))', 'hotelling_f', 5)}, 2 AS hotelling_df1, "
+            f"(nt + nc - 3)::BIGINT AS hotelling_df2, {r(tail, 'hotelling_p')}, CASE WHEN worst > 0.1 THEN 'imbalanced' "
+            f"WHEN {tail} >= 0.001 THEN 'balanced' ELSE 'negligible' END AS verdict FROM w JOIN z USING (assignment)"
         ),
         "gated_effects": (
             f"WITH {log()}, {ASSIGNED}, {_srm_ctes('assigned', key)}, {arms('assigned', key)}, "
@@ -783,7 +806,18 @@ def _uplift() -> dict[str, str]:
             f"WITH {area} SELECT max(k)::BIGINT AS n_bins, {r('max(ate)', 'ate_absolute')}, "
             f"{r('max(tl.tot)', 'total_incremental', 5)}, {r('max((area - rnd) / abs(rnd))', 'qini_ratio')}, "
             f"{r('sum(((up - ate) / se) ** 2)', 'chi2', 6)}, {r('sum(((up - ctr) / se) ** 2)', 'chi2_weighted', 6)}, "
-            "(max(k) - 1)::INT AS heterogeneity_df FROM ar, tl"
+            f"(max(k) - 1)::INT AS heterogeneity_df, {r(chi2_tail('sum(((up - ate) / se) ** 2)', '(max(k) - 1)'), 'heterogeneity_p')} FROM ar, tl"
+        ),
+        "uplift_bins_by_segment": (
+            f"WITH {log()}, m AS (SELECT segment, 1 - fold AS fold, treatment, regr_intercept(conversion, f1) AS b0, "
+            "regr_slope(conversion, f1) AS b1 FROM log GROUP BY ALL), "
+            "k AS (SELECT t.segment, t.fold, t.b0 - c.b0 AS g0, t.b1 - c.b1 AS g1 FROM m t JOIN m c "
+            "ON t.segment = c.segment AND t.fold = c.fold AND t.treatment = 1 AND c.treatment = 0), "
+            "q AS (SELECT segment, treatment, conversion, g0 + g1 * f1 AS s FROM log JOIN k USING (segment, fold)), "
+            f"ed AS (SELECT segment, list_distinct(quantile_disc(s, [{points}])) AS edges FROM q GROUP BY segment), "
+            "bn AS (SELECT segment, treatment, conversion, s, len(list_filter(edges, lambda e: e < s)) AS bin FROM q JOIN ed USING (segment)) "
+            "SELECT segment, bin::INT AS bin, treatment, count(*)::BIGINT AS n, sum(conversion)::DOUBLE AS conversions, "
+            f"{r('avg(s)', 'mean_score')} FROM bn GROUP BY segment, bin, treatment"
         ),
         "uplift_concentration": (
             f"WITH {curve} SELECT {r('min_by(up, rk)', 'top_bin_uplift')}, {r('max_by(up, rk)', 'bottom_bin_uplift')}, "
@@ -967,6 +1001,11 @@ def _whole_keys() -> dict[str, str]:
             "max(abs(d / sd)) <= 0.1 AS passed, any_value(n_total) AS n_total FROM m JOIN n USING (segment_null) "
             "GROUP BY segment_null"
         ),
+        "duplicates_rare": (
+            f"WITH {log()}, {COLLAPSED_16} SELECT treatment, sum(multiplicity)::BIGINT AS n_rows, count(*)::BIGINT AS distinct_rows, "
+            "(sum(multiplicity) - count(*))::BIGINT AS exact_duplicate_rows, "
+            f"{r('(sum(multiplicity) - count(*))::DOUBLE / sum(multiplicity)', 'duplicate_share')} FROM collapsed GROUP BY treatment"
+        ),
         "decision_withheld": (
             f"WITH {log()}, {ASSIGNED}, {_srm_ctes('assigned', ('assignment',))}, {arms('assigned', ('assignment',))}, "
             f"{effect_rows({'unadjusted': ESTIMATORS['unadjusted']}, ('assignment',))}, "

@@ -60,6 +60,19 @@ def test_duplicate_profile_uses_the_singleton_rate(spark):
     assert row["expected_conversions"] == pytest.approx(8 * 0.25) and row["treatment_share"] == 1.0
 
 
+@pytest.mark.parametrize("most_bits", [1 << 28, 1 << 15])
+def test_collapse_of_rare_copies_equals_the_plain_one(spark, most_bits):
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=20_000).round(4)
+    df = spark.createDataFrame(pd.DataFrame({"a": values, "b": rng.integers(0, 3, 20_000)}), "a double, b long")
+    odd = spark.createDataFrame([(None, 1), (None, 1), (float("nan"), None), (float("nan"), None), (-0.0, 1), (0.0, 1), (5.5, None)], "a double, b long")
+    df = df.unionByName(odd).unionByName(df.limit(50))
+    wanted = {(str(r.a), r.b): r.multiplicity for r in quality.collapse(df, df.columns).collect()}
+    got = quality.collapse_rare(df, df.columns, 20_000, most_bits).collect()
+    assert {(str(r.a), r.b): r.multiplicity for r in got} == wanted and len(got) == len(wanted)
+    assert quality.collapse_rare(df.where("false"), df.columns, 0).collect() == []
+
+
 def test_stored_order_blocks_match_row_numbers(spark):
     n = 10_007
     df = spark.range(0, n, 1, 7).select("id", (F.col("id") < n * 0.35).cast("int").alias("treatment"))
