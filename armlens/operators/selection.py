@@ -27,12 +27,12 @@ def _part(value: Column, low: Column, high: Column, parts: int) -> Column:
 
 
 def values_at_ranks(
-    df: DataFrame, column: str, ranks: Sequence[tuple[int, int]], keys: Sequence[str] = (), parts: int = PARTS
+    df: DataFrame, column: str, ranks: Sequence[tuple[int, int] | int], keys: Sequence[str] = (), parts: int = PARTS
 ) -> DataFrame:
-    """``keys, at, value``: for each entry (a, b) of ``ranks``, its number and the ceil(a * n / b)-th least value.
+    """``keys, at, value``: for each entry of ``ranks`` its number and a value: for (a, b) the ceil(a * n / b)-th least, for k the k-th.
 
     n counts the values of a group that are neither NULL nor NaN; a group without
-    any has no rows, and a rank below 1 gives the least value. ``df`` is read once and then once a round; each round
+    any has no rows, a rank below 1 gives the least value and one over n the greatest. ``df`` is read once and then once a round; each round
     divides an interval by ``parts``, so a few rounds separate all values of a column.
     """
     keys = list(keys)
@@ -40,9 +40,9 @@ def values_at_ranks(
     rows = df.select(*keys, x)
     values = rows.filter(F.col("_x").isNotNull())
     whole = rows.groupBy(*keys).agg(F.count("_x").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    texts = [str(r) if isinstance(r, int) else f"(_n * {r[0]} + {r[1] - 1}) div {r[1]}" for r in ranks]
     wanted = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("at"), F.greatest(F.lit(1).cast("long"), F.expr(f"(_n * {a} + {b - 1}) div {b}")).alias("rank"))
-        for i, (a, b) in enumerate(ranks)])).alias("_r")
+        F.expr(f"struct({i} AS at, greatest(1L, least(_n, CAST({text} AS BIGINT))) AS rank)") for i, text in enumerate(texts)])).alias("_r")
     state = stored(whole.filter(F.col("_n") > 0).select(*keys, wanted, F.col("_low").alias("low"), F.col("_high").alias("high"))
                    .select(*keys, "_r.at", "_r.rank", "low", "high"))
     found = [state.filter("low = high")]
