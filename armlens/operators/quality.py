@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,24 +163,38 @@ def distinct_per_group(df: DataFrame, columns: Sequence[str], keys: Sequence[str
     )
 
 
-def feature_cardinality(
-    df: DataFrame, spec: ExperimentSpec, relative_error: float | None = None
-) -> DataFrame:
-    """Distinct values of each feature, exact or by sketch.
+# Sketches have 2^14 buckets, a standard error of about 0.8 percent.
+SKETCH_BITS = 14
+
+
+def cardinality_sketches(df: DataFrame, spec: ExperimentSpec, bits: int = SKETCH_BITS) -> DataFrame:
+    """A sketch of the distinct values of each feature per key, to be stored beside the cells.
 
-    The exact form groups on (feature, value), so repeated values collapse
-    map-side and no feature's values are gathered in one place.
+    One pass with a row per key and task; sketches of segments, days or experiments can be
+    united later without the log (``united_cardinality``). NULL is not a value.
     """
-    features = [F.col(f).cast("double").alias(f) for f in spec.features]
-    if relative_error is not None:
-        wide = df.groupBy(*spec.keys).agg(
-            *[F.approx_count_distinct(f, relative_error).alias(f) for f in spec.features]
-        )
-        return wide.unpivot(list(spec.keys), list(spec.features), "feature", "distinct_values")
-    long = df.select(*spec.keys, *features).unpivot(
-        list(spec.keys), list(spec.features), "feature", "_value"
-    )
-    values = long.filter(F.col("_value").isNotNull()).groupBy(*spec.keys, "feature", "_value").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    return values.groupBy(*spec.keys, "feature").agg(F.count(F.lit(1)).alias("distinct_values"))
+    value = lambda f: F.when(F.col(f).isNotNull(), F.xxhash64(F.col(f).cast("double")))
+    return df.groupBy(*spec.keys).agg(*[F.hll_sketch_agg(value(f), bits).alias(f) for f in spec.features])
+
+
+def united_cardinality(sketches: DataFrame, spec: ExperimentSpec, keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct values of each feature over all sketches of a key, about as exact as one sketch of all rows."""
+    wide = sketches.groupBy(*keys).agg(*[
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(f)), F.lit(0)).cast("long").alias(f) for f in spec.features])
+    return wide.unpivot(list(keys), list(spec.features), "feature", "distinct_values")
+
+
+def feature_cardinality(df: DataFrame, spec: ExperimentSpec, exact: bool = False) -> DataFrame:
+    """Distinct values of each feature, by sketch in one pass, or exact.
+
+    The exact form reads and groups one feature at a time, so no row is multiplied, repeated
+    values collapse map-side and no feature's values are gathered in one place.
+    """
+    if not exact:
+        return united_cardinality(cardinality_sketches(df, spec), spec, spec.keys)
+    keys, parts = list(spec.keys), []
+    for f in spec.features:
+        values = df.select(*keys, F.col(f).cast("double").alias("_value")).groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
+        parts.append(values.groupBy(*keys).agg(F.count("_value").alias("distinct_values")).select(
+            *keys, F.lit(f).alias("feature"), "distinct_values"))
+    return reduce(DataFrame.unionByName, parts)

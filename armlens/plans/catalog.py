@@ -155,11 +155,21 @@ def multiplicity_weights(spark, sf_dir):
 
 
 def feature_cardinality(spark, sf_dir):
-    return quality.feature_cardinality(explog(spark, sf_dir, FEATURES), FULL)
+    return quality.feature_cardinality(explog(spark, sf_dir, FEATURES), FULL, exact=True)
 
 
 def feature_cardinality_sketch(spark, sf_dir):
-    return quality.feature_cardinality(explog(spark, sf_dir, FEATURES), FULL, 0.02)
+    return quality.feature_cardinality(explog(spark, sf_dir, FEATURES), FULL)
+
+
+def feature_cardinality_united(spark, sf_dir):
+    """Sketches per market, united, against the exact counts: within five standard errors."""
+    spec = replace(FULL, keys=("market",))
+    log = explog(spark, sf_dir, (*FEATURES, "market"))
+    united = quality.united_cardinality(durable(quality.cardinality_sketches(log, spec)), spec)
+    exact = quality.feature_cardinality(log, FULL, exact=True).withColumnRenamed("distinct_values", "_exact")
+    off = F.abs(F.col("distinct_values") / F.col("_exact") - 1)
+    return united.join(exact, "feature").select("feature", F.col("_exact").alias("distinct_values"), (off <= 0.04).alias("close"))
 
 
 def position_dependence(spark, sf_dir):
@@ -809,7 +819,7 @@ QUERIES: tuple[Query, ...] = (
     crossfit_five_folds, uplift_scores_five_folds, gated_effects_null_key, balance_null_key, decision_withheld,
     flag_quality, implication_violations, completeness,
     duplicate_summary, duplicate_summary_16col, spec_cells_subset_features, duplicates_by_arm, distinct_by_arm, duplicate_profile,
-    multiplicity_weights, feature_cardinality, feature_cardinality_sketch,
+    multiplicity_weights, feature_cardinality, feature_cardinality_sketch, feature_cardinality_united,
     position_dependence, position_summary, position_summary_assembled, position_stored_order,
     hash_sample_topn, sample_arm_coverage, bernoulli_sample, stratified_sample,
     arm_summary, arm_summary_by_segment,

@@ -369,6 +369,7 @@ def _quality() -> dict[str, str]:
             "(multiplicity = 1)::BIGINT AS w_singleton FROM collapsed"
         ),
         "feature_cardinality": f"WITH {log()} {distinct}",
+        "feature_cardinality_united": f"WITH {log()}, d AS ({distinct}) SELECT feature, distinct_values, true AS close FROM d",
     }
 
 

@@ -96,6 +96,34 @@ def test_ordered_blocks_on_shuffled_rows_and_on_one_hot_key(spark):
     assert cuts == [ranked[-(-i * n // 10) - 1] for i in range(1, 10)]
 
 
+def test_fixed_size_sample_by_rank_equals_the_sorted_one(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(5_000), "r": rng.integers(0, 40, 5_000)}), "id long, r long").repartition(5)
+    df = df.withColumn("r", F.when(F.col("id") > 20, F.col("r")))
+    for rank in (None, F.col("r"), F.col("r") * (1 << 55) + F.col("id") % 3):
+        for n in (0, 1, 13, 21, 777, 5_000, 6_000):
+            got, wanted = (
+                {r.id for r in samples.fixed_size_sample(df, n, 3, rank, ["id"], most).collect()} for most in (-1, 10_000))
+            assert got == wanted and len(got) == min(n, 5_000)
+    assert samples.fixed_size_sample(df.where("false"), 7, 3, most_in_task=1).count() == 0
+
+
+def test_sketches_of_segments_unite(spark):
+    df = spark.range(0, 60_000, 1, 6).select(
+        (F.col("id") % 20_000).cast("double").alias("a"), F.when(F.col("id") % 2 == 0, F.lit(1.5)).alias("b"),
+        F.lit(None).cast("double").alias("c"), (F.col("id") % 7).alias("k"))
+    spec = ExperimentSpec(features=("a", "b", "c"), keys=("k",))
+    whole = replace(spec, keys=())
+    united = by(quality.united_cardinality(quality.cardinality_sketches(df, spec), spec), "feature")
+    sketch, exact = (by(quality.feature_cardinality(df, whole, exact=e), "feature") for e in (False, True))
+    assert {f: r["distinct_values"] for f, r in exact.items()} == {"a": 20_000, "b": 1, "c": 0}
+    for f, r in exact.items():
+        assert united[f]["distinct_values"] == pytest.approx(r["distinct_values"], rel=0.04)
+        assert sketch[f]["distinct_values"] == pytest.approx(r["distinct_values"], rel=0.04)
+    per_key = by(quality.feature_cardinality(df, spec, exact=True), "k", "feature")
+    assert per_key[(0, "a")]["distinct_values"] == df.where("k = 0").select("a").distinct().count()
+
+
 def test_fixed_size_sample_is_exact_and_holds_both_arms(spark, tmp_path):
     df = spark.range(0, 50_000, 1, 12).select("id", (F.col("id") < 20_000).cast("int").alias("treatment"))
     sample = samples.fixed_size_sample(df, 3_000, seed=5).cache()
