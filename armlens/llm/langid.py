@@ -18,13 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.session import stored
 from .common import whole_text
 from .toxicity import held_out
 
-# Texts learned from, words of them, and features kept.
+# Texts learned from, characters of one, words of all, and features kept.
 SAMPLE_TEXTS = 2_000
+SAMPLE_CHARACTERS = 20_000
 SAMPLE_WORDS = 160_000
 FEATURE_ROWS = 1 << 16
 # Lengths of spliced pieces in words.
@@ -235,32 +237,35 @@ def fit_chain(texts: list[tuple[list[str], int]], labels: list[str]) -> Model:
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang",
         divisor: int = 4, remainder: int = 2) -> Model:
-    """A model from at most ``SAMPLE_TEXTS`` texts with a label whose id is not held out.
+    """A model of all labels, from at most ``SAMPLE_TEXTS`` texts (one a label at least) whose id is not held out.
 
-    They are those of the smallest hashes of id and text, an equal number for each label;
-    of their words, whole texts are used until ``SAMPLE_WORDS`` is reached.
+    They are those of the smallest hashes of id and text, an equal number for each label, cut at
+    ``SAMPLE_CHARACTERS``; their words are used until the label's share of ``SAMPLE_WORDS`` is reached, the
+    last text of a label as far as that. The labels and their transitions are held by the driver and by every task.
     """
     usable = docs.where(F.col(label_column).isNotNull() & F.col(text_column).isNotNull() & F.col(id_column).isNotNull()
                         & ~held_out(id_column, divisor, remainder))
     rows = usable.select(F.col(id_column).alias("id"), whole_text(text_column).alias("t"), F.col(label_column).alias("y"))
-    counted = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(200).collect()
-    labels = sorted(r.y for r in counted)
+    counted = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    labels = sorted(counted)
     if not labels:
         return Model([UNKNOWN], {}, np.zeros((0, 1)), np.zeros((1, 1)), np.zeros(1))
-    each = max(1, SAMPLE_TEXTS // len(labels))
+    each, budget = max(1, SAMPLE_TEXTS // len(labels)), max(1, SAMPLE_WORDS // len(labels))
     # Rows are thinned by a hash before the sort, with twice what is needed left over.
-    wanted = {r.y: min(1.0, 2.0 * each / r["count"] + 20.0 / r["count"]) for r in counted}
+    wanted = {y: min(1.0, 2.0 * each / n + 20.0 / n) for y, n in counted.items()}
     share = F.create_map(*[v for y, p in wanted.items() for v in (F.lit(y), F.lit(p))])[F.col("y")]
     mark = F.xxhash64("id", "t", F.lit(3))
-    thinned = stored(rows.withColumn("h", mark).where((F.col("h") / F.lit(2.0**64) + 0.5) < share))
+    thinned = rows.withColumn("h", mark).where((F.col("h") / F.lit(2.0**64) + 0.5) < share)
+    thinned = stored(thinned.withColumn("t", F.substring("t", 1, SAMPLE_CHARACTERS)))
+    place = F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))
+    sample = thinned.withColumn("place", place).where(F.col("place") <= each).orderBy("y", "place").select("t", "y")
     texts: list[tuple[list[str], int]] = []
-    for number, label in enumerate(labels):
-        held, words = 0, []
-        for row in thinned.where(F.col("y") == label).orderBy("h", "id").select("t").limit(each).toLocalIterator():
-            words = WORD.findall(row.t.lower())
-            if words and held + len(words) <= SAMPLE_WORDS // len(labels):
-                texts.append((words, number))
-                held += len(words)
+    held: Counter[str] = Counter()
+    for row in sample.toLocalIterator():
+        words = WORD.findall(row.t.lower())[:budget - held[row.y]]
+        if words:
+            texts.append((words, labels.index(row.y)))
+            held[row.y] += len(words)
     return fit_chain(texts, labels)
 
 
