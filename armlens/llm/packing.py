@@ -3,9 +3,10 @@
 Every scan task tokenises its documents, cuts the long ones and packs its pieces
 by best fit decreasing. Dual feasible functions of the piece lengths give a lower
 bound on the sequences any packing needs; a partition that meets its bound is
-certified. While the whole table is above its bound, uncertified partitions
-exchange the documents of sequences with gaps and best fit runs again on the
-mixed groups.
+certified: its sequences are final but for the emptiest, which holds all that another
+partition could save. While the whole table is above its bound, the documents of sequences with gaps are
+exchanged and best fit runs again on the mixed groups, which are certified in the same way, until
+a round saves nothing.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,9 @@ END_ID = 2
 RUN_PIECES = 200_000
 # Pieces that one task packs again after an exchange.
 EXCHANGE_PIECES = 200_000
-EXCHANGES = 3
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, "
-          "room long, certified boolean, ids array<int>")
+          "room long, open boolean, ids array<int>")
 
 
 @lru_cache(maxsize=2)
@@ -127,12 +128,18 @@ def lower_bound(histogram: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """Bin, offset and room per piece, and whether the bin count meets its lower bound."""
-    bins, offsets, room = best_fit(lengths.tolist(), capacity)
-    bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity) if len(lengths) else 0
-    return np.array(bins, dtype=np.int64), np.array(offsets, dtype=np.int64), np.array(room, dtype=np.int64)[bins] \
-        if len(lengths) else np.zeros(0, dtype=np.int64), len(room) == bound
+def _pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bin, offset and room per piece, and whether its bin may still change: it has room, and if
+    the bin count meets its lower bound it is the emptiest."""
+    if not len(lengths):
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none.astype(bool)
+    bins, offsets, rooms = best_fit(lengths.tolist(), capacity)
+    bins, rooms = np.array(bins, dtype=np.int64), np.array(rooms, dtype=np.int64)
+    may_change = rooms > 0
+    if len(rooms) == lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity):
+        may_change &= np.arange(len(rooms)) == np.argmax(rooms)
+    return bins, np.array(offsets, dtype=np.int64), rooms[bins], may_change[bins]
 
 
 def first_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -141,16 +148,16 @@ def first_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
     schema = pa.schema([
         ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
         ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("room", pa.int64()),
-        ("certified", pa.bool_()), ("ids", pa.list_(pa.int32()))])
+        ("open", pa.bool_()), ("ids", pa.list_(pa.int32()))])
 
     def emit(rows: list[tuple], run: int) -> pa.RecordBatch:
         ids, pieces, starts, lengths, sums, tokens = zip(*rows)
-        bins, offsets, room, certified = _pack(np.array(lengths, dtype=np.int64), capacity)
+        bins, offsets, room, may_change = _pack(np.array(lengths, dtype=np.int64), capacity)
         base = (TaskContext.get().partitionId() << 36) + (run << 20)
         return pa.RecordBatch.from_arrays([
             pa.array(ids, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()),
             pa.array(lengths, pa.int64()), pa.array(sums, pa.int64()), pa.array(base + bins), pa.array(offsets),
-            pa.array(room), pa.array([certified] * len(ids)), pa.array(tokens, pa.list_(pa.int32()))], schema=schema)
+            pa.array(room), pa.array(may_change), pa.array(tokens, pa.list_(pa.int32()))], schema=schema)
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
@@ -184,11 +191,11 @@ def _exchange(loose: DataFrame, groups: int, number: int, capacity: int) -> Data
 
     def again(table: pa.Table) -> pa.Table:
         old = table["sequence_id"].to_numpy()
-        bins, offsets, room, certified = _pack(table["length"].to_numpy(), capacity)
+        bins, offsets, room, may_change = _pack(table["length"].to_numpy(), capacity)
         if room.size and bins.max() + 1 < len(np.unique(old)):
             group = table["_group"][0].as_py()
             fresh = {"sequence_id": pa.array((number << 58) + (group << 28) + bins), "offset": pa.array(offsets),
-                     "room": pa.array(room), "certified": pa.array([certified] * len(bins))}
+                     "room": pa.array(room), "open": pa.array(may_change)}
             for name, values in fresh.items():
                 table = table.set_column(table.schema.get_field_index(name), name, values)
         return table.select(columns)
@@ -216,15 +223,16 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         histogram[row.length] = row.n
     bound = lower_bound(histogram, capacity) if lengths else 0
     parts = []
-    loose, settled = current, 0
-    for number in range(1, EXCHANGES + 1):
-        # Full sequences are final; those with gaps exchange until the whole table meets its bound.
-        parts.append(loose.where("room = 0"))
+    loose, settled, before = current, 0, None
+    for number in count(1):
+        # Sequences that cannot change are final; the others exchange until the whole table meets its bound.
+        parts.append(loose.where("not open"))
         settled += parts[-1].select("sequence_id").distinct().count()
-        loose = loose.where("room > 0")
+        loose = loose.where("open")
         sequences, pieces = loose.agg(F.count_distinct("sequence_id"), F.count("*")).first()
-        if settled + sequences <= bound or not pieces:
+        if settled + sequences in (bound, before) or not pieces:
             break
+        before = settled + sequences
         groups = max(1, -(-pieces // EXCHANGE_PIECES))
         loose = stored(_exchange(loose, groups, number, capacity))
         if groups == 1:
