@@ -37,8 +37,8 @@ WINDOW = 6
 TERM_LETTERS = 4
 # Distinct terms a task counts before it passes the counts on.
 HELD_TERMS = 200_000
-# Bits of the filter that tells which words of a text may be disclosing terms; the join decides.
-FILTER_BITS = 1 << 23
+# Bits of the filter that tells which words of a text may be disclosing terms: so many a term, at most so many; the join decides.
+TERM_BITS, FILTER_BITS = 32, 1 << 26
 
 # The patterns of the kinds.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -204,21 +204,32 @@ def disclosing_terms(scanned: DataFrame, total: int, disclosure: float = DISCLOS
             .where(F.col("share") >= disclosure).select("entity", "term", "share"))
 
 
-def _slot(term: str) -> int:
-    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) % FILTER_BITS
+def _slot(term: str, size: int) -> int:
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) % size
 
 
 def term_filter(terms: DataFrame) -> bytes:
-    """A bit for the slot of every ``term``. At most ``FILTER_BITS`` slots reach the driver, whatever the number of terms."""
+    """A bit for the slot of every ``term``, a power of two of them that grows with the number of terms.
+
+    Up to ``FILTER_BITS / TERM_BITS`` terms one word in ``TERM_BITS`` that is no term passes. The filter itself is
+    bounded: with more terms more words pass, and the join sorts them out.
+    """
+    n = terms.select("term").distinct().count()
+    size = min(FILTER_BITS, 1 << max(10, (TERM_BITS * n - 1).bit_length()))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_slot(t.as_py()) for t in batch.column(0)], pa.int32())], names=["slot"])
+            found = np.array([_slot(t.as_py(), size) for t in batch.column(0)], dtype=np.int64)
+            place, at = np.unique(found >> 6, return_inverse=True)
+            words = np.zeros(len(place), dtype=np.uint64)
+            np.bitwise_or.at(words, at, np.uint64(1) << (found & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(words.view(np.int64))], names=["place", "word"])
 
-    found = terms.select("term").mapInArrow(slots, "slot int").distinct().toArrow()["slot"].to_numpy()
-    bits = np.zeros(FILTER_BITS, dtype=bool)
-    bits[found] = True
-    return np.packbits(bits).tobytes()
+    found = (terms.select("term").mapInArrow(slots, "place long, word long")
+             .groupBy("place").agg(F.bit_or("word").alias("word")).toArrow())
+    words = np.zeros(size >> 6, dtype="<i8")
+    words[found["place"].to_numpy()] = found["word"].to_numpy()
+    return words.tobytes()
 
 
 class _Places:
@@ -231,8 +242,8 @@ class _Places:
         known = self.known.get(word)
         if known is None:
             term = word.lower()
-            slot = _slot(term)
-            known = bool(self.bits[slot >> 3] >> (7 - (slot & 7)) & 1)
+            slot = _slot(term, 8 * len(self.bits))
+            known = bool(self.bits[slot >> 3] >> (slot & 7) & 1)
             if len(self.known) >= HELD_TERMS:
                 self.known.clear()
             self.known[word] = known
@@ -354,7 +365,8 @@ def sanitised(docs: DataFrame, text_column: str = "text", disclosure: float = DI
               length_column: str | None = "n_chars") -> DataFrame:
     """``docs`` with personal data replaced in the text; rows without any are returned as they came.
 
-    A column of text lengths, if there is one, is set anew for changed texts.
+    A column of text lengths, if there is one, is set anew for changed texts. Null and empty texts stay as they are,
+    repeated rows change alike, null ids and other columns, whatever their names, pass unread; an empty table gives an empty one.
     """
     disclosing = stored(disclosing_terms(scan(docs, text_column, [], True), docs.count(), disclosure, support))
     bits = term_filter(disclosing)
