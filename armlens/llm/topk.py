@@ -18,7 +18,9 @@ from pyspark.sql.window import Window
 
 from ..sources.session import stored
 
-# Vectors in a block of queries or of candidates; a task compares one of each.
+# Bytes of vectors in a block of queries or of candidates, and rows at least; a task compares one of each. Every block
+# of one side is shuffled once for each block of the other, so larger blocks move less.
+BLOCK_BYTES = 32 << 20
 BLOCK_ROWS = 4096
 # Dimensions added up between two compactions.
 DIMENSIONS = 16
@@ -77,7 +79,7 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ca
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_column: str, vector_column: str,
-          scale: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+          scale: int, block_rows: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best rows of ``vectors`` for each row of ``queries``.
 
     Components become floor(scale * x); the score is the integer inner product,
@@ -86,6 +88,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_column: str, vector
     do rows with a null id. A row never answers a query with its own id. Equal rows count once;
     different vectors of one id count as one row with the better score. Fewer
     candidates give fewer rows; an empty table gives none. Other columns are not read.
+    ``block_rows`` is the size of a block; by default as many rows as ``BLOCK_BYTES`` hold, or fewer if
+    that leaves cores idle.
     """
 
     def whole_numbers(table: DataFrame) -> DataFrame:
@@ -98,7 +102,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_column: str, vector
                 .distinct())
 
     rows, asked = stored(whole_numbers(vectors)), stored(whole_numbers(queries))
-    row_blocks = max(1, -(-rows.count() // block_rows))
+    n_rows, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    if block_rows is None:
+        share = -(-n_rows // vectors.sparkSession.sparkContext.defaultParallelism)
+        block_rows = max(BLOCK_ROWS, min(BLOCK_BYTES // (8 * max(width, 1)), share))
+    row_blocks = max(1, -(-n_rows // block_rows))
     query_blocks = max(1, -(-asked.count() // block_rows))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
