@@ -293,7 +293,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     """A model from at most ``sample_rows`` labelled rows whose id is not held out.
 
     The sample is those of the smallest hashes of the id. Several labels of an
-    id count as the highest; null labels and ids are not learned from. Without any label of
+    id count as the highest, and of several texts of an id the one with the smallest hash is learned from, so
+    repeated ids add no rows; null labels and ids are not learned from. Without any label of
     one kind the model gives the share of the other.
     """
     chosen = stored(
@@ -301,7 +302,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         .groupBy(F.col(id_column).alias("id")).agg(F.max(F.col(label_column).cast("int")).alias("label"))
         .orderBy(F.xxhash64("id", F.lit(7)), "id").limit(sample_rows))
     # The sample has a fixed bound, so every task can hold it.
-    rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("t")).join(F.broadcast(chosen), "id")
+    rows = (docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("t")).join(F.broadcast(chosen), "id")
+            .groupBy("id").agg(F.min_by("t", F.xxhash64("t")).alias("t"), F.max("label").alias("label")))
     part = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(10))
     sampled = stored(rows.select("id", "t", F.when(F.col("label") > 0, 1).otherwise(0).alias("label"),
                                  F.when(part < 5, 0).when(part < 8, 1).otherwise(2).alias("part")))
@@ -353,6 +355,10 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` scored below 0.5, with all their columns."""
+    """The rows of ``docs`` scored below 0.5, with all their columns, whatever their names.
+
+    Null and empty texts are scored like any other, equal texts alike; repeated rows stay or go together. Null ids are
+    not learned from but scored. An empty table gives no rows; without labels nothing is toxic.
+    """
     model = fit(docs, labels, id_column, text_column)
     return score(docs, model, text_column).where("score < 0.5").select("doc.*")
