@@ -154,7 +154,8 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
 def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns.
 
-    Rows that repeat the kept id and text stay as one row each group.
+    Rows that repeat the kept id and text all stay. Null and empty texts are equal; rows with a null id stay
+    only if no equal text has an id. An empty table gives an empty one; other columns, whatever their names, pass unread.
     """
     decided = exact_duplicates(docs, id_column, text_column)
     dropped = decided.where("not kept").select(F.col(id_column).alias("_id"), F.col("text_sha256").alias("_sha"))
