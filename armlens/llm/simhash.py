@@ -7,14 +7,12 @@ variants of the other half are indexed inside the task by sorting, rows with equ
 variants are joined and the whole fingerprints compared. Only distinct
 fingerprints are indexed, so copies cost nothing.
 
-For a similarity of shingle sets the fingerprints only bring candidates together:
-every pair that links has its two sets compared.
+For a similarity of shingle sets wider fingerprints only bring candidates together (see
+``similar_sets``): every pair that links has its two sets compared.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -26,69 +24,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.session import stored
-from .common import batches_of, row_ids, whole_text
+from . import similar_sets
+from .common import batches_of, whole_text
 from .components import components
-from .hamming import bytes_of, crossing_pairs, distances, forest, group_links
+from .hamming import bytes_of, distances, forest
 
 SEED = 42
 # Shingles hashed at a time, which bounds the memory of a very long text.
 HASH_BLOCK = 1 << 14
-# Fingerprints with one segment value that are compared in one task; more are
-# linked by shared midpoints, or in chunks around pivots.
+# Fingerprints with one segment value that are compared in one task; more are linked by shared midpoints.
 PAIRED_MEMBERS = 20_000
 # Runs up to this length are compared all at once with their neighbours in the sort order.
 SHORT_RUN = 32
 # Rows of whole shuffle keys that a task gathers before it compares them.
 FLUSH_ROWS = 50_000
-# Words of a fingerprint for a similarity at least, and standard deviations over the expected distance up to which pairs are candidates.
-WIDE_WORDS = 8
-DEVIATIONS = 6
-# Pairs that a task gathers before it passes them on, and rows of a crowded group that meet a block of the others at a time.
-HELD_PAIRS = 200_000
-GUESTS = 500
 
 
 @dataclass(frozen=True)
 class Cut:
-    """How fingerprints are made, cut and compared."""
+    """How 64-bit fingerprints are cut and compared."""
 
-    words: int  # 64-bit words in a fingerprint
     segments: tuple[tuple[int, int], ...]  # (first bit from the left, width)
     distance: int  # bits in which linked fingerprints may differ
 
-    @property
-    def exact(self) -> bool:
-        """Whether every pair within the distance has a segment with at most one different bit."""
-        covered = sum(width for _, width in self.segments) == 64 * self.words
-        return covered and 2 * len(self.segments) > self.distance
-
 
 def exact_cut(distance: int) -> Cut:
-    """64-bit fingerprints in ``distance // 2 + 1`` segments: no pair is missed."""
+    """``distance // 2 + 1`` segments, one of which differs in at most one bit: no pair is missed."""
     count = distance // 2 + 1
     cuts = [64 * i // count for i in range(count + 1)]
-    return Cut(1, tuple((a, b - a) for a, b in zip(cuts, cuts[1:])), distance)
-
-
-def similarity_cut(similarity: float, rows: int, recall: float = 0.9999, words: int = WIDE_WORDS) -> Cut:
-    """A cut that brings pairs of a Jaccard similarity of shingle sets together as candidates.
-
-    Two sets of similarity s have cosine 2s / (1 + s); each bit differs with
-    probability p = acos(cosine) / pi. A segment as wide as the logarithm of the
-    row count keeps buckets equally small at any size, and there are as many
-    segments as the fingerprint holds, or as it takes for one of them to differ in
-    at most one bit with probability ``recall``. Candidates are ``DEVIATIONS``
-    standard deviations over the expected distance at s or nearer, because sets of
-    few shingles have distances over the expected one.
-    """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    width = min(max(16, math.ceil(math.log2(max(rows, 2))) - 2), 40)
-    hit = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
-    count = max(64 * words // width, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
-    words = max(words, -(-count * width // 64))
-    bits = 64 * words
-    limit = int(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
-    return Cut(words, tuple((i * width, width) for i in range(count)), limit)
+    return Cut(tuple((a, b - a) for a, b in zip(cuts, cuts[1:])), distance)
 
 
 def shingle_hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
@@ -138,44 +102,18 @@ def shingle_set(text: str, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(text, shingle)]))
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_column: str = "doc_id",
-                 text_column: str = "text") -> DataFrame:
-    """``id, fp`` (``8 * words`` bytes) for every row."""
+def fingerprints(docs: DataFrame, shingle: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``id, fp`` (8 bytes) for every row."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(t.as_py(), shingle, words) for t in batch.column(1)]
+            values = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["id", "fp"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), whole_text(text_column).alias("t"))
     return rows.mapInArrow(of_batches, "id long, fp binary")
 
 
-def shingle_sets(docs: DataFrame, shingle: int, words: int, id_column: str = "doc_id",
-                 text_column: str = "text") -> DataFrame:
-    """``id, fp, row_id, digest, hashes`` for every row: its set of shingle hashes, their fingerprint and the digest of the set.
-
-    A shingle counts once however often it is repeated.
-    """
-
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            sets = [shingle_set(t, shingle) for t in texts]
-            values = [majority(np.split(s, range(HASH_BLOCK, len(s), HASH_BLOCK)), words) for s in sets]
-            held = [s.astype("<u8").tobytes() for s in sets]
-            digests = [hashlib.sha256(h).digest() for h in held]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values, pa.binary()), pa.array(row_ids(number, len(texts))),
-                 pa.array(digests, pa.binary()), pa.array(held, pa.binary())],
-                names=["id", "fp", "row_id", "digest", "hashes"])
-            number += len(texts)
-
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), whole_text(text_column).alias("t"))
-    return rows.mapInArrow(of_batches, "id long, fp binary, row_id long, digest binary, hashes binary")
-
-
 def _values(matrix: np.ndarray, low: int, width: int) -> np.ndarray:
     """Bits ``low .. low + width`` of every row as a number."""
     first, last = low // 8, (low + width + 7) // 8
@@ -184,19 +122,16 @@ def _values(matrix: np.ndarray, low: int, width: int) -> np.ndarray:
 
 
 def _keyed(nodes: DataFrame, cut: Cut, halves: tuple[int, ...] = (0, 1)) -> DataFrame:
-    """``segment, half, part, value, node, fp``: two rows per segment, one for either half being equal; and ``family``, if any."""
+    """``segment, half, part, value, node, fp``: two rows per segment, one for either half being equal."""
     schema = pa.schema([("segment", pa.int32()), ("half", pa.int32()), ("part", pa.int64()), ("value", pa.int64()),
                         ("node", pa.int64()), ("fp", pa.binary())])
-    carried = ["family"] * ("family" in nodes.columns)
-    for name in carried:
-        schema = schema.append(pa.field(name, pa.int64()))
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, fp = batch.column(0), batch.column(1)
             if not batch.num_rows:
                 continue
-            matrix = bytes_of(fp, 8 * cut.words)
+            matrix = bytes_of(fp, 8)
             for i, (low, width) in enumerate(cut.segments):
                 value = _values(matrix, low, width)
                 right = width // 2
@@ -205,10 +140,10 @@ def _keyed(nodes: DataFrame, cut: Cut, halves: tuple[int, ...] = (0, 1)) -> Data
                     same = np.full(len(value), i), np.full(len(value), half)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(same[0], pa.int32()), pa.array(same[1], pa.int32()), pa.array(part),
-                         pa.array(value), node, fp, *batch.columns[2:]], schema=schema)
+                         pa.array(value), node, fp], schema=schema)
 
-    return nodes.select("node", "fp", *carried).mapInArrow(
-        of_batches, "segment int, half int, part long, value long, node long, fp binary" + ", family long" * len(carried))
+    return nodes.select("node", "fp").mapInArrow(
+        of_batches, "segment int, half int, part long, value long, node long, fp binary")
 
 
 def _linked(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,37 +164,17 @@ def _linked(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarra
     return np.concatenate(left), np.concatenate(right)
 
 
-def _crossing(keys: np.ndarray, fps: np.ndarray, distance: int, family: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of all pairs of different families within each long run of equal keys, a part at a time."""
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    lengths = np.diff(np.append(starts, len(keys)))
-    for start, length in zip(starts[lengths > SHORT_RUN], lengths[lengths > SHORT_RUN]):
-        mine, own = fps[start:start + length], family[start:start + length]
-        names, counts = np.unique(own, return_counts=True)
-        # A pair has a row outside of the largest family.
-        for guest in np.flatnonzero(own != names[np.argmax(counts)]):
-            at = np.flatnonzero(own != own[guest])
-            at = at[distances(mine[at], mine[guest]) <= distance]
-            if len(at):
-                yield np.full(len(at), start + guest), start + at
-
-
-def _bucket_links(keyed: DataFrame, cut: Cut, marks: bool = False) -> DataFrame:
+def _bucket_links(keyed: DataFrame, cut: Cut) -> DataFrame:
     """``a, b``: links between rows that share a segment half and a wildcard variant of the other half.
 
-    They are all pairs in short runs, and in long ones as many as connect what all
-    pairs do. With ``marks`` rows of long runs have a link to themselves too. If
-    ``keyed`` has a column ``family`` they are instead all pairs of different
-    families in long runs.
+    They are all pairs in short runs, and in long ones as many as connect what all pairs do.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     widths = [width for _, width in cut.segments]
 
-    families = "family" in keyed.columns
-
     def compare(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        segment, half, part, value, node, *family, fps = rows
-        pairs, held = [], 0
+        segment, half, part, value, node, fps = rows
+        pairs = []
         group = np.cumsum(np.concatenate(
             ([0], (segment[1:] != segment[:-1]) | (half[1:] != half[:-1]) | (part[1:] != part[:-1]))))
         right = np.array([w // 2 for w in widths])[segment]
@@ -269,25 +184,9 @@ def _bucket_links(keyed: DataFrame, cut: Cut, marks: bool = False) -> DataFrame:
             mine = np.flatnonzero(free > bit)
             keys = group[mine] << 40 | other[mine] & ~(1 << bit)
             order = np.argsort(keys, kind="stable")
-            keys, values = keys[order], fps[mine[order]]
-            if families:
-                found = _crossing(keys, values, cut.distance, family[0][mine[order]])
-            else:
-                found = [_linked(keys, values, cut.distance)]
-                if marks:
-                    _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-                    found.append((np.flatnonzero(counts[inverse] > SHORT_RUN),) * 2)
-            for a, b in found:
-                a, b = node[mine[order[a]]], node[mine[order[b]]]
-                pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-                held += len(a)
-                if families and held > HELD_PAIRS:
-                    yield from passed(pairs)
-                    pairs, held = [], 0
-        if pairs:
-            yield from passed(pairs)
-
-    def passed(pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            a, b = _linked(keys[order], fps[mine[order]], cut.distance)
+            a, b = node[mine[order[a]]], node[mine[order[b]]]
+            pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
         found = np.unique(np.concatenate(pairs), axis=0)
         yield from batches_of(schema, {"a": found[:, 0], "b": found[:, 1]})
 
@@ -299,7 +198,7 @@ def _bucket_links(keyed: DataFrame, cut: Cut, marks: bool = False) -> DataFrame:
                 continue
             last = batch.num_columns - 1
             rows = [batch.column(i).to_numpy() for i in range(last)]
-            rows.append(bytes_of(batch.column(last), 8 * cut.words).view(np.uint64))
+            rows.append(bytes_of(batch.column(last), 8).view(np.uint64))
             held.append(rows)
             size += batch.num_rows
             if size >= FLUSH_ROWS:
@@ -316,7 +215,7 @@ def _bucket_links(keyed: DataFrame, cut: Cut, marks: bool = False) -> DataFrame:
             yield from compare([np.concatenate(c) for c in zip(*held)])
 
     key = ["segment", "half", "part"]
-    keyed = keyed.select(*key, "value", "node", *["family"] * families, "fp")
+    keyed = keyed.select(*key, "value", "node", "fp")
     return keyed.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(link, "a long, b long")
 
 
@@ -349,79 +248,27 @@ def _midpoint_links(members: DataFrame, distance: int) -> DataFrame:
     return wider.join(lowest, "point").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def links(nodes: DataFrame, cut: Cut, paired: int = PAIRED_MEMBERS, marks: bool = False) -> DataFrame:
+def links(nodes: DataFrame, cut: Cut, paired: int = PAIRED_MEMBERS) -> DataFrame:
     """``a, b`` links over ``node, fp``: they connect what chains of pairs within the distance connect.
 
     A segment value that more than ``paired`` fingerprints share is not compared in
-    one task: its members and those one bit away are linked by midpoints if they
-    have 64 bits, and as a group of their own (see ``group_links``) if they are wider.
-    With ``marks`` a node has a link to itself if some pairs of it are left out
-    because others connect it. If ``nodes`` has a column ``family``, the links are
-    all pairs of different families among what is left out.
+    one task: its members and those one bit away are linked by midpoints.
     """
     keyed = _keyed(nodes, cut)
     once = _keyed(nodes, cut, (0,))
     crowded = stored(once.groupBy("segment", "value").count().where(F.col("count") > paired).select("segment", "value"))
     if crowded.isEmpty():
-        return _bucket_links(keyed, cut, marks)
+        return _bucket_links(keyed, cut)
     widths = F.array(*[F.lit(width) for _, width in cut.segments])
     around = crowded.select("segment", F.col("value").alias("centre"), F.explode(F.expr(
         "transform(sequence(-1, 62), b -> if(b < 0, value, value ^ shiftleft(1L, b)))")).alias("value"), widths.alias("w"))
     around = around.where(F.expr("value < shiftleft(1L, w[segment])")).select("segment", "centre", "value")
-    usual = _bucket_links(keyed.join(crowded, ["segment", "value"], "left_anti").select(keyed.columns), cut, marks)
-    if "family" in nodes.columns:
-        group = F.xxhash64("segment", "centre").alias("g")
-        members = stored(once.join(around, ["segment", "value"]).select(group, "node", "fp", "family"))
-        return usual.union(crossing_pairs(members, cut.distance, cut.words, paired, GUESTS))
-    if cut.words > 1:
-        group = F.xxhash64("segment", "centre").alias("g")
-        members = once.join(around, ["segment", "value"]).select(group, "node", "fp")
-        found = usual.union(group_links(members, cut.distance, cut.words, paired))
-        return found.union(members.select(F.col("node").alias("a"), F.col("node").alias("b"))) if marks else found
+    usual = _bucket_links(keyed.join(crowded, ["segment", "value"], "left_anti").select(keyed.columns), cut)
     head = F.conv(F.hex("fp"), 16, -10).cast("long")
     members = stored(once.join(around, ["segment", "value"], "left_semi").select("node", head.alias("head")).distinct())
     return usual.union(_midpoint_links(members, cut.distance))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``a, b`` of nodes whose sets (``node, hashes``) have a Jaccard similarity of ``similarity`` or more."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = []
-            for one, other in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (one, other))
-                both = 0
-                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
-                    merged = np.sort(np.concatenate([x, y]), kind="stable")
-                    both = int((merged[1:] == merged[:-1]).sum())
-                every = len(x) + len(y) - both
-                alike.append(not every or both / every >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(alike, pa.bool_()))
-
-    left, right = (sets.select(F.col("node").alias(n), F.col("hashes").alias(f"{n}_hashes")) for n in ("a", "b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_hashes", "b_hashes").mapInArrow(compare, "a long, b long")
-
-
-def similar_links(nodes: DataFrame, sets: DataFrame, cut: Cut, similarity: float, paired: int = PAIRED_MEMBERS) -> DataFrame:
-    """``a, b`` links that connect what all candidate pairs with ``similarity`` or more connect.
-
-    First come all pairs of small groups and enough to connect a large group. What
-    verified ones of them connect needs no more pairs; all pairs of a large group
-    that they leave apart come second.
-    """
-    found = stored(links(nodes, cut, paired, marks=True).distinct())
-    alike = stored(verified(found.where("a <> b"), sets, similarity))
-    marked = stored(found.where("a = b").select(F.col("a").alias("node")))
-    if marked.isEmpty():
-        return alike
-    apart = stored(nodes.select("node", "fp").join(marked, "node").join(components(alike), "node", "left")
-                   .select("node", "fp", F.coalesce("component", "node").alias("family")))
-    rest = links(apart, cut, paired).distinct().join(found, ["a", "b"], "left_anti")
-    return alike.union(stored(verified(stored(rest), sets, similarity)))
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int | None = None, similarity: float = 0.8,
                     id_column: str = "doc_id", text_column: str = "text", paired: int = PAIRED_MEMBERS) -> DataFrame:
     """``id_column, fingerprint, component_id`` for every row of ``docs``.
@@ -429,40 +276,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int | None = No
     With ``distance`` rows link whose 64-bit fingerprints differ in at most so
     many bits, and no link is missed. Without it rows link whose shingle sets have
     a Jaccard similarity of ``similarity`` or more; wider fingerprints bring them
-    together (see ``similarity_cut``) and the sets decide. ``fingerprint`` is
+    together and the sets decide (see ``similar_sets``). ``fingerprint`` is
     lower-case hex; ``component_id`` is the smallest id that links reach. Null and
     empty texts have fingerprint 0, which links like any other, and equal (empty) sets. Rows
     with a null id belong to components but never name one; a component of null
     ids only has a null id. Repeated rows give repeated rows. Other columns of
     ``docs`` are not read; an empty table gives no rows.
     """
-    if distance is not None:
-        rows = stored(fingerprints(docs, shingle, 1, id_column, text_column))
-        key = "fp"
-        nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("least"))
-                       .withColumn("node", F.monotonically_increasing_id()))
-        found = components(stored(links(nodes, exact_cut(distance), paired)))
-    else:
-        cut = similarity_cut(similarity, docs.count())
-        rows = stored(shingle_sets(docs, shingle, cut.words, id_column, text_column))
-        key = "digest"
-        nodes = stored(rows.groupBy("digest", "fp").agg(F.min("id").alias("least"), F.min("row_id").alias("row_id"))
-                       .withColumn("node", F.monotonically_increasing_id()))
-        sets = rows.select("row_id", "hashes").join(nodes.select("row_id", "node"), "row_id").select("node", "hashes")
-        found = components(similar_links(nodes, sets, cut, similarity, paired))
-    named = nodes.join(found, "node", "left").select(key, "least", F.coalesce("component", "node").alias("root"))
+    if distance is None:
+        rows = similar_sets.labelled(docs, shingle, similarity, paired, id_column, text_column)
+        return rows.select(F.col("id").alias(id_column), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    rows = stored(fingerprints(docs, shingle, id_column, text_column))
+    nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    found = components(stored(links(nodes, exact_cut(distance), paired)))
+    named = nodes.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = stored(named.join(names, "root").select(key, "component_id"))
-    return rows.join(labels, key).select(
+    labels = stored(named.join(names, "root").select("fp", "component_id"))
+    return rows.join(labels, "fp").select(
         F.col("id").alias(id_column), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, distance: int | None = None, similarity: float = 0.8,
-                id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component, with all their columns.
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id",
+                text_column: str = "text", paired: int = PAIRED_MEMBERS) -> DataFrame:
+    """The rows of ``docs`` whose id names their component of similar texts, with all their columns.
 
-    Rows with a null id stay, and so do all rows that repeat the naming id.
+    A row goes if its id is not the smallest of its component; another row of the same id and another
+    text stays if it names a component of its own. Rows with a null id stay, and so do all rows of a component that have the
+    naming id. Null and empty texts are alike. An empty table gives no rows; other columns, whatever their names, pass unread.
     """
-    found = near_duplicates(docs, shingle, distance, similarity, id_column, text_column)
-    dropped = stored(found.where(F.col(id_column) != F.col("component_id")).select(id_column))
-    return docs.join(dropped, id_column, "left_anti").select(docs.columns)
+    found = similar_sets.labelled(docs, shingle, similarity, paired, id_column, text_column)
+    dropped = stored(found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct())
+    key = F.unhex(F.sha2(F.encode(whole_text(text_column), "utf-8"), 256))
+    return docs.join(dropped, (F.col(id_column).cast("long") == F.col("_id")) & (key == F.col("_key")), "left_anti")

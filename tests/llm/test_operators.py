@@ -7,6 +7,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -19,7 +20,8 @@ from tokenizers import Tokenizer
 
 import public_tokenizers
 from armlens.llm import (
-    components, exact_dedup, hamming, html_text, langid, packing, pii, sentencepiece_fst, simhash, topk, toxicity, warc,
+    components, exact_dedup, hamming, html_text, langid, packing, pii, sentencepiece_fst, similar_sets, simhash, topk, toxicity,
+    warc,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -119,6 +121,31 @@ def test_packing_edge_cases(odd, empty):
     assert packing.pack(empty, BPE).count() == 0
 
 
+def test_a_certified_packing_keeps_all_but_its_emptiest_sequence():
+    lengths = np.array([64, 40, 24, 40, 20, 30])
+    bins, _, room, may_change = packing._pack(lengths, 64)
+    assert bins.max() + 1 == packing.lower_bound(np.bincount(lengths, minlength=65), 64) == 4
+    assert room[may_change].tolist() == [34] and lengths[may_change].tolist() == [30]
+    # Three of 38 leave gaps that best fit cannot prove needed: 33, 33, 33 and 31 fit no better, so all gaps stay open.
+    lengths = np.array([33, 22, 22, 22, 10, 10, 9])
+    bins, _, room, may_change = packing._pack(lengths, 64)
+    certified = bins.max() + 1 == packing.lower_bound(np.bincount(lengths, minlength=65), 64)
+    assert may_change.tolist() == ((room > 0) if not certified else (room == room.max()) & (room > 0)).tolist()
+    assert all(len(x) == 0 for x in packing._pack(np.zeros(0, dtype=np.int64), 64))
+
+
+def test_packing_goes_on_until_a_round_saves_nothing(spark, monkeypatch):
+    rows = [(i, "word " * (5 + 37 * i % 300)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    monkeypatch.setattr(packing, "EXCHANGE_PIECES", 40)
+    got = packing.pack(docs, BPE, 256)
+    bound = got.select("sequences_bound").first()[0]
+    # Groups of forty pieces: several rounds, each of which saves some of what the scan tasks left.
+    first = packing.first_packing(docs, BPE, 256).select("sequence_id").distinct().count()
+    assert bound <= got.select("sequence_id").distinct().count() < first
+    assert got.agg(F.sum("length")).first()[0] == sum(len(packing.encoder(BPE)(t)) + 1 for _, t in rows)
+
+
 def test_lower_bound_never_exceeds_a_packing():
     rng = np.random.default_rng(3)
     for _ in range(40):
@@ -163,6 +190,44 @@ def test_page_text_without_what_surrounds_it(spark):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+LONG_LINE = "This is a paragraph of the article, long enough to be taken as content by anyone who reads it."
+PAGES = {
+    "class words that say more": (
+        "<body><div class='content has-sidebar'><article><h1>T</h1><p>{0}<p>{0}</article></div><div class=sidebar><p>{0}</div>", "T|{0}|{0}"),
+    "no sidebar": ("<body class=no-sidebar><div class=no-sidebar><h1>T</h1><p>{0}<p>{0}</div>", "T|{0}|{0}"),
+    "print friendly": ("<div class=print-friendly><p>{0}<p>{0}</div>", "{0}|{0}"),
+    "an id of the article": ("<article id=social-policy><p>{0}<p>{0}</article>", "{0}|{0}"),
+    "two articles": ("<main><article><h2>A</h2><p>{0}</article><article><h2>B</h2><p>{0}</article></main>", "A|{0}|B|{0}"),
+    "plain blocks": (
+        "<body>" + "".join(f"<div><a href=/{i}>Menu {i}</a></div>" for i in range(12)) + "<div>A title of it</div>" + "<div>{0}</div>" * 3
+        + "<div><a href=x>Share</a> <a href=y>Tweet</a></div><div>Nice one, thanks!</div></body>", "A title of it|{0}|{0}|{0}"),
+    "headed comments": (
+        "<main><h1>T</h1><p>{0}</p><p>{0}</p><h3>3 Comments</h3><ul><li>{0}</li><li>I agree with it.</li></ul></main>", "T|{0}|{0}"),
+    "comments that outnumber the article": (
+        "<div><h1>T</h1><p>{0}</p><p>{0}</p></div><div class=comment-list>" + "<p>{0}</p>" * 4 + "</div>", "T|{0}|{0}"),
+    "a label in a sentence": ("<article><p>Press the <label>green</label> button. {0}</p></article>", "Press the green button. {0}"),
+    "a marked block that is all there is": ("<div class=widget><p>{0}</p><p>{0}</p></div>", "{0}|{0}"),
+    "teasers": ("<article><h1>T</h1><p>{0}</p></article><div class=related><article><p>{0}</p></article></div>", "T|{0}"),
+    "comments as articles": ("<article><h1>T</h1><p>{0}</p><section><article><p>{0}</p></article></section></article>", "T|{0}"),
+    "short ends": ("<article><h1>T</h1><p>{0}</p><p>End.</p><ul><li><a href=x>link</a><li>b</ul></article>", "T|{0}|End.|link|b"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PAGES))
+def test_clusters_select_the_text(name):
+    page, wanted = PAGES[name]
+    fill = lambda text: text.replace("{0}", LONG_LINE)
+    assert html_text.main_text(fill(page)) == fill(wanted).replace("|", "\n")
+
+
+@pytest.mark.parametrize("opening", [
+    "<div>", "<article>", "<div class=ad>", "<p><span>", "<div><p>a", "<li>", "<b><div><i></b>", "<h3>Comments</h3>"])
+def test_deeply_open_pages_take_linear_time(opening):
+    started = time.perf_counter()
+    html_text.main_text(opening * 40_000 + LONG_LINE * 3)
+    assert time.perf_counter() - started < 12
+
+
 # -- top k --------------------------------------------------------------------------------------
 
 
@@ -441,6 +506,20 @@ def test_languages_on_held_out_rows(spark, odd, empty):
     assert langid.languages(empty).count() == 0
 
 
+def test_every_label_is_learned(spark, monkeypatch):
+    """More labels than a few hundred, and one that has long texts only, of which a run of words is taken."""
+    rng = random.Random(4)
+    rows = [(4 * label + i, " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(8)), f"l{label:03}")
+            for label in range(230) for i in range(4)]
+    rows += [(5000 + i, "uvular trill " * 9000, "long") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "fit_chain", lambda texts, labels: (texts, labels))
+    texts, labels = langid.fit(docs)
+    assert labels == ["l%03d" % i for i in range(230)] + ["long"] and {y for _, y in texts} == set(range(231))
+    words = [len(w) for w, y in texts if labels[y] == "long"]
+    assert 0 < sum(words) == langid.SAMPLE_WORDS // 231
+
+
 def test_code_switched_words(docs):
     model = langid.fit(docs)
     pick = lambda lang: docs.where(F.col("lang") == lang).orderBy("doc_id").select("text").first().text.split()[:30]
@@ -513,6 +592,39 @@ def test_near_copies_at_a_similarity(spark):
     assert kept == {i for i, _ in rows if i % 3 != 1}
 
 
+def test_an_id_on_two_texts_loses_only_the_copy(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    a, q, r = (" ".join(words[i:i + 100]) for i in (0, 100, 200))
+    rows = [(1, a), (2, a + " more"), (2, q), (3, r), (None, a + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(x.doc_id, x.text) for x in simhash.one_of_each(df).collect()]
+    assert sorted(map(repr, kept)) == sorted(map(repr, [(1, a), (2, q), (3, r), (None, a + " more")]))
+
+
+@pytest.mark.parametrize("rows", [200, 4000])
+def test_what_is_shuffled_for_a_row_is_the_same_at_every_size(spark, rows):
+    rng = np.random.default_rng(rows)
+    data = [(i, rng.bytes(8 * similar_sets.WORDS)) for i in range(rows)]
+    nodes = spark.createDataFrame(data, "node long, fp binary").coalesce(1)
+    found = similar_sets.packed(nodes).agg(F.sum(F.length("entries"))).first()[0]
+    assert found == rows * 2 * similar_sets.SEGMENTS * 26
+
+
+def test_segments_bring_similar_sets_together():
+    """Of pairs at 0.8 nearly all share a segment with at most one different bit, by formula and by trial."""
+    assert similar_sets.missed(0.8) < 1e-4 and similar_sets.missed(0.9) < 1e-9
+    rng = np.random.default_rng(1)
+    missed = 0
+    for size in (20, 100, 1000):
+        for _ in range(400):
+            both, more = rng.integers(0, 2**63, size, dtype=np.uint64), rng.integers(0, 2**63, size // 4, dtype=np.uint64)
+            a, b = (np.frombuffer(simhash.majority([s], similar_sets.WORDS), dtype=np.uint8)[None] for s in (both, np.concatenate([both, more])))
+            x, y = similar_sets.segment_values(a), similar_sets.segment_values(b)
+            missed += not (np.bitwise_count(x ^ y) <= 1).any()
+    assert missed <= 6
+
+
 def jaccard_classes(rows, shingle, similarity):
     """Components of all pairs of rows whose shingle sets are as similar, by brute force."""
     sets = []
