@@ -1,6 +1,6 @@
 """Tail probabilities that Spark SQL lacks, as column expressions.
 
-The normal and chi-square tails run in the JVM; the F tail needs a continued fraction and is an
+The normal and chi-square tails are SQL text and run in the JVM; the F tail needs a continued fraction and is an
 Arrow-batched function over whole batches. They are applied to result-sized tables (one row per experiment,
 feature or look), never to the log. NULL and NaN in give NULL out.
 """
@@ -8,7 +8,7 @@ feature or look), never to the log. NULL and NaN in give NULL out.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,63 +31,66 @@ _ROOT_HALF = math.sqrt(0.5)
 _ROOT_PI = 1.0 / math.sqrt(math.pi)
 
 
-def _bound(value, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body mentions it; NULL for NULL and NaN."""
+def _double(value) -> Column:
+    """A column or its name as a double, NULL for NaN."""
     value = F.col(value) if isinstance(value, str) else value
-    value = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
-    return F.get(F.transform(F.array(value), lambda v: F.when(v.isNotNull(), body(v))), F.lit(0))
+    return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
 
 
-def _polynomial(coefficients: Sequence[float], x: Column) -> Column:
-    out = F.lit(coefficients[0])
+def _bound(value: Column, body: str) -> Column:
+    """SQL text ``body`` of a value ``v`` that is computed once, however often the body mentions it; NULL for NULL.
+
+    Text, because hundreds of operators are slow to build one call at a time.
+    """
+    once = F.call_function("transform", F.array(value), F.expr(f"v -> {body}"))
+    return F.get(once, F.lit(0))
+
+
+def _polynomial(coefficients: Sequence[float], x: str) -> str:
+    out = f"{coefficients[0]!r}D"
     for c in coefficients[1:]:
-        out = out * x + c
+        out = f"({out} * {x} + {c!r}D)"
     return out
 
 
-def _fraction(parts: tuple[Sequence[float], Sequence[float]], x: Column) -> Column:
-    return _polynomial(parts[0], x) / _polynomial(parts[1], x)
+def _fraction(parts: tuple[Sequence[float], Sequence[float]], x: str) -> str:
+    return f"({_polynomial(parts[0], x)} / {_polynomial(parts[1], x)})"
 
 
-def _erfc(x: Column) -> Column:
+def _erfc(x: str) -> str:
     """The complementary error function of a value of 0 or more."""
     # exp(-x^2) in two factors, the first exact, so that no digits of a large square are lost.
-    head = F.floor(x * 16.0) / 16.0
-    square = F.exp(-head * head) * F.exp((head - x) * (head + x))
-    inverse = F.try_divide(F.lit(1.0), x * x)
-    far = square * F.try_divide(F.lit(_ROOT_PI) - inverse * _fraction(_FAR, inverse), x)
+    head = f"(floor({x} * 16) / 16D)"
+    square = f"(exp(-{head} * {head}) * exp(({head} - {x}) * ({head} + {x})))"
+    inverse = f"(1D / ({x} * {x}))"
     return (
-        F.when(x <= 0.46875, 1.0 - x * _fraction(_NEAR, x * x))
-        .when(x <= 4.0, square * _fraction(_MIDDLE, x))
-        .when(x < 30.0, far).otherwise(F.lit(0.0))
+        f"(CASE WHEN {x} <= 0.46875D THEN 1D - {x} * {_fraction(_NEAR, f'({x} * {x})')} "
+        f"WHEN {x} <= 4D THEN {square} * {_fraction(_MIDDLE, x)} "
+        f"WHEN {x} < 30D THEN {square} * ({_ROOT_PI!r}D - {inverse} * {_fraction(_FAR, inverse)}) / {x} "
+        f"WHEN {x} >= 30D THEN 0D END)"
     )
 
 
+_TWO_SIDED = _erfc(f"(abs(v) * {_ROOT_HALF!r}D)")
+# Mills-ratio expansion: erfc underflows out here but its logarithm does not.
+_LOG_FAR = (
+    f"({math.log(2.0) - 0.5 * math.log(2.0 * math.pi)!r}D - 0.5D * v * v - ln(abs(v)) + log1p(-1D / (v * v) + 3D / (v * v * v * v)))"
+)
+
+
 def normal_sf(z) -> Column:
     """P(Z > z) for a standard normal."""
-    def tail(v: Column) -> Column:
-        half = 0.5 * _erfc(F.abs(v) * _ROOT_HALF)
-        return F.when(v >= 0, half).otherwise(1.0 - half)
-
-    return _bound(z, tail)
+    return _bound(_double(z), f"CASE WHEN v >= 0 THEN 0.5D * {_TWO_SIDED} ELSE 1D - 0.5D * {_TWO_SIDED} END")
 
 
 def two_sided_p(z) -> Column:
     """P(|Z| > |z|) for a standard normal."""
-    return _bound(z, lambda v: _erfc(F.abs(v) * _ROOT_HALF))
+    return _bound(_double(z), _TWO_SIDED)
 
 
 def log10_two_sided_p(z) -> Column:
     """log10 of the two-sided p-value; finite where the p-value itself underflows."""
-    def logarithm(v: Column) -> Column:
-        a = F.abs(v)
-        # Mills-ratio expansion: erfc underflows out here but its logarithm does not.
-        square = a * a
-        natural = (math.log(2.0) - 0.5 * math.log(2.0 * math.pi) - 0.5 * square - F.log(a)
-                   + F.log1p(F.try_divide(F.lit(-1.0), square) + F.try_divide(F.lit(3.0), square * square)))
-        return F.when(a < 30.0, F.log10(_erfc(a * _ROOT_HALF))).otherwise(natural / math.log(10.0))
-
-    return _bound(z, logarithm)
+    return _bound(_double(z), f"CASE WHEN abs(v) < 30D THEN log10({_TWO_SIDED}) ELSE {_LOG_FAR} / {math.log(10.0)!r}D END")
 
 
 def chi2_sf(x, df) -> Column:
@@ -96,23 +99,18 @@ def chi2_sf(x, df) -> Column:
     A finite sum of terms half^k exp(-half) / Gamma(k + 1), each from the one before by its logarithm.
     """
     df = (F.col(df) if isinstance(df, str) else df).cast("int")
-
-    def tail(v: Column) -> Column:
-        half = F.greatest(v, F.lit(0.0)) / 2.0
-        odd = F.pmod(df, F.lit(2)) == 1
-        start = F.struct(
-            F.when(odd, _erfc(F.sqrt(half))).otherwise(F.lit(0.0)).alias("sum"),
-            F.when(odd, 0.5 * F.log(half) - half - math.lgamma(1.5)).otherwise(-half).alias("term"),
-        )
-        step = lambda acc, i: F.struct(
-            (acc["sum"] + F.exp(acc["term"])).alias("sum"),
-            (acc["term"] + F.log(half) - F.log(i + 1.0 + F.when(odd, 0.5).otherwise(0.0))).alias("term"),
-        )
-        powers = F.slice(F.sequence(F.lit(0), F.greatest(F.floor(df / 2).cast("int"), F.lit(1))), F.lit(1), F.floor(df / 2).cast("int"))
-        total = F.aggregate(powers, start, step, lambda acc: acc["sum"])
-        return F.when(v <= 0, F.lit(1.0)).otherwise(F.least(total, F.lit(1.0)))
-
-    return _bound(x, tail)
+    half, odd = "(v.x / 2D)", "v.df % 2 = 1"
+    start = (
+        f"named_struct('sum', CASE WHEN {odd} THEN {_erfc(f'sqrt({half})')} ELSE 0D END, "
+        f"'term', CASE WHEN {odd} THEN 0.5D * ln({half}) - {half} - {math.lgamma(1.5)!r}D ELSE -{half} END)"
+    )
+    step = (
+        "(s, k) -> named_struct('sum', s.sum + exp(s.term), "
+        f"'term', s.term + ln({half}) - ln(k + 1D + CASE WHEN {odd} THEN 0.5D ELSE 0D END))"
+    )
+    powers = "slice(sequence(0, v.df div 2), 1, CAST(v.df div 2 AS INT))"
+    tail = f"CASE WHEN v.x <= 0 THEN 1D WHEN v.x > 0 AND v.df >= 0 THEN least(1D, aggregate({powers}, {start}, {step}, s -> s.sum)) END"
+    return _bound(F.struct(_double(x).alias("x"), df.alias("df")), tail)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
