@@ -241,7 +241,11 @@ def decode(encoded: DataFrame, model: str, ids_column: str = "ids") -> DataFrame
 
 
 def token_counts(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Encoding and its round trip in one pass: id, number of ids, their checksum, and whether decoding gives the text."""
+    """Encoding and its round trip in one pass: id, number of ids, their checksum, and whether decoding gives the text.
+
+    Null and empty texts have no ids and a checksum of 0. Texts of any length are encoded whole, equal texts and repeated rows alike;
+    a null id stays null, other columns are not read, and an empty table gives no rows.
+    """
     import zlib
 
     import numpy as np

@@ -461,6 +461,14 @@ def test_pieces_equal_the_library(docs):
         assert coder.encode(text) == ids and coder.decode(ids) == library.decode(ids)
 
 
+def test_piece_counts_equal_the_library(docs):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    found = {r.doc_id: r for r in sentencepiece_fst.token_counts(docs, PIECES).collect()}
+    for doc_id, text in texts(docs):
+        ids = library.encode(text)
+        assert (found[doc_id].n_ids, found[doc_id].ids_crc32) == (len(ids), zlib.crc32(np.asarray(ids, dtype="<u4").tobytes()))
+
+
 def test_pieces_as_columns(odd, empty):
     coded = sentencepiece_fst.encode(odd, PIECES)
     back = sentencepiece_fst.decode(coded, PIECES).collect()
