@@ -37,8 +37,9 @@ WINDOW = 6
 TERM_LETTERS = 4
 # Distinct terms a task counts before it passes the counts on.
 HELD_TERMS = 200_000
-# Bits of the filter that tells which words of a text may be disclosing terms: so many a term, at most so many; the join decides.
-TERM_BITS, FILTER_BITS = 32, 1 << 26
+# Bits of the filter that tells which words of a text may be disclosing terms: so many a term, between a least and a most; the
+# join decides. A text has hundreds of words, so few that are no term may pass.
+TERM_BITS, LEAST_BITS, FILTER_BITS = 1024, 1 << 23, 1 << 26
 
 # The patterns of the kinds.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -211,11 +212,11 @@ def _slot(term: str, size: int) -> int:
 def term_filter(terms: DataFrame) -> bytes:
     """A bit for the slot of every ``term``, a power of two of them that grows with the number of terms.
 
-    Up to ``FILTER_BITS / TERM_BITS`` terms one word in ``TERM_BITS`` that is no term passes. The filter itself is
+    Up to ``FILTER_BITS / TERM_BITS`` terms one word in ``TERM_BITS`` that is no term passes at most. The filter itself is
     bounded: with more terms more words pass, and the join sorts them out.
     """
     n = terms.select("term").distinct().count()
-    size = min(FILTER_BITS, 1 << max(10, (TERM_BITS * n - 1).bit_length()))
+    size = min(FILTER_BITS, max(LEAST_BITS, 1 << (TERM_BITS * n).bit_length()))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
