@@ -24,7 +24,7 @@ from ..sources.session import durable
 from ..spec import ExperimentSpec
 from . import sql_forms
 from .experiment import ExperimentReport
-from .views import FEATURES, LOG_COLUMNS, explog, explog_coarse, explog_looks, explog_ordered
+from .views import FEATURES, LOG_COLUMNS, explog, explog_coarse, explog_looks, explog_ordered, explog_stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -165,7 +165,7 @@ def feature_cardinality_sketch(spark, sf_dir):
 def feature_cardinality_united(spark, sf_dir):
     """Sketches per market, united, against the exact counts: within five standard errors."""
     spec = replace(FULL, keys=("market",))
-    log = explog(spark, sf_dir, (*FEATURES, "market"))
+    log = explog_stored(spark, sf_dir, (*FEATURES, "market"))
     united = quality.united_cardinality(durable(quality.cardinality_sketches(log, spec)), spec)
     exact = quality.feature_cardinality(log, FULL, exact=True).withColumnRenamed("distinct_values", "_exact")
     off = F.abs(F.col("distinct_values") / F.col("_exact") - 1)

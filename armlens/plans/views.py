@@ -2,7 +2,8 @@
 
 The tables hold no experiment, so one is defined with integer arithmetic on
 order and part keys. Only the dimension tables a caller's columns need are
-joined, and only by their keys: Spark picks the join from the table sizes.
+joined, and only by their keys: Spark picks the join from the table sizes. Only
+``orders`` grows with the log itself and is never broadcast: both sides are shuffled once.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.session import stored
+
 FEATURES = tuple(f"f{i}" for i in range(12))
 LOG_COLUMNS = (*FEATURES, "treatment", "conversion", "visit", "exposure")
 
@@ -61,17 +64,24 @@ def explog(
     """One row per order line: twelve features, arm, outcome flags, folds and segments."""
     definitions = _definitions()
     needed = {t for name in columns for t in definitions[name][1]}
-    joins = {
-        "orders": ("l_orderkey", "o_orderkey"), "customer": ("o_custkey", "c_custkey"),
-        "part": ("l_partkey", "p_partkey"), "supplier": ("l_suppkey", "s_suppkey"),
-    }
     log = _table(spark, sf_dir, "lineitem")
-    for name, (left, right) in joins.items():
+    if "orders" in needed:
+        orders = _table(spark, sf_dir, "orders")
+        if "customer" in needed:
+            # Before the lines, of which an order has several.
+            orders = orders.join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        log = log.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    for name, left, right in (("part", "l_partkey", "p_partkey"), ("supplier", "l_suppkey", "s_suppkey")):
         if name in needed:
             log = log.join(_table(spark, sf_dir, name), F.col(left) == F.col(right))
     return log.select(*[definitions[name][0].alias(name) for name in columns])
 
 
+def explog_stored(spark: SparkSession, sf_dir: str, columns: Sequence[str] = LOG_COLUMNS) -> DataFrame:
+    """The same rows, joined once and kept as Parquet, for analyses that read them several times."""
+    return stored(explog(spark, sf_dir, columns))
+
+
 def explog_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Few coarse columns, so exact copies of a row are common."""
     return explog(spark, sf_dir, ("treatment", "conversion", "visit", "exposure", "f0", "f2", "f3"))

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
-from armlens.plans import catalog, oracles
+from armlens.plans import catalog, oracles, views
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events")
@@ -45,5 +45,33 @@ def test_query_without_sql_gives_rows(spark, name):
         assert not any(isinstance(v, float) and math.isnan(v) for v in row)
 
 
+READ_ONCE = ("feature_cardinality_united",)
+
+
+@pytest.mark.parametrize("name", READ_ONCE)
+def test_tables_are_joined_once(spark, monkeypatch, name):
+    """However often the log is analysed, the lines are read and joined once."""
+    plain, read = views._table, spark.sparkContext.accumulator(0)
+
+    def counted(session, sf_dir, table):
+        df = plain(session, sf_dir, table)
+
+        def count(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(count, df.schema) if table == "lineitem" else df
+
+    monkeypatch.setattr(views, "_table", counted)
+    spark_entry.queries()[name](spark, SF_DIR).collect()
+    assert read.value == plain(spark, SF_DIR, "lineitem").count()
+
+
+def test_lines_and_orders_meet_by_a_shuffle_at_every_size(spark):
+    plan = views.explog(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and "SortMergeJoin [l_orderkey" in plan
+
+
 def test_entry_gives_one_row(spark):
     assert spark_entry.entry(spark).count() == 1
