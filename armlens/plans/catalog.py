@@ -737,7 +737,7 @@ def ship_decision(spark, sf_dir):
 def experiment_summary(spark, sf_dir):
     """The whole analysis with all twelve features; its last table."""
     spec = replace(FULL, fold=None)
-    return ExperimentReport(explog(spark, sf_dir, LOG_COLUMNS), spec).summary
+    return ExperimentReport(explog_stored(spark, sf_dir, LOG_COLUMNS), spec).summary
 
 
 def experiment_summary_by_segment(spark, sf_dir):
