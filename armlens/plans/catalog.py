@@ -155,7 +155,7 @@ def multiplicity_weights(spark, sf_dir):
 
 
 def feature_cardinality(spark, sf_dir):
-    return quality.feature_cardinality(explog(spark, sf_dir, FEATURES), FULL, exact=True)
+    return quality.feature_cardinality(explog_stored(spark, sf_dir, FEATURES), FULL, exact=True)
 
 
 def feature_cardinality_sketch(spark, sf_dir):
