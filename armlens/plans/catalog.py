@@ -743,7 +743,7 @@ def experiment_summary(spark, sf_dir):
 def experiment_summary_by_segment(spark, sf_dir):
     """The same per market: one pass for all of them. Copies agree in the whole log, not just in what is analysed."""
     spec = replace(FEW, fold=None, keys=("market",), exposure="exposure", post_covariate="visit")
-    return ExperimentReport(explog(spark, sf_dir, (*LOG_COLUMNS, "market")), spec).summary
+    return ExperimentReport(explog_stored(spark, sf_dir, (*LOG_COLUMNS, "market")), spec).summary
 
 
 def duplicates_rare(spark, sf_dir):
