@@ -748,7 +748,7 @@ def experiment_summary_by_segment(spark, sf_dir):
 
 def duplicates_rare(spark, sf_dir):
     """Exact duplicates over all columns, by arm; only rows whose hash repeats are shuffled whole."""
-    log = explog(spark, sf_dir, LOG_COLUMNS)
+    log = explog_stored(spark, sf_dir, LOG_COLUMNS)
     return rounded(quality.duplicate_summary(quality.collapse_rare(log, LOG_COLUMNS, log.count()), ("treatment",)))
 
 
