@@ -79,6 +79,11 @@ def _log(spark: SparkSession, sf_dir: str, spec: ExperimentSpec, *extra: str) ->
     return explog(spark, sf_dir, [*dict.fromkeys([*suffstats.analysis_columns(spec), *extra])])
 
 
+def _stored_log(spark: SparkSession, sf_dir: str, spec: ExperimentSpec) -> DataFrame:
+    """``_log`` for operators that read it more than once."""
+    return explog_stored(spark, sf_dir, suffstats.analysis_columns(spec))
+
+
 def _cells(spark: SparkSession, sf_dir: str, spec: ExperimentSpec) -> DataFrame:
     return suffstats.sufficient_stats(_log(spark, sf_dir, spec), spec)
 
@@ -299,7 +304,7 @@ def feature_moments(spark, sf_dir):
 def shifted_moments(spark, sf_dir):
     """Feature variances from sums of shifted products: prices keep their digits."""
     spec = replace(FULL, features=("f1", "f5", "f8"))
-    log = _log(spark, sf_dir, spec)
+    log = _stored_log(spark, sf_dir, spec)
     spec = replace(spec, shift=suffstats.feature_shifts(log, spec))
     cells = suffstats.sufficient_stats(log, spec)
     return rounded(moments.feature_moments(cells, spec), {"mean": 4, "variance": -2})
@@ -605,19 +610,19 @@ def uplift_concentration(spark, sf_dir):
 def uplift_table_sketch(spark, sf_dir):
     """All twelve features, hashed folds and sketched cut points."""
     spec = replace(FULL, fold=None, exposure=None, post_covariate=None)
-    return uplift.uplift_table(uplift.uplift_bins(_log(spark, sf_dir, spec), spec), spec)
+    return uplift.uplift_table(uplift.uplift_bins(_stored_log(spark, sf_dir, spec), spec), spec)
 
 
 def uplift_bins_by_segment(spark, sf_dir):
     """Exact cut points of every segment's scores."""
     spec = replace(PRICE, keys=("segment",))
-    return rounded(uplift.uplift_bins(_log(spark, sf_dir, spec), spec, exact=True))
+    return rounded(uplift.uplift_bins(_stored_log(spark, sf_dir, spec), spec, exact=True))
 
 
 def uplift_by_segment(spark, sf_dir):
     spec = replace(FEW, keys=("segment",), fold=None)
     return uplift.uplift_summary(
-        uplift.uplift_table(uplift.uplift_bins(_log(spark, sf_dir, spec), spec, 5), spec), spec
+        uplift.uplift_table(uplift.uplift_bins(_stored_log(spark, sf_dir, spec), spec, 5), spec), spec
     )
 
 
@@ -791,9 +796,10 @@ def uplift_scores_five_folds(spark, sf_dir):
 
 
 def gated_effects_null_key(spark, sf_dir):
-    cells = suffstats.sufficient_stats(_log(spark, sf_dir, NULL_KEY), NULL_KEY)
+    log = _stored_log(spark, sf_dir, NULL_KEY)
+    cells = suffstats.sufficient_stats(log, NULL_KEY)
     rows = effects.estimates(moments.paired_moments(cells, NULL_KEY, None), NULL_KEY, ("unadjusted",))
-    srm = guardrails.srm_check(suffstats.arm_counts(_log(spark, sf_dir, NULL_KEY), NULL_KEY), NULL_KEY)
+    srm = guardrails.srm_check(suffstats.arm_counts(log, NULL_KEY), NULL_KEY)
     return _effect(guardrails.gate(rows, srm, NULL_KEY))
 
 
