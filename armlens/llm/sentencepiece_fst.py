@@ -12,8 +12,10 @@ merged from scratch; exactly one path is then left, which is the model's own enc
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -154,6 +156,56 @@ class Transducer:
             at -= len(last[at])
         return path[::-1]
 
+    def only_path(self, text: str) -> list[str]:
+        """The same for a model that merges pairs, whose composition holds one path: long arcs are followed first.
+
+        A beginning of the text has one encoding, so a place is always reached with the same last label: one
+        that nothing leads on from is not tried again, and no place is left twice.
+        """
+        trie, scores, pairs = self.trie, self.scores, self.pairs
+        none: dict[str, bool] = {}
+        size = len(text)
+        dead = bytearray(size + 1)
+        path: list[str] = []
+        held: list[list[str]] = []
+        at, before, known = 0, "", none
+        while at < size:
+            node, end = trie.get(text[at]), at + 1
+            # Arcs that leave this place, the longest last.
+            arcs = [] if text[at] in scores else [text[at]]
+            while node is not None:
+                label = node.get("")
+                if label is not None:
+                    arcs.append(label)
+                if end == size:
+                    break
+                node = node.get(text[end])
+                end += 1
+            while True:
+                if not arcs:
+                    dead[at] = 1
+                    at -= len(path.pop())
+                    before = path[-1] if path else ""
+                    known = pairs.get(before, none)
+                    arcs = held.pop()
+                    continue
+                label = arcs.pop()
+                if dead[at + len(label)]:
+                    continue
+                if before:
+                    apart = known.get(label)
+                    if apart is None:
+                        apart = self.stay_apart(before, label)
+                    if not apart:
+                        continue
+                break
+            path.append(label)
+            held.append(arcs)
+            at += len(label)
+            before = label
+            known = pairs.get(before, none)
+        return path
+
     def ids_of(self, label: str) -> list[int]:
         """Output of an arc: a piece's id, or the ids of the character's bytes, or the unknown piece."""
         if label in self.ids:
@@ -166,12 +218,13 @@ class Transducer:
         known = self.words.get(stretch)
         if known is None:
             joined = self.joined
-            cuts = [i for i in range(1, len(stretch)) if stretch[i - 1:i + 1] not in joined]
+            cuts = [i for i, two in enumerate(map(add, stretch, stretch[1:]), 1) if two not in joined]
             if cuts:
                 parts = [stretch[a:b] for a, b in zip([0, *cuts], [*cuts, len(stretch)])]
                 known = tuple(i for part in parts for i in (self.words.get(part) or self.encode_stretch(part)))
             else:
-                known = tuple(i for label in self.shortest_path(stretch) for i in self.ids_of(label))
+                path = self.only_path(stretch) if self.merges else self.shortest_path(stretch)
+                known = tuple(i for label in path for i in self.ids_of(label))
             if len(stretch) <= LONG_WORD:
                 if len(self.words) > CACHED_WORDS:
                     self.words.clear()
@@ -258,7 +311,7 @@ def token_counts(docs: DataFrame, model: str, id_column: str = "doc_id", text_co
                 text = value.as_py()
                 ids = coder.encode(text)
                 counts.append(len(ids))
-                sums.append(zlib.crc32(np.asarray(ids, dtype="<u4").tobytes()))
+                sums.append(zlib.crc32(np.frombuffer(array("i", ids), dtype=np.int32).astype("<u4").tobytes()))
                 # A mark that stands in the text itself is decoded as a space, as the model file has it.
                 same.append(coder.decode(ids) == text.replace(SPACE, " "))
             yield pa.RecordBatch.from_arrays(

@@ -461,6 +461,13 @@ def test_pieces_equal_the_library(docs):
         assert coder.encode(text) == ids and coder.decode(ids) == library.decode(ids)
 
 
+def test_the_only_path_is_the_shortest(docs):
+    coder, rng = sentencepiece_fst.Transducer(PIECES), random.Random(2)
+    parts = ("in", "ing", "the", "er", "a", "ti", "on", "s", "é", "日", "▁", "😀", "0", "=")
+    for text in ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(2000)] + ["=" * 3000, "ab" * 1000]:
+        assert coder.only_path(text) == coder.shortest_path(text)
+
+
 def test_piece_counts_equal_the_library(docs):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     found = {r.doc_id: r for r in sentencepiece_fst.token_counts(docs, PIECES).collect()}
