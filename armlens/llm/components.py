@@ -2,12 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.session import stored
 
 MAX_ROUNDS = 64
+# Links that a task replaces by stars together.
+CONTRACTED_LINKS = 200_000
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The rows of a table of links replaced by one link of each node to the smallest that links reach."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[:len(a)], at[len(a):]
+    label = np.arange(len(names))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if np.array_equal(new, label):
+            away = np.flatnonzero(label != np.arange(len(names)))
+            return np.stack([names[label[away]], names[away]], axis=1)
+        label = new
+
+
+def contracted(links: DataFrame, block: int = CONTRACTED_LINKS) -> DataFrame:
+    """``a, b``: of every ``block`` links of a task one link of each node to the smallest that they reach.
+
+    They connect what the links connect, and are fewer than the nodes of the block however many links
+    there are between these. Small partitions are read together and nothing is shuffled.
+    """
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= block:
+                yield one(held)
+                held, size = [], 0
+        if size:
+            yield one(held)
+
+    def one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        both = pa.Table.from_batches(held)
+        found = stars(both.column(0).to_numpy(), both.column(1).to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 1], pa.int64()), pa.array(found[:, 0], pa.int64())], names=["a", "b"])
+
+    return links.select("a", "b").coalesce(-(-links.count() // block) or 1).mapInArrow(contract, "a long, b long")
 
 
 def _star(links: DataFrame, upward: bool) -> DataFrame:
@@ -37,9 +87,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round is written to the shared folder, so a lost executor repeats at
     most one round. The rounds grow with the logarithm of the longest path.
     """
-    current = stored(
-        links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
+    current = stored(contracted(links).where("a <> b").distinct())
     mark = None
     for _ in range(MAX_ROUNDS):
         current = stored(_star(_star(current, True), False))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..sources.session import stored
 from .common import row_ids, whole_text
-from .components import components
+from .components import components, stars
 from .hamming import bytes_of, distances, forest, group_links
 
 WORDS = 8
@@ -229,27 +229,10 @@ def _linked(keys: np.ndarray, node: np.ndarray, sketch: np.ndarray, distance: in
         left.append(start + np.array(a, dtype=np.int64))
         right.append(start + np.array(b, dtype=np.int64))
     # Rows stand in one run each, so what links connect lies in one run.
-    root, member = _stars(np.concatenate(left), np.concatenate(right)).T
+    root, member = stars(np.concatenate(left), np.concatenate(right)).T
     return node[root], node[member], np.bincount(root, minlength=len(keys))[root] > 1
 
 
-def _stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The rows of a table of links replaced by one link of each node to the smallest that links reach."""
-    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = at[:len(a)], at[len(a):]
-    label = np.arange(len(names))
-    while True:
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], least)
-        np.minimum.at(new, label[b], least)
-        new = new[new]
-        if np.array_equal(new, label):
-            away = np.flatnonzero(label != np.arange(len(names)))
-            return np.stack([names[label[away]], names[away]], axis=1)
-        label = new
-
-
 def _bucket_links(entries: DataFrame, distance: int) -> DataFrame:
     """``a, b, mark``: links between the rows that share a key and a variant of the other half (see ``_linked``).
 
@@ -266,7 +249,7 @@ def _bucket_links(entries: DataFrame, distance: int) -> DataFrame:
             held.append(_linked(keys[order], node[order], sketch[order], distance))
         a, b, tree = (np.concatenate(c) for c in zip(*held))
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[~tree], axis=0)
-        for mark, links in ((False, pairs), (True, _stars(a[tree], b[tree]))):
+        for mark, links in ((False, pairs), (True, stars(a[tree], b[tree]))):
             for at in range(0, len(links), 20_000):
                 part = links[at:at + 20_000]
                 yield pa.RecordBatch.from_arrays(

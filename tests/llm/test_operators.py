@@ -769,6 +769,20 @@ def test_components_of_a_chain_and_a_star(spark):
     assert {got[i] for i in range(100, 161)} == {100} and {got[600 + i] for i in range(50)} == {500} and 7 not in got
 
 
+def test_links_are_fewer_than_nodes_before_any_join(spark):
+    rng = random.Random(4)
+    # As tasks pass them on: stars around many of the rows of one group.
+    pairs = [(root, member) for root in range(40) for member in range(40, 1000)] + [(2000, 3000), (3000, 2500), (9, 9)]
+    rng.shuffle(pairs)
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(16)
+    few = components.contracted(links)
+    assert few.count() <= 1001 < len(pairs) and few.where("a <= b").count() == 0
+    for block in (50, 5_000):
+        left = components.contracted(links, block)
+        got = dict(map(tuple, components.components(left).collect()))
+        assert got == {**{i: 0 for i in range(1000)}, **{i: 2000 for i in (2000, 2500, 3000)}}
+
+
 # -- WARC ----------------------------------------------------------------------------------------
 
 
