@@ -45,7 +45,10 @@ def test_query_without_sql_gives_rows(spark, name):
         assert not any(isinstance(v, float) and math.isnan(v) for v in row)
 
 
-READ_ONCE = ("feature_cardinality_united", "experiment_summary", "feature_cardinality", "experiment_summary_by_segment", "duplicates_rare", "uplift_table_sketch", "uplift_by_segment", "uplift_bins_by_segment", "shifted_moments", "gated_effects_null_key")
+READ_ONCE = (
+    "feature_cardinality_united", "experiment_summary", "feature_cardinality", "experiment_summary_by_segment", "duplicates_rare",
+    "uplift_table_sketch", "uplift_by_segment", "uplift_bins_by_segment", "shifted_moments", "gated_effects_null_key",
+)
 
 
 @pytest.mark.parametrize("name", READ_ONCE)
